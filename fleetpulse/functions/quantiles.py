@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.exprs import is_finite
+from fleetpulse.functions.exprs import finite_or
 from fleetpulse.operators.ordering import small_table
 from fleetpulse.settings import LOOKUP_ROWS
 
@@ -33,13 +33,15 @@ def exact_quantiles(
     """
     probs = sorted(set(float(p) for p in probs))
     keys = [*by, "p"]
-    vals = df.where(is_finite(value)).select(*by, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one"))
+    # no filter here: it would be pushed down and repeat the expression behind the value
+    vals = df.select(*by, finite_or(value, None).alias("_v"), F.lit(1).alias("_one"))
     brackets, small = small_table(_sketch(vals, probs, by, accuracy))
     brackets = _shorten(vals, brackets, keys, by, bracket_rows)
     ranked = _running(
         _with_brackets(vals, brackets, by, small)
         .groupBy(*keys, "n", "_h", "_k", _zone().alias("_z"), F.when(_zone() == 0, F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")),
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        .where("_low is not null"),
         keys, ["_z", "_v"],
     )
     at_k, at_next = _holds(0), _holds(1)
@@ -57,7 +59,7 @@ def _sketch(vals: DataFrame, probs: list[float], by: Sequence[str], accuracy: in
     margin = 2.0 / accuracy
     wanted = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
     stats = vals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("_v").alias("n"),
         F.percentile_approx("_v", wanted, accuracy).alias("_q"),
     )
     per_p = [
@@ -110,7 +112,8 @@ def _shorten(vals: DataFrame, brackets: DataFrame, keys: list[str], by: Sequence
         ranked = _running(
             _with_brackets(vals, todo, by, small)
             .groupBy(*keys, "n", "_h", "_k", _zone().alias("_z"), F.when(_zone() == 0, piece).alias("_s"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")),
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+            .where("_low is not null"),
             keys, ["_z", "_s"],
         )
         both = _holds(0) & (_holds(1) | (F.col("_h") == F.col("_k")))

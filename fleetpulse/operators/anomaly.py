@@ -51,11 +51,10 @@ def fit_thresholds(
 
     Columns: ``context_id`` (text, or ``global``), one per level, ``rows_used``.
     """
-    rows = df.where(F.col("split") == fit_split).select(F.col(context).cast("string").alias("context_id"), value)
-    every = quantile_columns(rows, value, RESIDUAL_PERCENTILES, **kw).withColumn("context_id", F.lit(GLOBAL))
-    each = quantile_columns(rows, value, RESIDUAL_PERCENTILES, ["context_id"], **kw)
-    names = ["context_id", *[n for n, _ in RESIDUAL_PERCENTILES]]
-    return each.unionByName(every).select(*names, F.col("n").cast("long").alias("rows_used"))
+    groups = F.array(F.col(context).cast("string"), F.lit(GLOBAL))
+    rows = df.where(F.col("split") == fit_split).select(F.explode(groups).alias("context_id"), value)
+    out = quantile_columns(rows, value, RESIDUAL_PERCENTILES, ["context_id"], **kw)
+    return out.select("context_id", *[n for n, _ in RESIDUAL_PERCENTILES], F.col("n").cast("long").alias("rows_used"))
 
 
 def bad_thresholds(thresholds: DataFrame) -> DataFrame:

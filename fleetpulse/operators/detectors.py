@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from fleetpulse.functions.exprs import finite_or
 from fleetpulse.functions.linear import squared_norm
 from fleetpulse.functions.quantiles import quantile_values
-from fleetpulse.operators.anomaly import min_max_score
+from fleetpulse.operators.anomaly import min_max_score, min_max_scores
 from fleetpulse.operators.ordering import uniform_sample
 from fleetpulse.operators.prepare import Standardizer, fit_standardizer, sequences
 from fleetpulse.settings import DEV, SEQ, SEQUENCE_ROWS, TRAJECTORY
@@ -318,11 +318,20 @@ def distances(df: DataFrame, model: Distance) -> DataFrame:
     return out.withColumn("mahalanobis_distance", F.sqrt(F.greatest("_d2", F.lit(0.0)))).drop("_d2", *names)
 
 
-def distance_scores(df: DataFrame, model: Distance, percentile: float = PERCENTILE, fit_split: str = DEV) -> DataFrame:
-    """Distance, label against the fit split's percentile, and score over all rows."""
-    out = distances(df, model)
-    (limit,) = quantile_values(out.where(F.col("split") == fit_split), "mahalanobis_distance", [percentile])
-    scored = min_max_score(out, "mahalanobis_distance", "mahalanobis_score")
+def distance_scores(
+    df: DataFrame,
+    model: Distance,
+    percentile: float = PERCENTILE,
+    fit_split: str = DEV,
+    fit_rows: DataFrame | None = None,
+) -> DataFrame:
+    """Distance, label against the fit split's percentile, and score over all rows.
+
+    ``fit_rows`` are the same rows where they are cheaper to compute, without order.
+    """
+    ranked = distances(df if fit_rows is None else fit_rows, model)
+    (limit,) = quantile_values(ranked.where(F.col("split") == fit_split), "mahalanobis_distance", [percentile])
+    scored = min_max_scores(distances(df, model), {"mahalanobis_distance": "mahalanobis_score"}, ranked)
     return scored.withColumns({
         "mahalanobis_anomaly_label": (F.col("mahalanobis_distance") >= F.lit(limit)).cast("int"),
         "mahalanobis_threshold": F.lit(limit),

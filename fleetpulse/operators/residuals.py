@@ -108,7 +108,8 @@ def validate_residuals(
         F.sum(sizes).alias("_abs"), F.sum(squares).alias("_sq"), F.count(F.lit(1)).alias("_n"),
     )
     names = [n for n, _ in checks]
-    total = per_split.agg(*[F.max(n).alias(n) for n in names], F.sum("finite_numeric_values").alias("finite_numeric_values"))
+    total = per_split.agg(
+        *[F.max(n).alias(n) for n in names], F.sum("finite_numeric_values").alias("finite_numeric_values"), F.sum("_n").alias("_n"))
     rows_out = [F.struct(F.lit(n).alias("check_name"), c(n).alias("max_error"), F.lit(tolerance).alias("tolerance")) for n in names]
     rows_out.append(F.struct(F.lit("finite_numeric_values").alias("check_name"), c("finite_numeric_values").alias("max_error"), F.lit(0.0).alias("tolerance")))
     passed = F.when(c("max_error") <= c("tolerance"), "PASSED").otherwise("FAILED")
@@ -121,8 +122,8 @@ def validate_residuals(
         (c("_abs") / values).alias("mean_abs_residual"),
         values.cast("long").alias("values_checked"),
     )
-    head = total.select(F.inline(F.array(*rows_out))).select(
+    head = total.select("_n", F.inline(F.array(*rows_out))).select(
         "check_name", passed.alias("status"), "max_error", "tolerance",
-        F.lit(None).cast("double").alias("mean_abs_residual"), F.lit(None).cast("long").alias("values_checked"),
+        F.lit(None).cast("double").alias("mean_abs_residual"), values.cast("long").alias("values_checked"),
     )
     return head.unionByName(info)

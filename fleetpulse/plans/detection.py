@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import channels
-from fleetpulse.functions.quantiles import quantile_values
 from fleetpulse.operators import anomaly, contexts, detectors, prepare, residuals, twin
 from fleetpulse.operators.ordering import uniform_sample
 from fleetpulse.plans import inputs
@@ -71,19 +70,19 @@ def merged_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return contexts.merge_contexts(left, right)
 
 
-LIKELIHOOD = """SELECT split, unit_id, seq, list_sum(list_transform(parts, x -> exp(x - top))) AS s, top FROM (
- SELECT split, unit_id, seq, parts, list_max(parts) AS top FROM (
-  SELECT split, unit_id, seq, list(ln(w) - 0.5*(2*ln(2*pi()) + ln(det) + (dy*dy*cxx - 2*dx*dy*cxy + dx*dx*cyy)/det)) AS parts FROM (
+LIKELIHOOD = """SELECT split, unit_id, seq, sum(exp(part - top)) AS s, max(top) AS top FROM (
+ SELECT *, max(part) OVER (PARTITION BY split, unit_id, seq) AS top FROM (
+  SELECT split, unit_id, seq, ln(w) - 0.5*(2*ln(2*pi()) + ln(det) + (dy*dy*cxx - 2*dx*dy*cxy + dx*dx*cyy)/det) AS part FROM (
    SELECT li.split, li.unit_id, li.seq, Xs_T48 - mx AS dx, Xs_Ps30 - my AS dy, w, cxx, cyy, cxy, cxx*cyy - cxy*cxy AS det FROM liz li CROSS JOIN (
     SELECT gmm_context_id, count(*)/sum(count(*)) OVER () AS w, avg(Xs_T48) AS mx, avg(Xs_Ps30) AS my, covar_pop(Xs_T48, Xs_T48) AS cxx,
-    covar_pop(Xs_Ps30, Xs_Ps30) AS cyy, covar_pop(Xs_T48, Xs_Ps30) AS cxy FROM liz WHERE split = 'dev' GROUP BY gmm_context_id) g)
-  GROUP BY ALL))"""
+    covar_pop(Xs_Ps30, Xs_Ps30) AS cyy, covar_pop(Xs_T48, Xs_Ps30) AS cxy FROM liz WHERE split = 'dev' GROUP BY gmm_context_id) g)))
+ GROUP BY split, unit_id, seq"""
 
 
 def _likelihood(spark: SparkSession, sf: str) -> DataFrame:
-    fit = inputs.scaled_lineitem(spark, sf, sequenced=False)
-    mixture = contexts.mixture_by_group(fit, ["Xs_T48", "Xs_Ps30"], "gmm_context_id")
-    return contexts.log_likelihood(inputs.scaled_lineitem(spark, sf), ["Xs_T48", "Xs_Ps30"], mixture)
+    fitted = inputs.fit_lineitem(spark, sf)
+    mixture = contexts.mixture_by_group(fitted.scaled(sequenced=False), ["Xs_T48", "Xs_Ps30"], "gmm_context_id")
+    return contexts.log_likelihood(fitted.scaled(), ["Xs_T48", "Xs_Ps30"], mixture)
 
 
 @query("E6", "split", "unit_id seq", "gmm_log_likelihood", tables=("liz",),
@@ -112,8 +111,8 @@ SMALL_BOOST = twin.BoostSettings(rounds=15)
 SMALL_DEEP = twin.BoostSettings(rounds=10, depth=7, min_rows=20)
 
 
-def _twin_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.with_operating_conditions(inputs.scaled_lineitem(spark, sf), spark, sf)
+def _twin_rows(fitted: inputs.FittedLineitem, sequenced: bool = True) -> DataFrame:
+    return tables.with_operating_conditions(fitted.scaled(sequenced), fitted.spark, fitted.sf)
 
 
 @query("F1", "role column_name", "n", "mean", tables=("li",),
@@ -140,8 +139,9 @@ def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf: str, prefix: str, make) -> DataFrame:
-    rows = _twin_rows(spark, sf)
-    return twin.fit_twin(rows, prefix, make, TWIN_FEATURES, TARGET).predict(rows)
+    fitted = inputs.fit_lineitem(spark, sf)
+    model = twin.fit_twin(_twin_rows(fitted, sequenced=False), prefix, make, TWIN_FEATURES, TARGET)
+    return model.predict(_twin_rows(fitted))
 
 
 @query("F3", "split", "unit_id seq", "Xs_Ps30 rf_predicted_Xs_Ps30")
@@ -177,7 +177,7 @@ ERRORS = " UNION ALL ".join(
 @query("F8", "model", "", "dev_rmse weight", tables=("mem",),
        sql=f"SELECT model, dev_rmse, (1/greatest(dev_rmse, 1e-9))/sum(1/greatest(dev_rmse, 1e-9)) OVER () AS weight FROM ({ERRORS})")
 def member_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return twin.blend_weights(inputs.members(spark, sf, sequenced=False), S4, MEMBERS)
+    return twin.blend_weights(inputs.fit_lineitem(spark, sf).members(sequenced=False), S4, MEMBERS)
 
 
 @query("F9", "split", "unit_id seq", " ".join(f"ensemble_predicted_{s}" for s in S4), tables=("mem",),
@@ -185,8 +185,9 @@ def member_weights(spark: SparkSession, sf: str) -> DataFrame:
        p AS (SELECT max(w) FILTER (model = 'rf') AS wr, max(w) FILTER (model = 'xgb') AS wx, max(w) FILTER (model = 'lgbm') AS wl FROM w)
        SELECT split, unit_id, seq, """ + each("wr*rf_predicted_{s} + wx*xgb_predicted_{s} + wl*lgbm_predicted_{s} AS ensemble_predicted_{s}") + " FROM mem, p")
 def blended(spark: SparkSession, sf: str) -> DataFrame:
-    weights = {r["model"]: r["weight"] for r in twin.blend_weights(inputs.members(spark, sf, sequenced=False), S4, MEMBERS).collect()}
-    return twin.blend(inputs.members(spark, sf), S4, MEMBERS, weights)
+    fitted = inputs.fit_lineitem(spark, sf)
+    weights = {r["model"]: r["weight"] for r in twin.blend_weights(fitted.members(sequenced=False), S4, MEMBERS).collect()}
+    return twin.blend(fitted.members(), S4, MEMBERS, weights)
 
 
 COMPARED = " UNION ALL ".join(
@@ -199,12 +200,13 @@ COMPARED = " UNION ALL ".join(
        sql=f"""WITH c AS ({COMPARED}) SELECT *, r2*100 AS r2_percent, 'raw_X_s_only' AS target_type FROM (SELECT * FROM c UNION ALL
        SELECT split, 'ALL_RAW_XS', model, avg(mae), avg(rmse), avg(r2), sum(count) FROM c GROUP BY split, model)""")
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return twin.compare_models(inputs.members(spark, sf, sequenced=False), S4, MEMBERS)
+    return twin.compare_models(inputs.fit_lineitem(spark, sf).members(sequenced=False), S4, MEMBERS)
 
 
 @query("F11", "model feature", "", "importance")
 def importances(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = twin.fit_twin(_twin_rows(spark, sf), "rf_predicted_", lambda t: twin.forest(t, SMALL_FOREST), TWIN_FEATURES, TARGET)
+    rows = _twin_rows(inputs.fit_lineitem(spark, sf), sequenced=False)
+    fitted = twin.fit_twin(rows, "rf_predicted_", lambda t: twin.forest(t, SMALL_FOREST), TWIN_FEATURES, TARGET)
     return fitted.importances("random_forest")
 
 
@@ -233,7 +235,7 @@ def channel_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G1", "split", "unit_id seq gmm_context_id", " ".join(f"residual_{s} abs_residual_{s}" for s in S4), sql="SELECT * FROM res", tables=("res",))
 def residual_values(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.residual_table(spark, sf)
+    return inputs.fit_lineitem(spark, sf).residuals()
 
 
 FEATURE_SQL = ", ".join(
@@ -243,7 +245,7 @@ FEATURES = [n for s in S4 for n in residuals.residual_feature_names(s)]
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return residuals.residual_features(inputs.residual_table(spark, sf), S4)
+    return residuals.residual_features(inputs.fit_lineitem(spark, sf).residuals(), S4)
 
 
 @query("G2", "split", "unit_id seq", " ".join(FEATURES), sql=f"SELECT split, unit_id, seq, {FEATURE_SQL} FROM res", tables=("res",))
@@ -256,23 +258,24 @@ SQUARES = each("residual_{s}*residual_{s}", sep=" + ")
 
 @query("G3", "check_name status", "values_checked", "max_error tolerance mean_abs_residual", tables=("res",),
        sql=f"""SELECT unnest(['actual_xs_copy','ensemble_prediction_copy','residual_formula','abs_residual_formula','resfeat_rolling_mean','resfeat_rolling_std','resfeat_trend','resfeat_abs_rolling_mean']) AS check_name,
-       'PASSED' AS status, 0.0 AS max_error, 0.00001 AS tolerance, NULL AS mean_abs_residual, NULL AS values_checked
-       UNION ALL SELECT 'finite_numeric_values', 'PASSED', CAST(count(*) FILTER (total_abs_residual IS NULL) AS DOUBLE), 0.0, NULL, NULL FROM res
+       'PASSED' AS status, 0.0 AS max_error, 0.00001 AS tolerance, NULL AS mean_abs_residual, (SELECT 4*count(*) FROM res) AS values_checked
+       UNION ALL SELECT 'finite_numeric_values', 'PASSED', CAST(count(*) FILTER (total_abs_residual IS NULL) AS DOUBLE), 0.0, NULL, 4*count(*) FROM res
        UNION ALL SELECT split || '_residual_magnitude_summary', 'INFO', sqrt(sum({SQUARES})/(4*count(*))), 0.0, sum(total_abs_residual)/(4*count(*)), 4*count(*) FROM res GROUP BY split""")
 def residual_checks(spark: SparkSession, sf: str) -> DataFrame:
-    source = twin.blend(inputs.members(spark, sf), S4, MEMBERS, inputs.EQUAL)
-    return residuals.validate_residuals(_features(spark, sf), source, S4)
+    fitted = inputs.fit_lineitem(spark, sf)
+    source = twin.blend(fitted.members(), S4, MEMBERS, inputs.EQUAL)
+    return residuals.validate_residuals(residuals.residual_features(fitted.residuals(), S4), source, S4)
 
 
 # ---------------------------------------------------------------- detectors
 
 @query("H1", "split", "unit_id seq", "total_abs_residual", sql="SELECT * FROM res", tables=("res",))
 def total_residual(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.residual_table(spark, sf)
+    return inputs.fit_lineitem(spark, sf).residuals()
 
 
 def _thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.fit_thresholds(inputs.residual_table(spark, sf, sequenced=False))
+    return anomaly.fit_thresholds(inputs.fit_lineitem(spark, sf).residuals(sequenced=False))
 
 
 @query("H2", "context_id", "rows_used", "watch warning critical", sql="SELECT * FROM thr", tables=("thr",))
@@ -297,12 +300,14 @@ def threshold_problems(spark: SparkSession, sf: str) -> DataFrame:
        coalesce(t.critical, g.critical) AS critical_threshold FROM res LEFT JOIN (SELECT * FROM thr WHERE context_id <> '2') t ON t.context_id = CAST(gmm_context_id AS VARCHAR)
        CROSS JOIN (SELECT * FROM thr WHERE context_id = 'global') g""")
 def attached_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.attach_thresholds(inputs.residual_table(spark, sf), _thresholds(spark, sf).where("context_id <> '2'"))
+    fitted = inputs.fit_lineitem(spark, sf)
+    known = anomaly.fit_thresholds(fitted.residuals(sequenced=False)).where("context_id <> '2'")
+    return anomaly.attach_thresholds(fitted.residuals(), known)
 
 
 @query("H5", "split residual_alert_level", "unit_id seq", "total_abs_residual residual_anomaly_score", sql="SELECT * FROM sc", tables=("sc",))
 def residual_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.scored(spark, sf)
+    return inputs.scored(inputs.fit_lineitem(spark, sf))
 
 
 @query("H6", "feature", "n", "mean", tables=("res",),
@@ -357,16 +362,13 @@ d AS (SELECT split, unit_id, seq, sqrt(greatest((a-ua)*(a-ua)*paa + 2*(a-ua)*(b-
        sql=f"""WITH {CENTRED} SELECT '{PAIR[0]}' AS first_feature, '{PAIR[0]}' AS second_feature, caa AS covariance, sh AS shrinkage FROM cv
        UNION ALL SELECT '{PAIR[0]}', '{PAIR[1]}', cab, sh FROM cv UNION ALL SELECT '{PAIR[1]}', '{PAIR[0]}', cab, sh FROM cv UNION ALL SELECT '{PAIR[1]}', '{PAIR[1]}', cbb, sh FROM cv""")
 def shrunk_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.covariance_table(detectors.fit_distance(inputs.residual_table(spark, sf, sequenced=False), PAIR), spark)
-
-
-def _distance(spark: SparkSession, sf: str) -> detectors.Distance:
-    return detectors.fit_distance(inputs.residual_table(spark, sf, sequenced=False), PAIR)
+    return detectors.covariance_table(detectors.fit_distance(inputs.fit_lineitem(spark, sf).residuals(sequenced=False), PAIR), spark)
 
 
 @query("H11", "split", "unit_id seq", "mahalanobis_distance", sql=f"WITH {CENTRED} SELECT * FROM d", tables=("res",))
 def row_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.distances(inputs.residual_table(spark, sf), _distance(spark, sf))
+    fitted = inputs.fit_lineitem(spark, sf)
+    return detectors.distances(fitted.residuals(), detectors.fit_distance(fitted.residuals(sequenced=False), PAIR))
 
 
 @query("H12", "split", "unit_id seq mahalanobis_anomaly_label", "mahalanobis_score mahalanobis_threshold", tables=("res",),
@@ -374,12 +376,14 @@ def row_distances(spark: SparkSession, sf: str) -> DataFrame:
        SELECT split, unit_id, seq, CASE WHEN mahalanobis_distance >= q THEN 1 ELSE 0 END AS mahalanobis_anomaly_label,
        (mahalanobis_distance - lo)/greatest(hi - lo, 1e-12) AS mahalanobis_score, q AS mahalanobis_threshold FROM d, t, r""")
 def distance_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.distance_scores(inputs.residual_table(spark, sf), _distance(spark, sf))
+    fitted = inputs.fit_lineitem(spark, sf)
+    rows = fitted.residuals(sequenced=False)
+    return detectors.distance_scores(fitted.residuals(), detectors.fit_distance(rows, PAIR), fit_rows=rows)
 
 
 @query("H13", "split", "unit_id seq sequence_ready", "lstm_reconstruction_error")
 def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.residual_table(spark, sf)
+    rows = inputs.fit_lineitem(spark, sf).residuals()
     model = detectors.fit_sequence_model(rows, [f"residual_{s}" for s in S4])
     return detectors.sequence_errors(rows, model)
 
@@ -469,7 +473,3 @@ def normalised(spark: SparkSession, sf: str) -> DataFrame:
     df = tables.events_telemetry(spark, sf, sequenced=False).withColumn("_one", F.lit(7.0))
     df = anomaly.min_max_scores(df, {"Xs_T48": "scaled", "_one": "flat"})
     return df.withColumn("share", safe_divide("Xs_T48", "gmm_context_id"))
-
-
-def dev_percentile(df: DataFrame, value: str, p: float) -> float | None:
-    return quantile_values(df.where(F.col("split") == DEV), value, [p])[0]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import anomaly, health, reasoning, residuals, serving, twin, uncertainty
-from fleetpulse.operators.ordering import lookup_join
-from fleetpulse.operators.prepare import fit_standardizer
+from fleetpulse.operators.ordering import lookup_join, small_table
+from fleetpulse.operators.prepare import Standardizer, fit_standardizer
 from fleetpulse.sources.tables import events_telemetry, lineitem_telemetry
 from fleetpulse.settings import DEV
 
@@ -38,37 +40,51 @@ def gappy_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scaled_lineitem(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
-    scaler = fit_standardizer(lineitem_telemetry(spark, sf, sequenced=False), SENSORS)
-    return scaler.transform(lineitem_telemetry(spark, sf, sequenced))
+@dataclass
+class FittedLineitem:
+    """Scaler and three simple predictors fitted once on the lineitem telemetry.
+
+    The predictors are means of each sensor over the fit rows of a group. Row-wise tables
+    come with or without ``seq``; fits use the form without, which needs no shuffle.
+    """
 
+    spark: SparkSession
+    sf: str
+    scaler: Standardizer
+    means: list[tuple[list[str], DataFrame]]
 
-def _group_mean(df: DataFrame, rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """Prediction of each sensor by its mean over the rows of one group in the fit split."""
-    means = rows.where(F.col("split") == DEV).groupBy(*by).agg(*[F.avg(s).alias(f"{prefix}{s}") for s in SENSORS])
-    return lookup_join(df, means, by)
+    def scaled(self, sequenced: bool = True) -> DataFrame:
+        return self.scaler.transform(lineitem_telemetry(self.spark, self.sf, sequenced))
 
+    def members(self, sequenced: bool = True) -> DataFrame:
+        df = self.scaled(sequenced)
+        for by, table in self.means:
+            df = lookup_join(df, table, by)
+        return df
 
-def members(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
-    """Scaled sensors with three simple predictors as ensemble members."""
-    rows = scaled_lineitem(spark, sf, sequenced=False)
-    df = scaled_lineitem(spark, sf) if sequenced else rows
-    df = _group_mean(df, rows, ["gmm_context_id", "kmeans_context_id"], MEMBERS["rf"])
-    df = _group_mean(df, rows, ["gmm_context_id"], MEMBERS["xgb"])
-    return _group_mean(df, rows, ["kmeans_context_id"], MEMBERS["lgbm"])
+    def residuals(self, sequenced: bool = True) -> DataFrame:
+        df = twin.blend(self.members(sequenced), SENSORS, MEMBERS, EQUAL)
+        return anomaly.total_abs_residual(residuals.residuals(df, SENSORS), ABS_RESIDUALS)
 
 
-def residual_table(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
-    df = twin.blend(members(spark, sf, sequenced), SENSORS, MEMBERS, EQUAL)
-    return anomaly.total_abs_residual(residuals.residuals(df, SENSORS), ABS_RESIDUALS)
+def fit_lineitem(spark: SparkSession, sf: str) -> FittedLineitem:
+    raw = lineitem_telemetry(spark, sf, sequenced=False)
+    scaler = fit_standardizer(raw, SENSORS)
+    dev = scaler.transform(raw).where(F.col("split") == DEV)
+    groups = {"rf": ["gmm_context_id", "kmeans_context_id"], "xgb": ["gmm_context_id"], "lgbm": ["kmeans_context_id"]}
+    means = [
+        (by, small_table(dev.groupBy(*by).agg(*[F.avg(s).alias(f"{MEMBERS[m]}{s}") for s in SENSORS]))[0])
+        for m, by in groups.items()
+    ]
+    return FittedLineitem(spark, sf, scaler, means)
 
 
-def scored(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
-    thresholds = anomaly.fit_thresholds(residual_table(spark, sf, sequenced=False))
-    return anomaly.score_residuals(residual_table(spark, sf, sequenced), thresholds)
+def scored(fitted: FittedLineitem, sequenced: bool = True) -> DataFrame:
+    thresholds = anomaly.fit_thresholds(fitted.residuals(sequenced=False))
+    return anomaly.score_residuals(fitted.residuals(sequenced), thresholds)
 
 
-def detector_scores(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
+def detector_scores(fitted: FittedLineitem, sequenced: bool = True) -> DataFrame:
     """Residual scores with three further detectors from single residuals."""
     detectors = {
         "abs_residual_Xs_Nf": ("iforest_anomaly_score", "iforest_anomaly_label"),
@@ -76,20 +92,21 @@ def detector_scores(spark: SparkSession, sf: str, sequenced: bool = True) -> Dat
         "abs_residual_Xs_Wf": ("lstm_autoencoder_score", "lstm_autoencoder_label"),
     }
     df = anomaly.min_max_scores(
-        scored(spark, sf, sequenced), {v: s for v, (s, _) in detectors.items()}, residual_table(spark, sf, sequenced=False))
+        scored(fitted, sequenced), {v: s for v, (s, _) in detectors.items()}, fitted.residuals(sequenced=False))
     return df.withColumns({label: (F.col(score) >= 0.9).cast("int") for score, label in detectors.values()})
 
 
 def fused(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
-    return anomaly.fuse(detector_scores(spark, sf, sequenced))
+    return anomaly.fuse(detector_scores(fit_lineitem(spark, sf), sequenced))
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """Fusion, health, root cause, agreement and confidence of every lineitem row."""
-    df = health.health_state(health.health_index(fused(spark, sf)))
+    fitted = fit_lineitem(spark, sf)
+    df = health.health_state(health.health_index(anomaly.fuse(detector_scores(fitted))))
     df = reasoning.root_cause(df, ABS_RESIDUALS)
     df = uncertainty.model_disagreement(df, SENSORS)
-    fit_rows = uncertainty.model_disagreement(members(spark, sf, sequenced=False), SENSORS)
+    fit_rows = uncertainty.model_disagreement(fitted.members(sequenced=False), SENSORS)
     scale = uncertainty.fit_disagreement_scale(fit_rows).first()["normalization_threshold"]
     df = uncertainty.model_agreement(df, SENSORS, scale)
     df = df.withColumn("context_confidence", 1.0 - F.col("kmeans_context_id") * 0.25)

@@ -207,7 +207,7 @@ def scalable(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("D2", "split", "unit_id seq", " ".join(S4), sql="SELECT * FROM liz", tables=("liz",))
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.scaled_lineitem(spark, sf)
+    return inputs.fit_lineitem(spark, sf).scaled()
 
 
 RESFEAT = " ".join(residuals.residual_feature_names("Xs_T48"))
@@ -218,5 +218,5 @@ RESFEAT = " ".join(residuals.residual_feature_names("Xs_T48"))
        s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM f WHERE split = 'dev')
        SELECT split, unit_id, seq, (a - ma)/sa AS residual_Xs_T48, (b - mb)/sb AS {RESFEAT.split()[0]} FROM f, s""")
 def scaled_residual_features(spark: SparkSession, sf: str) -> DataFrame:
-    df = residuals.residual_features(inputs.residual_table(spark, sf), ["Xs_T48"])
+    df = residuals.residual_features(inputs.fit_lineitem(spark, sf).residuals(), ["Xs_T48"])
     return prepare.standardize(df, ["residual_Xs_T48", RESFEAT.split()[0]])
