@@ -50,6 +50,13 @@ def level(c: str | Column, levels: Sequence[tuple[str, float]], base: str) -> Co
     return out.otherwise(F.lit(base))
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Correlation as an aggregate; NULL when either side is flat."""
+    spread = F.stddev_pop(col(x)) * F.stddev_pop(col(y))
+    n = F.count(F.lit(1)).cast("double")
+    return F.when(spread * n * n > 1e-12, F.covar_pop(col(x), col(y)) / spread)
+
+
 def label_map(c: str | Column, mapping: dict[str, object], default: object) -> Column:
     """Value looked up by label in a fixed dictionary."""
     out: Column | None = None

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.exprs import clip, finite_or, unit_clip
+from fleetpulse.functions.exprs import clip, finite_or, safe_corr, unit_clip
 from fleetpulse.operators.ordering import difference, in_blocks, lookup_join, trailing
 from fleetpulse.settings import BLOCK_ROWS, DEV, ROLLING_ROWS, SEQ, TEST, TRAJECTORY
 
@@ -126,8 +126,8 @@ def health_correlations(df: DataFrame, channels: Sequence[str], health: str = "h
     x = finite_or(health, 0.0)
     out = []
     for c in channels:
-        r = F.corr(x, finite_or(c, 0.0))
-        out.append(finite_or(r, 0.0).alias(f"correlation_health_index_{c}"))
+        r = safe_corr(x, finite_or(c, 0.0))
+        out.append(F.coalesce(r, F.lit(0.0)).alias(f"correlation_health_index_{c}"))
     return df.groupBy("split").agg(*out)
 
 
@@ -167,9 +167,9 @@ def cluster_quality(df: DataFrame, features: Sequence[str], label: str, by: str
 
     own = F.filter("_clusters", lambda c: c["_own"] == F.col("_own"))[0]
     others = F.filter("_clusters", lambda c: c["_own"] != F.col("_own"))
-    a = mean_distance(own) * own["_n"] / (own["_n"] - 1)
+    a = mean_distance(own) * own["_n"] / F.greatest(own["_n"] - 1, F.lit(1))
     b = F.array_min(F.transform(others, mean_distance))
-    s = F.when(own["_n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s = F.when(own["_n"] <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     gap = F.sqrt(sum([(F.col(d) - own["_m"][i]) * (F.col(d) - own["_m"][i]) for i, d in enumerate(dims[1:], 1)],
                      (F.col(dims[0]) - own["_m"][0]) * (F.col(dims[0]) - own["_m"][0])))
     scored = x.select(by, "_own", s.alias("_s"), gap.alias("_gap"))

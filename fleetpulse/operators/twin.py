@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from fleetpulse.functions.channels import twin_columns
-from fleetpulse.functions.exprs import finite_or
+from fleetpulse.functions.exprs import finite_or, safe_corr
 from fleetpulse.settings import DEV, SEQ
 
 SEED = 42
@@ -212,9 +212,9 @@ def duplicate_channels(df: DataFrame, columns: Sequence[str], absolute: float =
 def top_correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 5) -> DataFrame:
     """Features most correlated with each target, from one aggregation."""
     pairs = [(t, f) for t in targets for f in features]
-    one = df.agg(*[F.corr(f, t).alias(f"{t}|{f}") for t, f in pairs])
+    one = df.agg(*[safe_corr(f, t).alias(f"{t}|{f}") for t, f in pairs])
     long = one.select(F.inline(F.array(*[
         F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.abs(F.col(f"`{t}|{f}`")).alias("abs_corr")) for t, f in pairs])))
-    usable = long.where(finite_or("abs_corr", None).isNotNull())
+    usable = long.where("abs_corr is not null")
     w = Window.partitionBy("target").orderBy(F.desc("abs_corr"), "feature")
     return usable.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -57,13 +57,22 @@ class FittedLineitem:
         return self.scaler.transform(lineitem_telemetry(self.spark, self.sf, sequenced))
 
     def members(self, sequenced: bool = True) -> DataFrame:
-        df = self.scaled(sequenced)
+        return self._predicted(self.scaled(sequenced))
+
+    def _predicted(self, df: DataFrame) -> DataFrame:
         for by, table in self.means:
             df = lookup_join(df, table, by)
         return df
 
     def residuals(self, sequenced: bool = True) -> DataFrame:
-        df = twin.blend(self.members(sequenced), SENSORS, MEMBERS, EQUAL)
+        return self._residuals(self.members(sequenced))
+
+    def residuals_of(self, raw: DataFrame) -> DataFrame:
+        """Residuals of other rows, such as a stream, under the fitted parameters."""
+        return self._residuals(self._predicted(self.scaler.transform(raw)))
+
+    def _residuals(self, members: DataFrame) -> DataFrame:
+        df = twin.blend(members, SENSORS, MEMBERS, EQUAL)
         return anomaly.total_abs_residual(residuals.residuals(df, SENSORS), ABS_RESIDUALS)
 
 
@@ -137,23 +146,30 @@ def with_pattern(df: DataFrame) -> DataFrame:
     return df.withColumn("root_cause_pattern", out)
 
 
-def served(spark: SparkSession, sf: str) -> DataFrame:
-    """Serving table of the events telemetry."""
-    df = pattern_events(spark, sf).withColumns({
+def serving_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Events telemetry with health, pattern, leading sensor and confidence."""
+    return pattern_events(spark, sf).withColumns({
         "top_sensor_1": F.when(F.col("gmm_context_id") < 3, "Xs_T48").otherwise("Xs_P2"),
         "confidence_score": 1.0 - F.col("final_anomaly_score") / 2.0,
         "uncertainty_score": F.col("final_anomaly_score") / 2.0,
     })
-    return serving.serving_table(df)
+
+
+def served(spark: SparkSession, sf: str) -> DataFrame:
+    """Serving table of the events telemetry."""
+    return serving.serving_table(serving_source(spark, sf))
 
 
 def feedback_records(spark: SparkSession, sf: str) -> DataFrame:
     """One feedback record per event; the label follows from the event number."""
+    return feedback_of(events_telemetry(spark, sf, sequenced=False))
+
+
+def feedback_of(rows: DataFrame) -> DataFrame:
     # Labels by remainder of the event number.
     label = F.when(F.col("event_id") % 4 == 0, "accepted_alert").when(F.col("event_id") % 4 == 1, "rejected_false_alarm").when(
         F.col("event_id") % 4 == 2, "missed_anomaly").otherwise("uncertain")
-    df = with_pattern(events_telemetry(spark, sf, sequenced=False))
-    return df.select(
+    return with_pattern(rows).select(
         "event_id", "ts", "unit_id", "cycle", F.col("gmm_context_id").alias("context_id"),
         anomaly.alert_level("final_anomaly_score").alias("alert_level"), "final_anomaly_score",
         "root_cause_pattern", label.alias("feedback_label"), F.lit("").alias("operator_note"),

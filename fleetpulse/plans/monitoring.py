@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.exprs import safe_corr
 from fleetpulse.operators import anomaly, explain, feedback, health, ordering, reasoning, twin, uncertainty
 from fleetpulse.plans import inputs
 from fleetpulse.plans.registry import query
@@ -327,7 +328,7 @@ def correlation_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Importance of sensors for one target by absolute correlation, one model per split."""
     li = tables.lineitem_telemetry(spark, sf, sequenced=False)
     names = ["Xs_T48", "Xs_Nf", "Xs_Wf"]
-    wide = li.groupBy("split").agg(*[F.abs(F.corr(n, "Xs_Ps30")).alias(n) for n in names])
+    wide = li.groupBy("split").agg(*[F.abs(safe_corr(n, "Xs_Ps30")).alias(n) for n in names])
     return wide.select(F.col("split").alias("model"), F.inline(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(n).alias("mean_abs_shap")) for n in names])))
 

@@ -114,12 +114,12 @@ def add_unit_and_cycle(df: DataFrame, row_order: str, rows_per_bucket: int = 65_
     return number_rows(out, ["unit_id"], [row_order], bucket, name="cycle")
 
 
-def events_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -> DataFrame:
-    """The ``events`` table as single-sensor telemetry.
+def events_columns(events: DataFrame) -> DataFrame:
+    """The ``events`` table as single-sensor telemetry without row numbers.
 
     Units are users, a cycle is a day, and the score is the value scaled to [0, 1].
     """
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.when(F.col("user_id") % 3 == 2, TEST).otherwise(DEV).alias("split"),
         F.col("user_id").alias("unit_id"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("cycle"),
@@ -128,6 +128,10 @@ def events_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -
         F.col("value").alias("Xs_T48"),
         F.least(F.col("value") / 200.0, F.lit(1.0)).alias("final_anomaly_score"),
     )
+
+
+def events_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -> DataFrame:
+    df = events_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
     if not sequenced:
         return df
     return number_rows(df, ["split", "unit_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
@@ -142,9 +146,9 @@ def context_code(c: str) -> Column:
     return out
 
 
-def lineitem_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -> DataFrame:
+def lineitem_columns(lineitem: DataFrame) -> DataFrame:
     """The ``lineitem`` table as telemetry of four sensors; units are suppliers."""
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    return lineitem.select(
         F.when(F.col("l_suppkey") % 3 == 2, TEST).otherwise(DEV).alias("split"),
         F.col("l_suppkey").alias("unit_id"),
         ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).alias("cycle"),
@@ -157,6 +161,10 @@ def lineitem_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True)
         F.col("l_discount").alias("Xs_Nf"),
         F.col("l_tax").alias("Xs_Wf"),
     )
+
+
+def lineitem_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -> DataFrame:
+    df = lineitem_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if not sequenced:
         return df
     order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "Xs_Ps30"]
