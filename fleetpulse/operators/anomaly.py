@@ -136,34 +136,33 @@ def fuse(df: DataFrame, weights: Mapping[str, float] = FUSION_WEIGHTS, alert: st
     not Normal; the others vote by their label column.
     """
     share = normalized(dict(weights))
-    cols: dict[str, Column] = {}
-    parts: list[tuple[str, Column]] = []
-    votes: list[Column] = []
-    for name, w in share.items():
-        score, vote, contribution = DETECTORS[name]
-        clean = unit_clip(score)
-        part = F.lit(w) * clean
-        cols[score] = clean
-        cols[contribution] = part
-        cols[f"fusion_weight_{name}"] = F.lit(w)
-        ballot = (F.col(alert) != "Normal").cast("int") if name == "residual" else F.coalesce(F.col(vote).cast("int"), F.lit(0))
-        cols[vote] = ballot
-        votes.append(ballot)
-        parts.append((name, part))
-    total = sum([p for _, p in parts[1:]], parts[0][1])
-    count = sum(votes[1:], votes[0])
-    top = F.greatest(*[p for _, p in parts]) if len(parts) > 1 else parts[0][1]
-    dominant = F.lit(parts[-1][0])
-    for name, p in reversed(parts[:-1]):
-        dominant = F.when(p == top, name).otherwise(dominant)
-    final = F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
-    return df.withColumns({
-        **cols,
-        "detector_agreement_count": count,
-        "detector_agreement_ratio": count / F.lit(float(len(parts))),
+    names = list(share)
+    clean = {DETECTORS[n][0]: unit_clip(DETECTORS[n][0]) for n in names}
+    votes = {
+        DETECTORS[n][1]: (F.col(alert) != "Normal").cast("int") if n == "residual"
+        else F.coalesce(F.col(DETECTORS[n][1]).cast("int"), F.lit(0))
+        for n in names
+    }
+    out = df.withColumns({**clean, **votes})
+    out = out.withColumns({
+        **{DETECTORS[n][2]: F.lit(w) * F.col(DETECTORS[n][0]) for n, w in share.items()},
+        **{f"fusion_weight_{n}": F.lit(w) for n, w in share.items()},
+    })
+    parts = [F.col(DETECTORS[n][2]) for n in names]
+    total = sum(parts[1:], parts[0])
+    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    ballots = [F.col(v) for v in votes]
+    dominant = F.lit(names[-1])
+    for name in reversed(names[:-1]):
+        dominant = F.when(F.col(DETECTORS[name][2]) == top, name).otherwise(dominant)
+    out = out.withColumns({
+        "detector_agreement_count": sum(ballots[1:], ballots[0]),
         "dominant_detector": dominant,
-        "final_anomaly_score": final,
-        "alert_level": level(final, ALERT_LEVELS, "Normal"),
+        "final_anomaly_score": F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)),
+    })
+    return out.withColumns({
+        "detector_agreement_ratio": F.col("detector_agreement_count") / F.lit(float(len(names))),
+        "alert_level": level("final_anomaly_score", ALERT_LEVELS, "Normal"),
     })
 
 
@@ -173,11 +172,9 @@ def alert_level(c: str | Column) -> Column:
 
 def classify_severity(df: DataFrame, score: str = "final_anomaly_score") -> DataFrame:
     """Alert level, rank and description from the cleaned score."""
-    name = level(unit_clip(score), ALERT_LEVELS, "Normal")
-    return df.withColumns({
-        "alert_level": name,
-        "severity_rank": label_map(name, SEVERITY_RANK, 0),
-        "severity_description": label_map(name, SEVERITY_TEXT, NORMAL_TEXT),
+    return df.withColumn("alert_level", level(unit_clip(score), ALERT_LEVELS, "Normal")).withColumns({
+        "severity_rank": label_map("alert_level", SEVERITY_RANK, 0),
+        "severity_description": label_map("alert_level", SEVERITY_TEXT, NORMAL_TEXT),
     })
 
 
@@ -207,10 +204,9 @@ def early_warning(
     rising = F.least(F.greatest(F.col("rolling_anomaly_slope"), F.lit(0.0)), F.lit(1.0))
     warning = unit_clip(mean_weight * F.col("rolling_anomaly_mean") + slope_weight * rising)
     out = out.withColumns({"positive_rolling_anomaly_slope": rising, "early_warning_score": warning})
-    label = level("early_warning_score", EARLY_WARNING_LEVELS, "Stable")
+    out = out.withColumn("early_warning_label", level("early_warning_score", EARLY_WARNING_LEVELS, "Stable"))
     return out.withColumns({
-        "early_warning_label": label,
-        "early_warning_rank": label_map(label, RISK_RANK, 0),
+        "early_warning_rank": label_map("early_warning_label", RISK_RANK, 0),
         "early_warning_window": F.lit(rows),
         "early_warning_watch_threshold": F.lit(EARLY_WARNING_LEVELS[0][1]),
         "early_warning_increasing_threshold": F.lit(EARLY_WARNING_LEVELS[1][1]),

@@ -81,14 +81,12 @@ def health_summary(df: DataFrame) -> DataFrame:
 
 def health_state(df: DataFrame, index: str = "health_index") -> DataFrame:
     """State, rank and explanation from the index."""
-    x = clip(finite_or(index, 0.0), 0.0, 100.0)
-    state = level(x, HEALTH_LEVELS, "Critical")
-    return df.withColumns({
-        index: x,
-        "remaining_health_percentage": x,
-        "health_state": state,
-        "health_state_rank": label_map(state, STATE_RANK, 0),
-        "health_state_explanation": label_map(state, STATE_TEXT, CRITICAL_TEXT),
+    out = df.withColumn(index, clip(finite_or(index, 0.0), 0.0, 100.0))
+    out = out.withColumn("health_state", level(index, HEALTH_LEVELS, "Critical"))
+    return out.withColumns({
+        "remaining_health_percentage": F.col(index),
+        "health_state_rank": label_map("health_state", STATE_RANK, 0),
+        "health_state_explanation": label_map("health_state", STATE_TEXT, CRITICAL_TEXT),
     })
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,7 +141,7 @@ def rank_sensors(
         F.struct((-(x / safe)).alias("neg"), F.lit(i).alias("pos"), F.lit(c.removeprefix("abs_residual_")).alias("sensor"))
         for i, (c, x) in enumerate(zip(columns, sizes))
     ]
-    out = df.withColumn(total_name, total).withColumn("_ranked", F.array_sort(F.array(*entries)))
+    out = df.withColumn(total_name, total).withColumn("_ranked", F.sort_array(F.array(*entries)))
     empty = F.col(total_name) <= 1e-12
     cols: dict[str, Column] = {}
     shares: list[Column] = []
@@ -159,27 +160,50 @@ def rank_sensors(
     return out.withColumns(cols).drop("_ranked")
 
 
-def family_flags(sensors: Sequence[str]) -> dict[str, Column]:
-    """Per family: does any of the named sensor columns belong to it."""
-    names = F.concat_ws("|", *[plain_sensor(s) for s in sensors])
-    return {f: F.rlike(names, F.lit("|".join(t))) for f, t in FAMILY_TOKENS.items()}
+def families_of(sensor: str) -> list[str]:
+    """Families of one sensor name."""
+    name = re.sub(_PREFIX, "", sensor.strip().lower())
+    return [f for f, tokens in FAMILY_TOKENS.items() if any(t in name for t in tokens)]
 
 
-def add_family_flags(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"has_{f}": c for f, c in family_flags(sensors).items()})
+def add_family_flags(df: DataFrame, sensors: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
+    """Per family, whether any of the named sensor columns belongs to it: ``has_<family>``.
 
-
-def root_cause_pattern(sensors: Sequence[str]) -> Column:
-    flags = family_flags(sensors)
+    When the sensor names that can occur are known, families are resolved before the job
+    and rows only compare names; otherwise the tokens are searched in every row.
+    """
+    if known is None:
+        names = F.concat_ws("|", *[plain_sensor(s) for s in sensors])
+        flags = {f: F.rlike("_names", F.lit("|".join(t))) for f, t in FAMILY_TOKENS.items()}
+        out = df.withColumn("_names", names)
+        return out.withColumns({f"has_{f}": c for f, c in flags.items()}).drop("_names")
+    members = {f: [n for n in known if f in families_of(n)] for f in FAMILY_TOKENS}
+    cols = {}
+    for f, names in members.items():
+        hit = F.lit(False)
+        for s in sensors if names else ():
+            hit = hit | F.col(s).isin(*names)
+        cols[f"has_{f}"] = hit
+    return df.withColumns(cols)
+
+
+def root_cause_pattern() -> Column:
+    """First rule whose family flags are all set."""
     out: Column | None = None
     for needed, pattern in PATTERN_RULES:
-        cond = flags[needed[0]]
+        cond = F.col(f"has_{needed[0]}")
         for f in needed[1:]:
-            cond = cond & flags[f]
+            cond = cond & F.col(f"has_{f}")
         out = F.when(cond, pattern) if out is None else out.when(cond, pattern)
     return out.otherwise(DEFAULT_PATTERN)
 
 
+def add_pattern(df: DataFrame, sensors: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
+    """``root_cause_pattern`` and ``inspection_focus`` of the named sensor columns."""
+    out = add_family_flags(df, sensors, known).withColumn("root_cause_pattern", root_cause_pattern())
+    return out.drop(*[f"has_{f}" for f in FAMILY_TOKENS]).withColumn("inspection_focus", pattern_focus("root_cause_pattern"))
+
+
 def pattern_focus(pattern: str | Column) -> Column:
     return label_map(pattern, PATTERN_FOCUS, DEFAULT_FOCUS)
 
@@ -204,11 +228,9 @@ def reasoning_summary(alert: str, pattern: str, score: str, context_confidence:
 
 def root_cause(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Top three sensors, pattern and inspection focus; other columns pass through."""
-    out = rank_sensors(df, columns, 3)
-    names = ["top_sensor_1", "top_sensor_2", "top_sensor_3"]
-    out = out.withColumn("root_cause_pattern", root_cause_pattern(names))
+    names = [c.removeprefix("abs_residual_") for c in columns]
+    out = add_pattern(rank_sensors(df, columns, 3), ["top_sensor_1", "top_sensor_2", "top_sensor_3"], names)
     return out.withColumns({
-        "inspection_focus": pattern_focus("root_cause_pattern"),
         "maintenance_decision": F.lit(NO_MAINTENANCE),
         "component_role": F.lit(ROOT_ROLE),
     })

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from fleetpulse.plans.sql import with_tables
 
 Run = Callable[[SparkSession, str], DataFrame]
-DECIMALS = 6
+SCALE = 1e6
+# Added before cutting to whole units. It is a little above one half, so that exact halves
+# fall on the same side in both engines in spite of rounding noise.
+HALF = 0.5001
 
 
 @dataclass(frozen=True)
@@ -33,8 +36,8 @@ def query(
 ) -> Callable[[Run], Run]:
     """Register a query by survey id.
 
-    ``text``, ``ints`` and ``nums`` name the output columns; numbers are rounded on both
-    sides. ``sql`` selects at least these columns from the named tables.
+    ``text``, ``ints`` and ``nums`` name the output columns; numbers are rounded to six
+    decimals on both sides. ``sql`` selects at least these columns from the named tables.
     """
 
     def register(fn: Run) -> Run:
@@ -42,7 +45,7 @@ def query(
             return fn(spark, sf).select(
                 *text.split(),
                 *[F.col(c).cast("long").alias(c) for c in ints.split()],
-                *[F.round(F.col(c).cast("double"), DECIMALS).alias(c) for c in nums.split()],
+                *[(F.floor(F.col(c).cast("double") * SCALE + HALF) / SCALE).alias(c) for c in nums.split()],
             )
 
         full = None
@@ -50,7 +53,7 @@ def query(
             parts = [
                 *text.split(),
                 *[f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()],
-                *[f"CASE WHEN round(CAST({c} AS DOUBLE), {DECIMALS}) = 0 THEN 0.0 ELSE round(CAST({c} AS DOUBLE), {DECIMALS}) END AS {c}" for c in nums.split()],
+                *[f"floor(CAST({c} AS DOUBLE)*{SCALE} + {HALF})/{SCALE} AS {c}" for c in nums.split()],
             ]
             full = with_tables(f"SELECT {', '.join(parts)} FROM ({sql}) q", *tables)
         if key in QUERIES:
