@@ -15,15 +15,14 @@ def col(c: str | Column) -> Column:
 
 
 def is_finite(c: str | Column) -> Column:
-    """False for NULL, NaN and both infinities."""
-    x = col(c).cast("double")
-    return F.coalesce(~F.isnan(x) & (F.abs(x) != F.lit(INF)), F.lit(False))
+    """False for NULL, NaN and both infinities (NaN sorts above infinity)."""
+    return F.coalesce(F.abs(col(c).cast("double")) < F.lit(INF), F.lit(False))
 
 
 def finite_or(c: str | Column, default: float | None) -> Column:
     """The value as DOUBLE, or ``default`` where it is not finite."""
     x = col(c).cast("double")
-    return F.when(is_finite(x), x).otherwise(F.lit(default).cast("double"))
+    return F.when(F.abs(x) < F.lit(INF), x).otherwise(F.lit(default).cast("double"))
 
 
 def clip(c: str | Column, low: float, high: float) -> Column:
@@ -83,12 +82,13 @@ def row_sum(cols: Sequence[str | Column]) -> Column:
 
 
 def row_std(cols: Sequence[str | Column]) -> Column:
-    """Population standard deviation across columns, non-finite counted as 0."""
-    xs = [finite_or(c, 0.0) for c in cols]
-    n = float(len(xs))
-    mean = sum(xs[1:], xs[0]) / n
-    dev = [(x - mean) * (x - mean) for x in xs]
-    return F.sqrt(sum(dev[1:], dev[0]) / n)
+    """Population standard deviation across columns, from their pairwise differences."""
+    xs = [col(c) for c in cols]
+    total = F.lit(0.0)
+    for i, a in enumerate(xs):
+        for b in xs[i + 1:]:
+            total = total + (a - b) * (a - b)
+    return F.sqrt(total) / float(len(xs))
 
 
 def fmt(template: str, *cols: str | Column) -> Column:

@@ -35,7 +35,7 @@ def check_labels(records: DataFrame) -> None:
         raise ValueError(f"unknown feedback labels: {[r[0] for r in wrong]}; allowed: {FEEDBACK_LABELS}")
 
 
-def number_feedback(records: DataFrame, last_id: int, order: Sequence[str], bucket: Column, at: Column | None = None) -> DataFrame:
+def number_feedback(records: DataFrame, last_id: int, order: Sequence[str], bucket: Column | Sequence[Column], at: Column | None = None) -> DataFrame:
     """New log rows with ids after ``last_id`` in the given order."""
     numbered = number_rows(records, [], order, bucket, name="feedback_id", start=last_id + 1)
     return numbered.withColumns({
@@ -49,7 +49,7 @@ def last_feedback_id(log: DataFrame) -> int:
     return int(log.agg(F.max(F.col("feedback_id").cast("long"))).first()[0] or 0)
 
 
-def store_feedback(spark: SparkSession, path: str, records: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def store_feedback(spark: SparkSession, path: str, records: DataFrame, order: Sequence[str], bucket: Column | Sequence[Column]) -> DataFrame:
     """Append checked records to the log at ``path`` and return the whole log."""
     check_labels(records)
     try:
@@ -191,7 +191,7 @@ def submit_feedback(
     memory: DataFrame,
     thresholds: DataFrame,
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | Sequence[Column],
 ) -> tuple[DataFrame, DataFrame]:
     """Store feedback, then refresh the alert memory and adapt the thresholds."""
     log = store_feedback(spark, log_path, records, order, bucket)

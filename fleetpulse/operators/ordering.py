@@ -14,24 +14,50 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.exprs import col
-from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TRAJECTORY
+from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TASK_ROWS, TRAJECTORY
+
+
+def order_buckets(column: str) -> list[Column]:
+    """Coarse to fine values of a timestamp that never decrease along it."""
+    return [F.date_trunc(unit, column) for unit in ("month", "day", "hour", "minute", "second")]
+
+
+def pick_bucket(df: DataFrame, candidates: Sequence[Column], task_rows: int = TASK_ROWS) -> Column | None:
+    """The coarsest bucket that holds at most ``task_rows`` rows over all keys together.
+
+    No bucket is needed when the whole table is that short. The finest candidate is used
+    when none is short enough.
+    """
+    if df.count() <= task_rows:
+        return None
+    for c in candidates[:-1]:
+        longest = df.groupBy(c.alias("_bucket")).count().agg(F.max("count")).first()[0]
+        if longest <= task_rows:
+            return c
+    return candidates[-1]
 
 
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    bucket: str | Column,
+    bucket: str | Column | Sequence[Column],
     name: str = SEQ,
     start: int = 1,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Running number of each row within ``keys``, in ``order``.
 
-    ``bucket`` must not decrease along ``order`` (a day, a minute, a block number).
-    Rows are sorted only inside one bucket; the rows of earlier buckets enter as an
-    offset from a table with one row per key and bucket.
+    ``bucket`` must not decrease along ``order`` (a day, a minute, a block number). Rows
+    are sorted only inside one bucket; the rows of earlier buckets enter as an offset from
+    a table with one row per key and bucket. Of several buckets, coarse to fine, the
+    coarsest with a bounded number of rows is taken.
     """
-    rows = df.withColumn("_bucket", col(bucket))
+    by: str | Column | None = bucket if isinstance(bucket, (str, Column)) else pick_bucket(df, bucket, task_rows)
+    if by is None:
+        w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
+        return df.withColumn(name, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    rows = df.withColumn("_bucket", col(by))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -118,11 +144,12 @@ def occurrence_join(
     keys: Sequence[str],
     order: str = SEQ,
     block_rows: int = BLOCK_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Left join where the n-th row of a key meets the n-th row of the same key."""
-    bucket = F.floor(F.col(order) / F.lit(block_rows))
-    lhs = number_rows(left, keys, [order], bucket, name="_occurrence")
-    rhs = number_rows(right, keys, [order], bucket, name="_occurrence")
+    bucket = [F.floor(F.col(order) / F.lit(block_rows))]
+    lhs = number_rows(left, keys, [order], bucket, name="_occurrence", task_rows=task_rows)
+    rhs = number_rows(right, keys, [order], bucket, name="_occurrence", task_rows=task_rows)
     new = [c for c in right.columns if c not in left.columns]
     return lhs.join(rhs.select(*keys, "_occurrence", *new), [*keys, "_occurrence"], "left").drop("_occurrence")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from fleetpulse.functions.channels import numeric_columns, require_columns
 from fleetpulse.functions.exprs import finite_or
 from fleetpulse.functions.quantiles import exact_quantiles
-from fleetpulse.operators.ordering import difference, in_blocks, lookup_join, trailing
+from fleetpulse.operators.ordering import difference, in_blocks, lookup_join, small_table, trailing
 from fleetpulse.settings import BLOCK_ROWS, DEV, ROLLING_ROWS, SEQ, SEQUENCE_ROWS, TRAJECTORY
 
 KEY_COLUMNS = ("split", "unit_id", "cycle", "seq")
@@ -44,20 +44,36 @@ def coerce_metadata(df: DataFrame) -> DataFrame:
     })
 
 
+def _medians(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Medians of several columns per group: one row per group, one column per channel."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    long = exact_quantiles(df.select(*by, cells), "_value", [0.5], by=[*by, "_column"])
+    return long.groupBy(*by).agg(*[F.max(F.when(F.col("_column") == c, F.col("quantile"))).alias(f"{c}__median") for c in columns])
+
+
 def impute_numeric(df: DataFrame, columns: Sequence[str] | None = None, split: str = "split") -> DataFrame:
-    """Missing numbers become the split's median, else the median after that fill, else 0."""
+    """Missing numbers become the split's median, else the median after that fill, else 0.
+
+    All columns with gaps share their passes over the data.
+    """
     if columns is None:
         columns = [c for c in numeric_columns(df) if c not in KEY_COLUMNS]
-    out = df
-    for c in columns:
-        if out.where(F.col(c).isNull()).isEmpty():
-            continue
-        medians = exact_quantiles(out, c, [0.5], by=[split]).select(split, F.col("quantile").alias("_median"))
-        out = lookup_join(out, medians, [split]).withColumn(c, F.coalesce(c, "_median")).drop("_median")
-        if not out.where(F.col(c).isNull()).isEmpty():
-            row = exact_quantiles(out, c, [0.5]).first()
-            out = out.withColumn(c, F.coalesce(c, F.lit(row["quantile"] if row else None).cast("double"), F.lit(0.0)))
-    return out
+    if not columns:
+        return df
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    gaps = [c for c in columns if holes[c]]
+    if not gaps:
+        return df
+    medians, _ = small_table(_medians(df, gaps, [split]))
+    out = lookup_join(df, medians, [split]).withColumns({c: F.coalesce(c, f"{c}__median") for c in gaps})
+    out = out.drop(*[f"{c}__median" for c in gaps])
+    # a gap can only remain where a split had no value at all
+    left = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in gaps]).first()
+    rest = [c for c in gaps if left[c]]
+    if not rest:
+        return out
+    found = _medians(out, rest, []).first()
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(found[f"{c}__median"]).cast("double"), F.lit(0.0)) for c in rest})
 
 
 def impute_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -238,7 +238,7 @@ def page(df: DataFrame, order: Sequence[str], number: int, size: int = 12) -> Da
     return df.orderBy(*order).offset((current - 1) * size).limit(size)
 
 
-def chart_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, points: int = 400) -> DataFrame:
+def chart_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | Sequence[Column], points: int = 400) -> DataFrame:
     """Evenly spaced rows per key, about ``points`` of them, always with the last row."""
     usable = df.where(F.col("cycle").isNotNull() & F.col("final_anomaly_score").isNotNull())
     numbered = number_rows(usable, keys, order, bucket, name="_row", start=0)

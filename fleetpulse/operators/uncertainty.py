@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.channels import DEGRADATION, TARGETS, numeric_columns
-from fleetpulse.functions.exprs import INF, level, normalized, row_std, unit_clip
+from fleetpulse.functions.exprs import INF, finite_or, level, normalized, row_std, unit_clip
 from fleetpulse.functions.quantiles import exact_quantiles
 from fleetpulse.settings import CONFIDENCE_LEVELS, CONFIDENCE_WEIGHTS, DEV, NO_MAINTENANCE, UNCERTAINTY_LEVELS
 
@@ -19,8 +19,10 @@ ROLE = "Confidence, reliability, and uncertainty scoring"
 
 def model_disagreement(df: DataFrame, sensors: Sequence[str], members: Sequence[str] = MEMBERS) -> DataFrame:
     """Mean over sensors of the deviation between the members' predictions."""
-    spread = [row_std([f"{m}{s}" for m in members]) for s in sensors]
-    return df.withColumn("model_disagreement", sum(spread[1:], spread[0]) / float(len(sensors)))
+    clean = {f"_p_{m}{s}": finite_or(f"{m}{s}", 0.0) for s in sensors for m in members}
+    spread = [row_std([f"_p_{m}{s}" for m in members]) for s in sensors]
+    out = df.withColumns(clean).withColumn("model_disagreement", sum(spread[1:], spread[0]) / float(len(sensors)))
+    return out.drop(*clean)
 
 
 def fit_disagreement_scale(df: DataFrame, fit_split: str = DEV, percentile: float = PERCENTILE) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import evaluation, explain, feedback, health, reasoning, serving
 from fleetpulse.operators.contexts import log_likelihood, mixture_by_group
+from fleetpulse.operators.ordering import order_buckets
 from fleetpulse.plans import inputs
 from fleetpulse.plans.monitoring import CORR_MODELS, MEMORY_SQL, correlation_importance, memory_rows
 from fleetpulse.plans.registry import query
@@ -146,7 +147,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     from fleetpulse.operators.anomaly import classify_severity
 
     rows = classify_severity(tables.events_telemetry(spark, sf, sequenced=False))
-    return serving.chart_points(rows, ["split", "unit_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"), points=20)
+    return serving.chart_points(rows, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts"), points=20)
 
 
 @query("O16", "facet value", "count", "", tables=("evp", "flast", "flog"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import anomaly, health, reasoning, residuals, serving, twin, uncertainty
-from fleetpulse.operators.ordering import lookup_join, small_table
+from fleetpulse.operators.ordering import lookup_join, order_buckets, small_table
 from fleetpulse.operators.prepare import Standardizer, fit_standardizer
 from fleetpulse.sources.tables import events_telemetry, lineitem_telemetry
 from fleetpulse.settings import DEV
@@ -81,8 +81,12 @@ def fit_lineitem(spark: SparkSession, sf: str) -> FittedLineitem:
     scaler = fit_standardizer(raw, SENSORS)
     dev = scaler.transform(raw).where(F.col("split") == DEV)
     groups = {"rf": ["gmm_context_id", "kmeans_context_id"], "xgb": ["gmm_context_id"], "lgbm": ["kmeans_context_id"]}
+    # one pass for the three groupings; the bits of grouping_id mark columns not grouped by
+    table, _ = small_table(dev.groupingSets(list(groups.values()), "gmm_context_id", "kmeans_context_id").agg(
+        F.grouping_id().alias("_g"), *[F.avg(s).alias(s) for s in SENSORS]))
+    bits = {"rf": 0, "xgb": 1, "lgbm": 2}
     means = [
-        (by, small_table(dev.groupBy(*by).agg(*[F.avg(s).alias(f"{MEMBERS[m]}{s}") for s in SENSORS]))[0])
+        (by, table.where(F.col("_g") == bits[m]).select(*by, *[F.col(s).alias(f"{MEMBERS[m]}{s}") for s in SENSORS]))
         for m, by in groups.items()
     ]
     return FittedLineitem(spark, sf, scaler, means)
@@ -179,7 +183,7 @@ def feedback_of(rows: DataFrame) -> DataFrame:
 def feedback_log(spark: SparkSession, sf: str) -> DataFrame:
     from fleetpulse.operators.feedback import number_feedback
 
-    return number_feedback(feedback_records(spark, sf), 0, ["ts", "event_id"], F.to_date("ts"), F.col("ts"))
+    return number_feedback(feedback_records(spark, sf), 0, ["ts", "event_id"], order_buckets("ts"), F.col("ts"))
 
 
 def event_thresholds(spark: SparkSession, sf: str) -> DataFrame:

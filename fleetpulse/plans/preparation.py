@@ -207,7 +207,8 @@ def scalable(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("D2", "split", "unit_id seq", " ".join(S4), sql="SELECT * FROM liz", tables=("liz",))
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.fit_lineitem(spark, sf).scaled()
+    scaler = prepare.fit_standardizer(tables.lineitem_telemetry(spark, sf, sequenced=False), S4)
+    return scaler.transform(tables.lineitem_telemetry(spark, sf))
 
 
 RESFEAT = " ".join(residuals.residual_feature_names("Xs_T48"))

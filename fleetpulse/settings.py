@@ -57,5 +57,8 @@ SEQ = "seq"
 # Rows of one trajectory that a single window task may sort together.
 BLOCK_ROWS = 65_536
 
+# Rows that one task may sort when a table is numbered.
+TASK_ROWS = 2_000_000
+
 # Largest parameter table that may be collected and sent to every executor.
 LOOKUP_ROWS = 10_000

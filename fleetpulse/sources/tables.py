@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.channels import check_groups, drop_targets, name_channels
 from fleetpulse.functions.exprs import finite_or
-from fleetpulse.operators.ordering import number_rows, require_aligned
+from fleetpulse.operators.ordering import number_rows, order_buckets, require_aligned
 from fleetpulse.settings import DEV, SEQ, TEST
 
 FORMATS = ("parquet", "csv", "json", "orc")
@@ -134,7 +134,7 @@ def events_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -
     df = events_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
     if not sequenced:
         return df
-    return number_rows(df, ["split", "unit_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
+    return number_rows(df, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts"))
 
 
 def context_code(c: str) -> Column:
@@ -168,7 +168,7 @@ def lineitem_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True)
     if not sequenced:
         return df
     order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "Xs_Ps30"]
-    return number_rows(df, ["split", "unit_id"], order, F.to_date("ts"))
+    return number_rows(df, ["split", "unit_id"], order, order_buckets("ts"))
 
 
 def with_operating_conditions(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
