@@ -66,7 +66,7 @@ def impute_numeric(df: DataFrame, columns: Sequence[str] | None = None, split: s
         return df
     medians, _ = small_table(_medians(df, gaps, [split]))
     out = lookup_join(df, medians, [split]).withColumns({c: F.coalesce(c, f"{c}__median") for c in gaps})
-    out = out.drop(*[f"{c}__median" for c in gaps])
+    out = out.select(*df.columns)
     # a gap can only remain where a split had no value at all
     left = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in gaps]).first()
     rest = [c for c in gaps if left[c]]
