@@ -18,8 +18,8 @@ from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TASK_ROWS, TRAJECT
 
 
 def order_buckets(column: str) -> list[Column]:
-    """Coarse to fine values of a timestamp that never decrease along it."""
-    return [F.date_trunc(unit, column) for unit in ("month", "day", "hour", "minute", "second")]
+    """Coarse to fine numbers of a timestamp that never decrease along it."""
+    return [F.unix_seconds(F.date_trunc(unit, column)) for unit in ("month", "day", "hour", "minute", "second")]
 
 
 def pick_bucket(df: DataFrame, candidates: Sequence[Column], task_rows: int = TASK_ROWS) -> Column | None:
@@ -48,8 +48,8 @@ def number_rows(
 ) -> DataFrame:
     """Running number of each row within ``keys``, in ``order``.
 
-    ``bucket`` must not decrease along ``order`` (a day, a minute, a block number). Rows
-    are sorted only inside one bucket; the rows of earlier buckets enter as an offset from
+    ``bucket`` is a number that does not decrease along ``order`` (a day, a minute, a block
+    number); keys hold no NULL, and rows whose order is NULL come first. Rows are sorted only inside one bucket; the rows of earlier buckets enter as an offset from
     a table with one row per key and bucket. Of several buckets, coarse to fine, the
     coarsest with a bounded number of rows is taken.
     """
@@ -57,15 +57,15 @@ def number_rows(
     if by is None:
         w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
         return df.withColumn(name, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-    rows = df.withColumn("_bucket", col(by))
+    rows = df.withColumn("_bucket", F.coalesce(col(by).cast("long"), F.lit(-(2 ** 63)).cast("long")))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*[col(o) for o in order])
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_inside") + F.col("_before") + F.lit(start - 1)).cast("long"))
+        .join(offsets, [*keys, "_bucket"], "left")
+        .withColumn(name, (F.col("_inside") + F.coalesce("_before", F.lit(0)) + F.lit(start - 1)).cast("long"))
         .drop("_bucket", "_inside", "_before")
     )
 

@@ -323,7 +323,9 @@ def recurrence(
     )
     n = F.col("similar_pattern_count_recent")
     status = F.when(n >= 2, "Recurring").when(n == 1, "Previously_Seen").otherwise("New_or_Isolated")
-    return df.join(counts, [*keys, pattern, cycle]).withColumns({
+    return df.join(counts, [*keys, pattern, cycle], "left").withColumns({
+        "similar_pattern_count_recent": F.coalesce(n, F.lit(0)),
+    }).withColumns({
         "root_cause_recurrence_status": status,
         "root_cause_lookback_window": F.lit(lookback),
         "root_cause_memory_note": fmt(MEMORY_TEXT, n.cast("string"), F.lit(str(lookback))),

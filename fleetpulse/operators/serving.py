@@ -12,7 +12,7 @@ from fleetpulse.functions.exprs import finite_or
 from fleetpulse.operators.explain import with_defaults
 from fleetpulse.operators.feedback import FEEDBACK_COLUMNS, MEMORY_COLUMNS, with_feedback
 from fleetpulse.operators.ordering import number_rows
-from fleetpulse.settings import ALERT_LEVELS, FEEDBACK_LABELS, SEQ
+from fleetpulse.settings import ALERT_LEVELS, FEEDBACK_LABELS, LOOKUP_ROWS, SEQ
 
 MAX_RECORDS = 5_000
 ALERTS = tuple(n for n, _ in ALERT_LEVELS)
@@ -230,12 +230,28 @@ def search_alerts(df: DataFrame, alert: str | None = None, term: str = "", colum
     return out.where(hit)
 
 
-def page(df: DataFrame, order: Sequence[str], number: int, size: int = 12) -> DataFrame:
-    """One page of ordered rows; a page past the end gives the last page."""
+def page(
+    df: DataFrame,
+    order: Sequence[str],
+    number: int,
+    size: int = 12,
+    bucket: Column | Sequence[Column] | None = None,
+    shallow_rows: int = LOOKUP_ROWS,
+) -> DataFrame:
+    """One page of ordered rows; a page past the end gives the last page.
+
+    Early pages come from a top-k. Deep pages number the rows by ``bucket`` instead, so
+    that the rows before the page are never gathered in one place.
+    """
     total = df.count()
     last = max(1, -(-total // size))
-    current = max(1, min(number, last))
-    return df.orderBy(*order).offset((current - 1) * size).limit(size)
+    first = (max(1, min(number, last)) - 1) * size
+    if first + size <= shallow_rows:
+        return df.orderBy(*order).offset(first).limit(size)
+    if bucket is None:
+        raise ValueError("a deep page needs an order bucket")
+    numbered = number_rows(df, [], order, bucket, name="_row", start=0)
+    return numbered.where((F.col("_row") >= first) & (F.col("_row") < first + size)).drop("_row").orderBy(*order)
 
 
 def chart_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | Sequence[Column], points: int = 400) -> DataFrame:

@@ -86,6 +86,12 @@ def test_strongest_temporal_pattern_wins(spark):
     assert got == ["Persistent_Deterioration", "Increasing_Anomaly", "Recovering_Behaviour", "Stable_Behaviour"]
 
 
+def test_recurrence_keeps_rows_without_a_pattern(spark):
+    df = spark.createDataFrame([("dev", 1, 1, None), ("dev", 1, 2, "p")], "split string, unit_id int, cycle int, root_cause_pattern string")
+    assert rows(reasoning.recurrence(df).select("cycle", "similar_pattern_count_recent", "root_cause_recurrence_status"), "cycle") == [
+        (1, 0, "New_or_Isolated"), (2, 0, "New_or_Isolated")]
+
+
 @pytest.mark.parametrize("sensors, pattern", [
     (("Xs_T48", "Xs_Ps30", "Xs_Nf"), "hot_section_pressure_thermal_deviation"),
     (("Xs_T24", "Xs_P21", "Xs_Nc"), "thermal_pressure_rotational_coupled_deviation"),
@@ -225,6 +231,8 @@ def test_serving_queries(spark):
     few = serving.anomalies_of_unit(table, 1, limit=2).collect()
     assert [r["seq"] for r in few] == [2, 3] and few[0]["truncated"] and few[0]["total_matching_records"] == 4
     assert [r["seq"] for r in serving.page(table, ["seq"], 99, size=2).collect()] == [5]
+    deep = serving.page(table, ["seq"], 2, size=2, bucket=F.floor(F.col("seq") / 2), shallow_rows=2)
+    assert [r["seq"] for r in deep.collect()] == [3, 4]
     assert serving.search_alerts(table, "Watch", "ANOMALY_det").count() == 4
     kept = serving.chart_points(table, ["unit_id"], ["seq"], F.floor(F.col("seq") / 2), points=2).orderBy("_row").collect()
     assert [r["_row"] for r in kept] == [0, 3, 4]

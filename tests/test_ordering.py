@@ -21,6 +21,11 @@ def test_bucketed_numbers_equal_plain_row_numbers(spark, trajectories):
     same(plain, by_choice)
 
 
+def test_rows_without_order_value_are_numbered_first(spark):
+    df = spark.createDataFrame([(1, None), (1, 5), (1, 3)], "k int, t int")
+    assert rows(ordering.number_rows(df, ["k"], ["t"], F.floor(F.col("t") / 4)).select("seq", "t"), "seq") == [(1, None), (2, 3), (3, 5)]
+
+
 def test_bucket_choice_is_bounded(trajectories):
     coarse, fine = F.floor(F.col("seq") / 500), F.floor(F.col("seq") / 10)
     assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=5_000) is None
