@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.exprs import fixed, fmt, hash_rank
 from fleetpulse.operators.ordering import uniform_sample
 from fleetpulse.operators.reasoning import DEFAULT_FOCUS, plain_sensor, rank_sensors
-from fleetpulse.settings import NO_MAINTENANCE, SEQ, TRAJECTORY
+from fleetpulse.settings import LOOKUP_ROWS, NO_MAINTENANCE, SEQ, TRAJECTORY
 
 # Subsystem of a sensor by name part; the first match applies.
 SUBSYSTEMS = (
@@ -158,7 +158,8 @@ def permutation_attribution(
     For each explained row a background row is drawn from the sample and features are
     switched from background to actual values one by one, in several random orders. The
     change of the prediction at each switch is that feature's contribution.
-    ``predict(df)`` must add a ``prediction`` column. The sample is bounded by the caller.
+    ``predict(df)`` must add a ``prediction`` column. The sample is meant to be small (see
+    ``explanation_sample``): its rows are numbered in one task.
     """
     rows = sample.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn(
         "_pos", F.row_number().over(_by_hash(keys, seed)))
@@ -172,7 +173,7 @@ def permutation_attribution(
     ]))
     order = F.transform(place, lambda s: s["f"])
     steps = (
-        drawn.join(F.broadcast(base), "_base")
+        drawn.join(F.broadcast(base) if n <= LOOKUP_ROWS else base, "_base")
         .withColumn("_order", order)
         .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     )

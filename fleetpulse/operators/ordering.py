@@ -18,7 +18,10 @@ from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TASK_ROWS, TRAJECT
 
 
 def order_buckets(column: str) -> list[Column]:
-    """Coarse to fine numbers of a timestamp that never decrease along it."""
+    """Coarse to fine numbers of a timestamp that never decrease along it.
+
+    The session time zone must be free of clock changes, such as UTC.
+    """
     return [F.unix_seconds(F.date_trunc(unit, column)) for unit in ("month", "day", "hour", "minute", "second")]
 
 
@@ -48,6 +51,7 @@ def number_rows(
 ) -> DataFrame:
     """Running number of each row within ``keys``, in ``order``.
 
+    ``order`` must tell all rows of a key apart, or a repeated task may number them anew.
     ``bucket`` is a number that does not decrease along ``order`` (a day, a minute, a block
     number); keys hold no NULL, and rows whose order is NULL come first. Rows are sorted only inside one bucket; the rows of earlier buckets enter as an offset from
     a table with one row per key and bucket. Of several buckets, coarse to fine, the

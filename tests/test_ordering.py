@@ -33,6 +33,20 @@ def test_bucket_choice_is_bounded(trajectories):
     assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=3) is fine
 
 
+def test_a_hot_unit_is_spread_over_tasks(spark, trajectories):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hot = F.col("unit_id") == 1
+        numbered = ordering.number_rows(
+            trajectories.withColumnRenamed("seq", "t"), ["split", "unit_id"], ["t"], [F.floor(F.col("t") / 20)], task_rows=30)
+        blocked = health.health_index(trajectories, block_rows=40)
+        for df in (numbered, blocked):
+            per_task = df.where(hot).groupBy(F.spark_partition_id()).count().collect()
+            assert len(per_task) >= 5 and max(r["count"] for r in per_task) < 900 / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.mark.parametrize("block", [5, 9, 64])
 def test_blocks_equal_whole_trajectories(trajectories, block):
     whole = 1_000_000
