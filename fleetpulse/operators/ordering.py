@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.exprs import col
+from fleetpulse.functions.exprs import col, hash_rank
 from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TASK_ROWS, TRAJECTORY
 
 
@@ -186,8 +186,6 @@ def uniform_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -
     A first cut on the leading hash digits leaves little more than ``n`` rows, so only
     those are sorted.
     """
-    from fleetpulse.functions.exprs import hash_rank
-
     total = df.count()
     if total <= n:
         return df
