@@ -8,19 +8,20 @@ there. Nodes of at most ``SMALL`` classes are compared exhaustively; larger ones
 classes of similarity s share a child with a chance of 1 - (1 - s)^BRANCHES, and independent trees
 are repeated until a pair at the threshold is missed with a chance below ``MISS``.
 
-In a node, classes that are already tied together are not compared with each other again, so a
-node of near copies gives a chain of links and not all its pairs. Candidate links are confirmed on
-the full sets. Where a tie proves false, the parts of that node which it had held together are
-compared with each other and confirmed again, until nothing is left to compare.
+In a node the signatures propose links: first a spanning forest of the most similar pairs. The
+proposals are confirmed on the full sets. Where one fails, the parts of the node that are not yet
+connected propose their most similar untested pairs, a few, then more, then all that are plausible;
+pairs inside a part need no link of their own. A node of near copies so takes about as many
+comparisons of sets as it has members.
 
 The members of a larger node are besides cut into random blocks, each compared together with the
-node's anchors, a few members of smallest hash. A crowd of near copies hangs together by its
-anchors at once; from the third level on, those that hang on an anchor don't branch any further,
-since branching hardly divides them. Work in a node is thus linear in its members at any size.
+node's anchors, a few members of smallest hash, so that a crowd of near copies hangs together by
+its anchors. Work in a node is thus linear in its members at any size. A node that keeps most of
+its parent's members is such a crowd, and branches no further.
 
 Results: null and empty texts have the empty set and are linked with nothing. A text of fewer than
-five words has its word sequence as its only shingle. Rows that repeat an id count as one document
-with several sets; links of any of them hold for the id. A null id is in the component of
+five words has its word sequence as its only shingle. Rows that repeat an id are one document: it
+is linked with whatever has one of its sets, and by the similarity of one of them. A null id is in the component of
 its class, or stands alone. An empty table gives an empty table.
 """
 
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import chunks
 from fleetpulse.llm.components import components
-from fleetpulse.llm.staging import sized_batches, staged
+from fleetpulse.llm.staging import lookup, sized_batches, staged
 
 WORDS = 5
-TOKENS, SMALL, BRANCHES, MISS = 128, 256, 2, 1e-7
-#: Levels in which every member of a large node branches, and the most levels of a tree.
-ALL_BRANCH, LEVELS = 2, 40
-#: Candidates need this share of equal tokens; classes with the second share are tied for the time being.
-PLAUSIBLE, TIED = 0.58, 0.8
+TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-7
+#: Levels of a tree at most; a node with more than this share of its parent's members branches no further.
+LEVELS, CROWD = 24, 0.6
+#: Candidates need this share of equal tokens: over 3.5 standard deviations below the threshold.
+PLAUSIBLE = 0.65
+#: Untested pairs that each part of a node proposes in the rounds after the first; at last it proposes all.
+ROUNDS = (8, 64, None)
 #: Members of a large node that each of its blocks is compared with.
 ANCHORS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +91,7 @@ _STEPS = _mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
 def signature(members: np.ndarray) -> bytes:
-    """The minwise token of each hash function, as 32-bit numbers."""
+    """The minwise token of each hash function, as 16-bit numbers."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     base = _mixed(members)
     for at in range(0, len(base), 512):
@@ -96,7 +99,7 @@ def signature(members: np.ndarray) -> bytes:
         h = base[None, at : at + 512] * _STEPS[:, None]
         h ^= h >> np.uint64(29)
         least = np.minimum(least, h.min(axis=1))
-    return _mixed(least).astype(np.uint32).tobytes()
+    return _mixed(least).astype(np.uint16).tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,11 +128,11 @@ def trees_needed(threshold: float) -> int:
 
 
 def _tokens(column: pa.Array | list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, TOKENS)
 
 
 def _branch(rows: DataFrame) -> DataFrame:
-    """``id, node, signature`` to the children: one row for each position that its node has chosen."""
+    """``id, node, count, signature`` to the children: one row for each position that its node has chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,9 +143,9 @@ def _branch(rows: DataFrame) -> DataFrame:
                 at = (_mixed(node + np.uint64(k) * _ODD) % np.uint64(TOKENS)).astype(np.int64)
                 token = tokens[np.arange(len(at)), at].astype(np.uint64)
                 child = _mixed(_mixed(node * _ODD + at.astype(np.uint64)) + token)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(child.view(np.int64))], ["id", "node"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(child.view(np.int64)), b.column("count")], ["id", "node", "above"])
 
-    return rows.select("id", "node", "signature").mapInArrow(run, "id long, node long")
+    return rows.select("id", "node", "count", "signature").mapInArrow(run, "id long, node long, above long")
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -157,30 +160,39 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
                 child = _mixed(_mixed(np.full(len(tokens), t * TOKENS + at, np.uint64)) + tokens[:, at])
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(child.view(np.int64))], ["id", "node"])
 
-    return classes.select("id", "signature").mapInArrow(run, "id long, node long")
-
-
-def _links_within(ids: np.ndarray, tokens: np.ndarray, anchors: np.ndarray) -> tuple[list, list, list, np.ndarray]:
-    """Candidate links among the members of a node, which of them are ties, and the members that hang on an anchor by ties."""
-    left, right, tie = [], [], []
-    held = np.zeros(len(ids), bool)
-    free = np.argsort(~anchors, kind="stable")
-    while len(free):
-        start, free = free[0], free[1:]
-        queue, tree = [start], [start]
-        while queue and len(free):
-            p = queue.pop()
-            alike = (tokens[free] == tokens[p]).mean(axis=1)
-            near, tied = alike >= PLAUSIBLE, alike >= TIED
-            if near.any():
-                left += [ids[p]] * int(near.sum())
-                right += ids[free[near]].tolist()
-                tie += tied[near].tolist()
-                queue += free[tied].tolist()
-                tree += free[tied].tolist()
-                free = free[~tied]
-        held[tree] = anchors[start]
-    return left, right, tie, held
+    return classes.select("id", "signature").mapInArrow(run, "id long, node long").withColumn("above", F.lit(1 << 62))
+
+
+def _alike(tokens: np.ndarray) -> np.ndarray:
+    """The share of equal tokens of all pairs of a node; of a member with itself it is -1."""
+    out = np.stack([(tokens == t).mean(axis=1) for t in tokens])
+    np.fill_diagonal(out, -1)
+    return out
+
+
+def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the most similar plausible pairs."""
+    n = len(alike)
+    best, source = np.full(n, -1.0), np.zeros(n, np.int64)
+    inside = np.zeros(n, bool)
+    edges = []
+    for _ in range(n):
+        x = int(np.argmax(np.where(inside, -2, best)))
+        if best[x] >= PLAUSIBLE:
+            edges.append((int(source[x]), x))
+        inside[x] = True
+        closer = alike[x] > best
+        best[closer], source[closer] = alike[x][closer], x
+    return edges
+
+
+def _parts(n: int, a: list[int], b: list[int]) -> np.ndarray:
+    """The part of each of n members when a and b are linked pairwise."""
+    part = np.arange(n)
+    for x, y in zip(a, b, strict=True):
+        if part[x] != part[y]:
+            part[part == part[y]] = part[x]
+    return part
 
 
 def _by_node(members: DataFrame, work, schema: str) -> DataFrame:
@@ -222,37 +234,54 @@ def _record(columns: list[list], schema: str) -> pa.RecordBatch:
 
 
 def _compare(members: DataFrame) -> DataFrame:
-    """Candidate links ``node, a, b, tie`` of every node; a row with null ``b`` names a member that hangs on an anchor.
-
-    ``members`` has ``node, id, anchor, signature``.
-    """
+    """``node, a, b``: a spanning forest of candidate links in every node; ``members`` has ``node, id, signature``."""
 
     def work(node: int, table: pa.Table):
         ids = table.column("id").to_numpy()
-        anchors = np.asarray(table.column("anchor"))
-        a, b, t, held = _links_within(ids, _tokens(table.column("signature").to_pylist()), anchors)
-        on = ids[held].tolist()
-        yield [node] * (len(a) + len(on)), a + on, b + [None] * len(on), t + [None] * len(on)
+        tokens = _tokens(table.column("signature").to_pylist())
+        if len(ids) == 2:
+            edges = [(0, 1)] if (tokens[0] == tokens[1]).mean() >= PLAUSIBLE else []
+        else:
+            edges = _forest(_alike(tokens))
+        if edges:
+            a, b = ids[[e[0] for e in edges]], ids[[e[1] for e in edges]]
+            yield [node] * len(edges), np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
 
-    return _by_node(members, work, "node long, a long, b long, tie boolean")
+    return _by_node(members, work, "node long, a long, b long")
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """``a, b`` of plausible pairs between the components that meet in a node; ``members`` has ``node, id, signature, component``."""
+def _propose(members: DataFrame, tested: DataFrame, most: int | None) -> DataFrame:
+    """``node, a, b``: untested candidates between the unconnected parts of the nodes, the ``most`` best of each part.
 
-    def work(node: int, table: pa.Table):
-        tokens, ids = _tokens(table.column("signature").to_pylist()), table.column("id").to_numpy()
-        part = table.column("component").to_numpy()
-        names, counts = np.unique(part, return_counts=True)
-        a, b = [], []
-        for x in np.flatnonzero(part != names[np.argmax(counts)]):  # pairs within the largest part need no link
-            near = ids[((tokens == tokens[x]).mean(axis=1) >= PLAUSIBLE) & (part != part[x])].tolist()
-            a += [min(y, ids[x]) for y in near]
-            b += [max(y, ids[x]) for y in near]
-        if a:
-            yield a, b
+    ``tested`` has ``node, a, b, linked``: what was tested in these nodes before.
+    """
+    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("linked"), "signature")
+    tests = tested.select("node", F.col("a").alias("id"), "b", "linked", F.lit(None).cast("binary").alias("signature"))
 
-    return _by_node(members, work, "a long, b long")
+    def work(node: int, table: pa.Table):
+        own = table.filter(table.column("b").is_null())
+        tests = table.filter(table.column("b").is_valid())
+        ids = own.column("id").to_numpy()
+        a, b = np.searchsorted(ids, tests.column("id").to_numpy()), np.searchsorted(ids, tests.column("b").to_numpy())
+        linked = np.asarray(tests.column("linked"))
+        part = _parts(len(ids), a[linked].tolist(), b[linked].tolist())
+        names, sizes = np.unique(part, return_counts=True)
+        if len(names) == 1:
+            return
+        alike = _alike(_tokens(own.column("signature").to_pylist()))
+        alike[part[:, None] == part[None, :]] = -1
+        alike[a, b] = alike[b, a] = -1
+        found = set()
+        for name in names[np.argsort(sizes)[:-1]]:  # the largest part is proposed to by the others
+            rows = np.flatnonzero(part == name)
+            x, y = np.nonzero(alike[rows] >= PLAUSIBLE)
+            x = rows[x]
+            order = np.argsort(-alike[x, y], kind="stable")[:most]
+            found.update(zip(np.minimum(ids[x[order]], ids[y[order]]).tolist(), np.maximum(ids[x[order]], ids[y[order]]).tolist(), strict=True))
+        if found:
+            yield [node] * len(found), [f[0] for f in found], [f[1] for f in found]
+
+    return _by_node(rows.unionByName(tests), work, "node long, a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -301,64 +330,55 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Confirmed links between classes: enough of them to connect whatever is similar."""
-    members, candidates = _nodes(classes, threshold)
-    pairs = candidates.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tie", "node")
-    plain = pairs.select("a", "b").distinct()
-    wanted = plain.select(F.col("a").alias("id")).union(plain.select("b")).distinct()
+    """Confirmed links ``a, b`` between classes: enough of them to connect whatever is similar."""
+    members = _nodes(classes, threshold)
+    proposed = staged(_compare(members), "proposed")
+    pairs = staged(proposed.select("a", "b").distinct(), "pairs")
+    # whoever has a plausible partner in a node is in its forest, so later rounds need no other sets
+    wanted = lookup(staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted"))
     sets = staged(_full_sets(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
-    checked = staged(_confirmed(plain, sets, threshold), "checked")
-    while True:
-        links = checked.where("linked").select("a", "b")
-        false = pairs.where("tie").join(checked.where("not linked").select("a", "b"), ["a", "b"]).select("node").distinct()
-        broken = staged(false, "broken")
-        if broken.isEmpty():
-            return links
-        # what a false tie held together in a node is compared part by part
-        again = members.join(broken, "node", "left_semi").join(components(links), "id", "left")
-        again = again.withColumn("component", F.coalesce("component", "id"))
-        divided = again.groupBy("node").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("node")
-        new = staged(_crossing(again.join(divided, "node", "left_semi")).distinct().join(checked, ["a", "b"], "left_anti"), "again")
-        if new.isEmpty():
-            return links
-        missing = new.select(F.col("a").alias("id")).union(new.select("b")).distinct().join(sets, "id", "left_anti")
-        sets = staged(sets.union(_full_sets(docs, missing, id_col, text_col).dropDuplicates(["id"])), "sets")
-        checked = staged(checked.union(_confirmed(new, sets, threshold)), "checked")
-
-
-def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The nodes that were compared, ``node, id, anchor, signature``, and their candidate links."""
+    checked = staged(_confirmed(pairs, sets, threshold), "checked")
+    links = checked.where("linked").select("a", "b")
+    tested = staged(proposed.join(checked, ["a", "b"]), "tested")
+    for most in ROUNDS:
+        failed = tested.where("not linked").select("node").distinct()
+        open_ = staged(members.join(failed, "node", "left_semi"), "open")
+        if open_.isEmpty():
+            break
+        before = tested.join(failed, "node", "left_semi")
+        proposed = staged(_propose(open_, before, most), "proposed")
+        if proposed.isEmpty():
+            break
+        known = proposed.select("a", "b").distinct().join(checked, ["a", "b"], "left")
+        fresh = staged(_confirmed(known.where("linked is null").select("a", "b"), sets, threshold), "checked")
+        checked = checked.unionByName(fresh)
+        links = links.union(fresh.where("linked").select("a", "b"))
+        tested = staged(before.unionByName(proposed.join(checked, ["a", "b"])), "tested")
+        members = open_
+    return links
+
+
+def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
+    """``node, id, signature``: the nodes of all trees whose members are to be compared, large ones in blocks."""
     signatures = classes.select("id", "signature")
     level = _roots(classes, trees_needed(threshold))
-    members, candidates = [], []
-    for depth in range(1, LEVELS + 1):
-        level = staged(level, "level")
+    shared = []
+    for _ in range(LEVELS):
         counts = level.groupBy("node").count().where("count > 1")
-        shared = level.join(counts, "node")
-        small = shared.where(F.col("count") <= SMALL).select("node", "id", F.lit(False).alias("anchor"))
-        large = staged(shared.where(F.col("count") > SMALL), "large")
-        # trees often give the same node: each set of members is compared once
-        named = small.groupBy("node").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("what"), F.count("*").alias("n"))
-        once = named.groupBy("what", "n").agg(F.min("node").alias("node")).select("node")
-        nodes = small.join(once, "node", "left_semi")
-        more = not large.isEmpty()
-        if more:
-            blocks = staged(_blocks(large), "blocks")
-            nodes = nodes.union(blocks.select("node", "id", "anchor"))
-        members.append(staged(nodes.join(signatures, "id").select("node", "id", "anchor", "signature"), "nodes"))
-        candidates.append(staged(_compare(members[-1]), "candidates"))
-        if not more:
+        shared.append(staged(level.join(counts, "node"), "level"))
+        large = shared[-1].where((F.col("count") > SMALL) & (F.col("count") <= CROWD * F.col("above")))
+        if large.isEmpty():
             break
-        on = large.select("node", "id")
-        if depth > ALL_BRANCH:
-            held = candidates[-1].where("b is null").select("node", F.col("a").alias("id"))
-            held = blocks.select("node", "id", "whole").join(held, ["node", "id"]).select(F.col("whole").alias("node"), "id").distinct()
-            on = on.join(held, ["node", "id"], "left_anti")
-        level = _branch(on.join(signatures, "id"))
-    whole, found = members[0], candidates[0]
-    for m, c in zip(members[1:], candidates[1:], strict=True):
-        whole, found = whole.union(m), found.union(c)
-    return whole, found
+        level = _branch(large.join(signatures, "id"))
+    every = shared[0]
+    for more in shared[1:]:
+        every = every.unionByName(more)
+    small = every.where(F.col("count") <= SMALL).select("node", "id")
+    nodes = small.unionByName(_blocks(every.where(F.col("count") > SMALL)))
+    # trees often give the same node: each set of members is compared once
+    named = nodes.groupBy("node").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("what"), F.count("*").alias("n"))
+    once = named.groupBy("what", "n").agg(F.min("node").alias("node")).select("node")
+    return staged(nodes.join(once, "node", "left_semi").join(signatures, "id").select("node", "id", "signature"), "nodes")
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -370,17 +390,13 @@ def _blocks(large: DataFrame) -> DataFrame:
     spread = large.withColumn("h", F.xxhash64("id", "node"))
     anchors = spread.groupBy("node", F.pmod("h", F.lit(ANCHORS)).alias("slice")).agg(F.min_by("id", "h").alias("id"), F.max("count").alias("count"))
     cuts = F.ceil(F.col("count") * 5 / (4 * (SMALL - ANCHORS)))
-    part = F.pmod(F.xxhash64("node", "id"), cuts)
-    chosen = anchors.select("node", "id").withColumn("anchor", F.lit(True))
-    placed = spread.select("node", "id", part.alias("part")).join(chosen, ["node", "id"], "left_anti").withColumn("anchor", F.lit(False))
-    spread_anchors = anchors.select("node", "id", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("part"), F.lit(True).alias("anchor"))
-    return placed.union(spread_anchors.select("node", "id", "part", "anchor")).select(
-        F.xxhash64("node", "part").alias("node"), "id", "anchor", F.col("node").alias("whole")
-    )
+    placed = spread.select("node", "id", F.pmod("h", cuts).alias("part"))
+    everywhere = anchors.select("node", "id", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("part"))
+    return placed.union(everywhere).distinct().select(F.xxhash64("node", "part").alias("node"), "id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies, with the columns they came with."""
     found = near_components(docs, id_col, text_col, threshold)
-    gone = found.where("not kept").select(F.col("id").alias("__gone")).distinct()
+    gone = lookup(staged(found.where("not kept").select(F.col("id").alias("__gone")).distinct(), "gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -100,7 +100,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [list_aggregate(words, 'string_agg', ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ')) END)) AS shingle
+    ELSE list_transform(range(1, len(words) - 3), lambda i: list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ')) END)) AS shingle
   FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
