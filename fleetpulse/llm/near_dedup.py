@@ -10,9 +10,8 @@ are repeated until a pair at the threshold is missed with a chance below ``MISS`
 
 In a node the signatures propose links: first a spanning forest of the most similar pairs. The
 proposals are confirmed on the full sets. Where one fails, the parts of the node that are not yet
-connected propose their most similar untested pairs, a few, then more, then all that are plausible;
-pairs inside a part need no link of their own. A node of near copies so takes about as many
-comparisons of sets as it has members.
+connected by any confirmed links propose all their plausible untested pairs; pairs inside a part
+need no link of their own.
 
 The members of a larger node are besides cut into random blocks, each compared together with the
 node's anchors, a few members of smallest hash, so that a crowd of near copies hangs together by
@@ -41,13 +40,11 @@ from fleetpulse.llm.components import components
 from fleetpulse.llm.staging import lookup, sized_batches, staged
 
 WORDS = 5
-TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-7
+TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-4
 #: Levels of a tree at most; a node with more than this share of its parent's members branches no further.
 LEVELS, CROWD = 24, 0.6
-#: Candidates need this share of equal tokens: over 3.5 standard deviations below the threshold.
-PLAUSIBLE = 0.65
-#: Untested pairs that each part of a node proposes in the rounds after the first; at last it proposes all.
-ROUNDS = (8, 64, None)
+#: Candidates need this share of equal tokens: three standard deviations below the threshold.
+PLAUSIBLE = 0.67
 #: Members of a large node that each of its blocks is compared with.
 ANCHORS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,15 +183,6 @@ def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _parts(n: int, a: list[int], b: list[int]) -> np.ndarray:
-    """The part of each of n members when a and b are linked pairwise."""
-    part = np.arange(n)
-    for x, y in zip(a, b, strict=True):
-        if part[x] != part[y]:
-            part[part == part[y]] = part[x]
-    return part
-
-
 def _by_node(members: DataFrame, work, schema: str) -> DataFrame:
     """``work(node, table)`` for every node, whose members are few enough to be held together."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -250,36 +238,25 @@ def _compare(members: DataFrame) -> DataFrame:
     return _by_node(members, work, "node long, a long, b long")
 
 
-def _propose(members: DataFrame, tested: DataFrame, most: int | None) -> DataFrame:
-    """``node, a, b``: untested candidates between the unconnected parts of the nodes, the ``most`` best of each part.
+def _propose(members: DataFrame, tested: DataFrame) -> DataFrame:
+    """``node, a, b``: all untested candidates between the unconnected parts of the nodes.
 
-    ``tested`` has ``node, a, b, linked``: what was tested in these nodes before.
+    ``members`` has ``node, id, part, signature``; ``tested`` has ``node, a, b``: what failed in these nodes before.
     """
-    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("linked"), "signature")
-    tests = tested.select("node", F.col("a").alias("id"), "b", "linked", F.lit(None).cast("binary").alias("signature"))
+    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), "part", "signature")
+    tests = tested.select("node", F.col("a").alias("id"), "b", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("signature"))
 
     def work(node: int, table: pa.Table):
         own = table.filter(table.column("b").is_null())
         tests = table.filter(table.column("b").is_valid())
-        ids = own.column("id").to_numpy()
+        ids, part = own.column("id").to_numpy(), own.column("part").to_numpy()
         a, b = np.searchsorted(ids, tests.column("id").to_numpy()), np.searchsorted(ids, tests.column("b").to_numpy())
-        linked = np.asarray(tests.column("linked"))
-        part = _parts(len(ids), a[linked].tolist(), b[linked].tolist())
-        names, sizes = np.unique(part, return_counts=True)
-        if len(names) == 1:
-            return
         alike = _alike(_tokens(own.column("signature").to_pylist()))
         alike[part[:, None] == part[None, :]] = -1
         alike[a, b] = alike[b, a] = -1
-        found = set()
-        for name in names[np.argsort(sizes)[:-1]]:  # the largest part is proposed to by the others
-            rows = np.flatnonzero(part == name)
-            x, y = np.nonzero(alike[rows] >= PLAUSIBLE)
-            x = rows[x]
-            order = np.argsort(-alike[x, y], kind="stable")[:most]
-            found.update(zip(np.minimum(ids[x[order]], ids[y[order]]).tolist(), np.maximum(ids[x[order]], ids[y[order]]).tolist(), strict=True))
-        if found:
-            yield [node] * len(found), [f[0] for f in found], [f[1] for f in found]
+        x, y = np.nonzero(np.triu(alike >= PLAUSIBLE))
+        if len(x):
+            yield [node] * len(x), ids[x].tolist(), ids[y].tolist()
 
     return _by_node(rows.unionByName(tests), work, "node long, a long, b long")
 
@@ -338,24 +315,16 @@ def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     wanted = lookup(staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted"))
     sets = staged(_full_sets(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
     checked = staged(_confirmed(pairs, sets, threshold), "checked")
-    links = checked.where("linked").select("a", "b")
-    tested = staged(proposed.join(checked, ["a", "b"]), "tested")
-    for most in ROUNDS:
-        failed = tested.where("not linked").select("node").distinct()
-        open_ = staged(members.join(failed, "node", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        before = tested.join(failed, "node", "left_semi")
-        proposed = staged(_propose(open_, before, most), "proposed")
-        if proposed.isEmpty():
-            break
-        known = proposed.select("a", "b").distinct().join(checked, ["a", "b"], "left")
-        fresh = staged(_confirmed(known.where("linked is null").select("a", "b"), sets, threshold), "checked")
-        checked = checked.unionByName(fresh)
-        links = links.union(fresh.where("linked").select("a", "b"))
-        tested = staged(before.unionByName(proposed.join(checked, ["a", "b"])), "tested")
-        members = open_
-    return links
+    failed = staged(proposed.join(checked.where("not linked").select("a", "b"), ["a", "b"]), "failed")
+    if failed.isEmpty():
+        return checked.where("linked").select("a", "b")
+    nodes = members.join(failed.select("node").distinct(), "node", "left_semi")
+    parts = components(checked.where("linked").select("a", "b"))
+    parted = nodes.join(parts, "id", "left").select("node", "id", F.coalesce("component", "id").alias("part"), "signature")
+    divided = parted.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("node")
+    rest = _propose(parted.join(divided, "node", "left_semi"), failed.join(divided, "node", "left_semi"))
+    fresh = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+    return checked.unionByName(staged(_confirmed(fresh, sets, threshold), "checked")).where("linked").select("a", "b")
 
 
 def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
