@@ -322,7 +322,9 @@ def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     parts = components(checked.where("linked").select("a", "b"))
     parted = nodes.join(parts, "id", "left").select("node", "id", F.coalesce("component", "id").alias("part"), "signature")
     divided = parted.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("node")
-    rest = _propose(parted.join(divided, "node", "left_semi"), failed.join(divided, "node", "left_semi"))
+    # written, because joins of a table with what is derived from it are easily confused
+    open_ = staged(parted.join(divided, "node", "left_semi"), "open")
+    rest = _propose(open_, failed.join(open_.select("node").distinct(), "node", "left_semi"))
     fresh = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
     return checked.unionByName(staged(_confirmed(fresh, sets, threshold), "checked")).where("linked").select("a", "b")
 
