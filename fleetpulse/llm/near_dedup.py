@@ -241,10 +241,14 @@ def _compare(members: DataFrame) -> DataFrame:
 def _propose(members: DataFrame, tested: DataFrame) -> DataFrame:
     """``node, a, b``: all untested candidates between the unconnected parts of the nodes.
 
-    ``members`` has ``node, id, part, signature``; ``tested`` has ``node, a, b``: what failed in these nodes before.
+    ``members`` has ``node, id, part, signature, nodes``; ``tested`` has ``node, a, b``: what failed in these nodes
+    before. A pair that meets in several nodes is proposed by the one of smallest number.
     """
-    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), "part", "signature")
-    tests = tested.select("node", F.col("a").alias("id"), "b", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("signature"))
+    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), "part", "signature", "nodes")
+    tests = tested.select(
+        "node", F.col("a").alias("id"), "b", F.lit(None).cast("long").alias("part"),
+        F.lit(None).cast("binary").alias("signature"), F.lit(None).cast("array<long>").alias("nodes"),
+    )
 
     def work(node: int, table: pa.Table):
         own = table.filter(table.column("b").is_null())
@@ -254,9 +258,11 @@ def _propose(members: DataFrame, tested: DataFrame) -> DataFrame:
         alike = _alike(_tokens(own.column("signature").to_pylist()))
         alike[part[:, None] == part[None, :]] = -1
         alike[a, b] = alike[b, a] = -1
-        x, y = np.nonzero(np.triu(alike >= PLAUSIBLE))
-        if len(x):
-            yield [node] * len(x), ids[x].tolist(), ids[y].tolist()
+        meets = [set(n) for n in own.column("nodes").to_pylist()]
+        x, y = (c.tolist() for c in np.nonzero(np.triu(alike >= PLAUSIBLE)))
+        found = [(ids[i], ids[j]) for i, j in zip(x, y, strict=True) if min(meets[i] & meets[j]) == node]
+        if found:
+            yield [node] * len(found), [int(f[0]) for f in found], [int(f[1]) for f in found]
 
     return _by_node(rows.unionByName(tests), work, "node long, a long, b long")
 
@@ -324,7 +330,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     divided = parted.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("node")
     # written, because joins of a table with what is derived from it are easily confused
     open_ = staged(parted.join(divided, "node", "left_semi"), "open")
-    rest = _propose(open_, failed.join(open_.select("node").distinct(), "node", "left_semi"))
+    lists = open_.groupBy("id").agg(F.collect_list("node").alias("nodes"))
+    rest = _propose(open_.join(lists, "id"), failed.join(open_.select("node").distinct(), "node", "left_semi"))
     fresh = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
     return checked.unionByName(staged(_confirmed(fresh, sets, threshold), "checked")).where("linked").select("a", "b")
 
