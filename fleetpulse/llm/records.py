@@ -3,7 +3,8 @@
 Documents are dealt to files by ranges of their id and lie in ascending order within a file. A
 record is framed as: payload length (8 bytes), masked checksum of the length (4), payload, masked
 checksum of the payload (4). The payload is the document id (8 bytes, signed), a byte that says if
-there is an id, and the token ids (4 bytes each). All numbers are little-endian. The index file of
+there is an id, a byte with the width of a token id (2 bytes if all of the record's ids fit, else 4),
+and the token ids. All numbers are little-endian. The index file of
 a record file holds the offset of each record (8 bytes), so that records can be read in any order.
 
 Results: a null text is empty and gives only the end id. Null ids come last. Rows that repeat an
@@ -33,7 +34,7 @@ SLICE = 8 << 20
 #: Bytes of a record file that are read at once.
 READ = 8 << 20
 _HEAD, _SUM = struct.Struct("<QI"), struct.Struct("<I")
-_NAME = struct.Struct("<qB")
+_NAME = struct.Struct("<qBB")
 
 
 def masked(data) -> int:
@@ -42,17 +43,18 @@ def masked(data) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def framed(doc: int | None, ids: bytes) -> bytes:
+def framed(doc: int | None, ids: np.ndarray) -> bytes:
     """A document's record."""
-    payload = _NAME.pack(doc or 0, doc is not None) + ids
+    kind = "<u2" if ids.max(initial=0) < 1 << 16 else "<u4"
+    payload = _NAME.pack(doc or 0, doc is not None, int(kind[2])) + ids.astype(kind).tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join([length, _SUM.pack(masked(length)), payload, _SUM.pack(masked(payload))])
 
 
-def document_of(payload: memoryview) -> tuple[int | None, memoryview]:
-    """The document's id and the bytes of its token ids."""
-    doc, known = _NAME.unpack_from(payload)
-    return doc if known else None, payload[_NAME.size :]
+def document_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
+    """The document's id and its token ids."""
+    doc, known, width = _NAME.unpack_from(payload)
+    return doc if known else None, np.frombuffer(payload, f"<u{width}", offset=_NAME.size).astype("<u4")
 
 
 @lru_cache(2)
@@ -115,10 +117,10 @@ def write_records(
                 ctx = written(f"{folder}/ids-{number:06d}.rec")
                 out = ctx.__enter__()
             ids, bounds = encode_texts(path, part.column("text"))
-            last = np.array([end], np.uint32).tobytes()
+            last = np.array([end], np.uint32)
             lines = []
             for k, doc in enumerate(part.column("id").to_pylist()):
-                frame = framed(doc, ids[bounds[k] : bounds[k + 1]].tobytes() + last)
+                frame = framed(doc, np.append(ids[bounds[k] : bounds[k + 1]], last))
                 lines.append(frame)
                 offsets.append(at)
                 at += len(frame)
@@ -172,8 +174,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 rows = []
                 for payload in read_payloads(path, index):
                     doc, ids = document_of(payload)
-                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids)))
-                    start += len(ids) // 4
+                    rows.append((doc, start, len(ids), zlib.crc32(ids)))
+                    start += len(ids)
                     if len(rows) == 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
                         rows = []

@@ -103,7 +103,7 @@ def test_records_give_back_the_ids(texts, empty):
 
 
 def test_damaged_records_are_noticed(tmp_path):
-    frame = bytearray(records.framed(1, b"\1\0\0\0"))
+    frame = bytearray(records.framed(1, np.array([1, 70_000])))
     (tmp_path / "i").write_bytes(np.zeros(1, np.uint64).tobytes())
     frame[14] ^= 1
     (tmp_path / "r").write_bytes(frame)
