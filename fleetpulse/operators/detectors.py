@@ -25,8 +25,8 @@ from fleetpulse.settings import DEV, SEQ, SEQUENCE_ROWS, TRAJECTORY
 
 SEED = 42
 TREES = 200
-# Rows per tree. Trees on all sampled rows cannot be grown in bounded tasks; 256 is the
-# size of the original isolation forest paper.
+# Rows per tree by default, as in the original isolation forest paper. A tree is grown in one
+# task, on at most all rows of the sample.
 TREE_ROWS = 256
 TRAIN_ROWS = 65_536
 PERCENTILE = 0.99
@@ -38,20 +38,11 @@ OFFSET = 0.5
 ROW_KEYS = (*TRAJECTORY, SEQ)
 
 
-def resolve_max_samples(value: str | int, sample_rows: int) -> int:
-    """Rows per tree: ``all``/``max``/``full``, ``auto`` (256), or a number, at most the sample."""
-    if isinstance(value, str):
-        word = value.strip().lower()
-        if word in ("all", "max", "full"):
-            return sample_rows
-        if word == "auto":
-            return min(TREE_ROWS, sample_rows)
-        if not word.lstrip("-").isdigit():
-            raise ValueError("max_samples must be 'all', 'auto' or an integer")
-        value = int(word)
-    if value <= 0:
-        raise ValueError("max_samples must be positive")
-    return min(value, sample_rows)
+def rows_per_tree(wanted: int | None, sample_rows: int) -> int:
+    """Rows that each tree is grown on: all sampled ones for ``None``."""
+    if wanted is not None and wanted < 1:
+        raise ValueError("a tree needs at least one row")
+    return sample_rows if wanted is None else min(wanted, sample_rows)
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -145,7 +136,7 @@ def fit_isolation_forest(
     df: DataFrame,
     features: Sequence[str],
     trees: int = TREES,
-    max_samples: str | int = TREE_ROWS,
+    max_samples: int | None = TREE_ROWS,
     train_rows: int = TRAIN_ROWS,
     keys: Sequence[str] = ROW_KEYS,
     seed: int = SEED,
@@ -163,7 +154,7 @@ def fit_isolation_forest(
         n = sample.count()
         if n == 0:
             raise ValueError("no rows in the fit split")
-        per_tree = min(resolve_max_samples(max_samples, n), TREE_ROWS)
+        per_tree = rows_per_tree(max_samples, n)
         nodes = isolation_trees(sample, features, trees, per_tree, keys, seed, n).toPandas()
     finally:
         sample.unpersist()

@@ -138,8 +138,7 @@ def adapt_thresholds(
     order are repaired after the first feedback; a common factor keeps the order later.
     """
     known = small_table(thresholds)[0]
-    names = [r["context_id"] for r in known.select("context_id").collect()]
-    if GLOBAL not in names:
+    if known.where(F.col("context_id") == GLOBAL).isEmpty():
         raise ValueError("global thresholds are missing")
     factors = step_factors(step)
     factor: Column | None = None
@@ -147,9 +146,11 @@ def adapt_thresholds(
         cond = F.col("feedback_label") == label
         factor = F.when(cond, F.lit(f)) if factor is None else factor.when(cond, F.lit(f))
     asked = F.coalesce(F.col("context_id").cast("int"), F.lit(-1)).cast("string")
+    contexts = known.select(F.col("context_id").alias("_context")).distinct()
     used = (
         log.where(F.col("feedback_label").isin(*FEEDBACK_LABELS))
-        .select(F.when(asked.isin(*names), asked).otherwise(GLOBAL).alias("context_id"),
+        .withColumn("_asked", asked).join(contexts, F.col("_asked") == F.col("_context"), "left")
+        .select(F.coalesce("_context", F.lit(GLOBAL)).alias("context_id"),
                 F.col(order).alias("_order"), factor.alias("_factor"),
                 F.floor(F.col(order) / F.lit(block_rows)).cast("long").alias("_block"))
     )

@@ -199,13 +199,13 @@ def fleet_summary(df: DataFrame) -> DataFrame:
 
 def fleet_anomalies(memory: DataFrame, order: Sequence[str], limit: int = 500) -> DataFrame:
     """First alerts of the fleet in a stated order."""
-    bound = max(1, min(int(limit), MAX_RECORDS))
+    bound = max(1, int(limit))
     return memory.orderBy(*order).limit(bound)
 
 
 def feedback_history(log: DataFrame, limit: int = 500) -> DataFrame:
     """The last stored feedback rows, newest first, with totals."""
-    bound = max(1, min(int(limit), MAX_RECORDS))
+    bound = max(1, int(limit))
     total = log.groupBy().agg(F.count(F.lit(1)).alias("feedback_total_records"))
     last = project(log, ("feedback_id",), FEEDBACK_COLUMNS).orderBy(F.desc("feedback_id")).limit(bound)
     out = last.crossJoin(F.broadcast(total)).withColumn("feedback_truncated", F.col("feedback_total_records") > bound)
@@ -213,7 +213,7 @@ def feedback_history(log: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def recent_alerts(memory: DataFrame, order: Sequence[str], limit: int = 100) -> DataFrame:
-    return project(memory, ("unit_id", "cycle"), MEMORY_COLUMNS).orderBy(*order).limit(max(1, min(limit, 100)))
+    return project(memory, ("unit_id", "cycle"), MEMORY_COLUMNS).orderBy(*order).limit(max(1, int(limit)))
 
 
 def search_alerts(df: DataFrame, alert: str | None = None, term: str = "", columns: Sequence[str] = SEARCH_COLUMNS) -> DataFrame:

@@ -67,12 +67,18 @@ def test_isolation_forest_finds_planted_rows(planted):
 
 
 def test_sample_sizes_of_trees():
-    assert detectors.resolve_max_samples("all", 900) == 900
-    assert detectors.resolve_max_samples("auto", 900) == 256
-    assert detectors.resolve_max_samples("2000", 900) == 900
-    for bad in ("many", 0):
-        with pytest.raises(ValueError):
-            detectors.resolve_max_samples(bad, 900)
+    assert detectors.rows_per_tree(None, 900) == 900
+    assert detectors.rows_per_tree(256, 900) == 256
+    assert detectors.rows_per_tree(2000, 900) == 900
+    with pytest.raises(ValueError):
+        detectors.rows_per_tree(0, 900)
+
+
+def test_trees_use_the_rows_that_are_asked_for(planted):
+    df, _ = planted
+    names = [f"residual_Xs_{i}" for i in range(5)]
+    model = detectors.fit_isolation_forest(df, names, trees=3, max_samples=None)
+    assert model.tree_rows == model.sample_rows > detectors.TREE_ROWS
 
 
 def test_shrunk_covariance_and_distance(planted):
