@@ -7,6 +7,7 @@ a unit there, so every chunk can be encoded once, whatever stands around it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,8 +107,16 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def release() -> None:
+    """Give memory that is free in the Python worker back to the system: workers outlive their tasks, and wait beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of each have about ``most`` bytes or are a single text."""
+    """The batches, cut so that the texts of each have about ``most`` bytes or are a single text. Free memory is released at the end."""
     for batch in batches:
         sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
         group = np.cumsum(sizes) // most
@@ -116,6 +125,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             if end > begin:
                 yield batch.slice(begin, end - begin)
             begin = end
+    release()
 
 
 class Memo:

@@ -45,6 +45,8 @@ TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-4
 LEVELS, CROWD = 24, 0.6
 #: Candidates need this share of equal tokens: three standard deviations below the threshold.
 PLAUSIBLE = 0.67
+#: Bytes of text whose words a task holds at once; a word's arrays take some twenty times its bytes.
+SLICE = 4 << 20
 #: Members of a large node that each of its blocks is compared with.
 ANCHORS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sized_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks.slices(batches):
+        for part in chunks.slices(batches, most=SLICE):
             sizes, digests, signatures = [], [], []
             for members in shingle_sets(part.column("text")):
                 sizes.append(len(members))
@@ -283,7 +285,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> D
     """``id, members``: the full shingle sets of the documents named by ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks.slices(batches):
+        for part in chunks.slices(batches, most=SLICE):
             sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
