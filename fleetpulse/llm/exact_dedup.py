@@ -42,7 +42,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``keep_id``, ``group_size`` and ``kept``; ``digest`` names a column for the SHA-256 of every text."""
     docs = docs.drop(*(c for c in ADDED if c != id_col and c != text_col))
     narrow = staged(_keyed(docs.select(id_col, text_col), text_col).select(*_KEYS), "lengths")
-    lengths = narrow.groupBy("__length").count().where("count > 1").select("__length")
+    # sent to all tasks where they are few, so that rows of a hot length stay where they are and are combined there
+    lengths = lookup(staged(narrow.groupBy("__length").count().where("count > 1").select("__length"), "repeated"))
     same_prefix = (
         narrow.join(lengths, "__length", "left_semi").groupBy(*_KEYS).count().where("count > 1")
         .select(*_KEYS, F.lit(True).alias("__shared"))
