@@ -305,7 +305,9 @@ def distances(df: DataFrame, model: Distance) -> DataFrame:
     scaled = df.withColumns({
         n: (finite_or(f, 0.0) - F.lit(model.scaler.means[f])) / F.lit(model.scaler.stds[f]) for n, f in zip(names, model.features)
     })
-    root = np.linalg.cholesky(model.precision).T
+    # a rounded pseudo-inverse can be slightly indefinite
+    values, vectors = np.linalg.eigh(model.precision)
+    root = np.sqrt(np.maximum(values, 0.0))[:, None] * vectors.T
     out = squared_norm(scaled, names, model.mean, root, "_d2")
     return out.withColumn("mahalanobis_distance", F.sqrt(F.greatest("_d2", F.lit(0.0)))).drop("_d2", *names)
 
