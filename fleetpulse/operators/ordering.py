@@ -17,26 +17,42 @@ from fleetpulse.functions.exprs import col, hash_rank
 from fleetpulse.settings import BLOCK_ROWS, LOOKUP_ROWS, SEQ, TASK_ROWS, TRAJECTORY
 
 
-def order_buckets(column: str) -> list[Column]:
-    """Coarse to fine numbers of a timestamp that never decrease along it.
+# Bits cut from a number that breaks ties, coarse to fine.
+TIE_BITS = (24, 16, 8, 0)
 
+
+def order_buckets(column: str, tie: str | None = None) -> list[Column]:
+    """Coarse to fine buckets of a timestamp that never decrease along it.
+
+    ``tie`` is the whole number that orders rows of equal time. Its slices follow the finest
+    time, so that many rows of one time, or without a time, are split as well.
     The session time zone must be free of clock changes, such as UTC.
     """
-    return [F.unix_seconds(F.date_trunc(unit, column)) for unit in ("month", "day", "hour", "minute", "second")]
+    times = [F.unix_seconds(F.date_trunc(unit, column)) for unit in ("month", "day", "hour", "minute", "second")]
+    exact = F.unix_micros(F.col(column).cast("timestamp"))
+    ties = [F.struct(exact, F.floor(F.col(tie) / F.lit(2 ** bits))) for bits in TIE_BITS] if tie else []
+    return [*times, exact, *ties]
+
 
+def _longest(df: DataFrame, candidates: Sequence[Column]) -> list[int]:
+    """Rows of the longest bucket of each candidate, from one pass: the coarser ones are rolled up from the finest."""
+    names = [f"_b{i}" for i in range(len(candidates))]
+    finest = df.select(*[F.xxhash64(c).alias(n) for c, n in zip(candidates, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = finest.select("_n", F.posexplode(F.array(*names)).alias("_level", "_key")).groupBy("_level", "_key").agg(F.sum("_n").alias("_n"))
+    found = {r["_level"]: r["_n"] for r in sizes.groupBy("_level").agg(F.max("_n").alias("_n")).collect()}
+    return [found.get(i, 0) for i in range(len(candidates))]
 
-def pick_bucket(df: DataFrame, candidates: Sequence[Column], task_rows: int = TASK_ROWS) -> Column | None:
+
+def pick_bucket(df: DataFrame, candidates: Sequence[Column], task_rows: int = TASK_ROWS) -> Column:
     """The coarsest bucket that holds at most ``task_rows`` rows over all keys together.
 
-    No bucket is needed when the whole table is that short. The finest candidate is used
-    when none is short enough.
+    The finest candidate is used when none is short enough, so it should tell rows apart.
+    Fine candidates have many buckets and are counted only where the first three are too long.
     """
-    if df.count() <= task_rows:
-        return None
-    for c in candidates[:-1]:
-        longest = df.groupBy(c.alias("_bucket")).count().agg(F.max("count")).first()[0]
-        if longest <= task_rows:
-            return c
+    for part in (candidates[:-1][:3], candidates[:-1][3:]):
+        for candidate, rows in zip(part, _longest(df, part) if part else []):
+            if rows <= task_rows:
+                return candidate
     return candidates[-1]
 
 
@@ -52,16 +68,15 @@ def number_rows(
     """Running number of each row within ``keys``, in ``order``.
 
     ``order`` must tell all rows of a key apart, or a repeated task may number them anew.
-    ``bucket`` is a number that does not decrease along ``order`` (a day, a minute, a block
-    number); keys hold no NULL, and rows whose order is NULL come first. Rows are sorted only inside one bucket; the rows of earlier buckets enter as an offset from
-    a table with one row per key and bucket. Of several buckets, coarse to fine, the
-    coarsest with a bounded number of rows is taken.
+    ``bucket`` is a value that does not decrease along ``order`` (a day, a minute, a block
+    number); keys hold no NULL, and rows whose order is NULL come first. Rows are sorted only
+    inside one bucket; the rows of earlier buckets enter as an offset from a table with one
+    row per key and bucket. Of several buckets, coarse to fine, the coarsest with a bounded
+    number of rows is taken.
     """
-    by: str | Column | None = bucket if isinstance(bucket, (str, Column)) else pick_bucket(df, bucket, task_rows)
-    if by is None:
-        w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
-        return df.withColumn(name, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-    rows = df.withColumn("_bucket", F.coalesce(col(by).cast("long"), F.lit(-(2 ** 63)).cast("long")))
+    by = bucket if isinstance(bucket, (str, Column)) else pick_bucket(df, bucket, task_rows)
+    # within a struct, NULL is a value that sorts first and equals itself
+    rows = df.withColumn("_bucket", F.struct(col(by).alias("at")))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -69,7 +84,7 @@ def number_rows(
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket"], "left")
-        .withColumn(name, (F.col("_inside") + F.coalesce("_before", F.lit(0)) + F.lit(start - 1)).cast("long"))
+        .withColumn(name, (F.col("_inside") + F.col("_before") + F.lit(start - 1)).cast("long"))
         .drop("_bucket", "_inside", "_before")
     )
 
@@ -148,12 +163,11 @@ def occurrence_join(
     keys: Sequence[str],
     order: str = SEQ,
     block_rows: int = BLOCK_ROWS,
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Left join where the n-th row of a key meets the n-th row of the same key."""
-    bucket = [F.floor(F.col(order) / F.lit(block_rows))]
-    lhs = number_rows(left, keys, [order], bucket, name="_occurrence", task_rows=task_rows)
-    rhs = number_rows(right, keys, [order], bucket, name="_occurrence", task_rows=task_rows)
+    bucket = F.floor(F.col(order) / F.lit(block_rows))
+    lhs = number_rows(left, keys, [order], bucket, name="_occurrence")
+    rhs = number_rows(right, keys, [order], bucket, name="_occurrence")
     new = [c for c in right.columns if c not in left.columns]
     return lhs.join(rhs.select(*keys, "_occurrence", *new), [*keys, "_occurrence"], "left").drop("_occurrence")
 

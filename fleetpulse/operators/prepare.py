@@ -153,9 +153,9 @@ def zero_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: finite_or(c, 0.0) for c in columns})
 
 
-def engineer(df: DataFrame, sensors: Sequence[str], rows: int = ROLLING_ROWS, first_sensors: int | None = None, **kw: object) -> DataFrame:
-    """Trajectory index and rolling features of all sensors, or of the first ones, then zero fill."""
-    return zero_fill(rolling_features(add_trajectory_index(df), list(sensors)[:first_sensors], rows, **kw))
+def engineer(df: DataFrame, sensors: Sequence[str], rows: int = ROLLING_ROWS, **kw: object) -> DataFrame:
+    """Trajectory index and rolling features of the sensors, then zero fill."""
+    return zero_fill(rolling_features(add_trajectory_index(df), sensors, rows, **kw))
 
 
 def sequence_index(

@@ -240,17 +240,15 @@ def page(
 ) -> DataFrame:
     """One page of ordered rows; a page past the end gives the last page.
 
-    Early pages come from a top-k. Deep pages number the rows by ``bucket`` instead, so
-    that the rows before the page are never gathered in one place.
+    Early pages come from a top-k. Deep pages number the rows by ``bucket`` instead, the first
+    order column if none is given, so that the rows before the page are never gathered in one place.
     """
     total = df.count()
     last = max(1, -(-total // size))
     first = (max(1, min(number, last)) - 1) * size
     if first + size <= shallow_rows:
         return df.orderBy(*order).offset(first).limit(size)
-    if bucket is None:
-        raise ValueError("a deep page needs an order bucket")
-    numbered = number_rows(df, [], order, bucket, name="_row", start=0)
+    numbered = number_rows(df, [], order, order[0] if bucket is None else bucket, name="_row", start=0)
     return numbered.where((F.col("_row") >= first) & (F.col("_row") < first + size)).drop("_row").orderBy(*order)
 
 

@@ -17,7 +17,12 @@ from fleetpulse.sources import tables
 
 S4 = inputs.SENSORS
 MEMBERS = inputs.MEMBERS
-W_NAMES = [f"W_{i}" for i in range(1, 5)]
+W_NAMES = [f"W_{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
+CENTRES = [f"c{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
+# Full covariances of all 64 components have 12,870 parameters, more than the small tables have rows,
+# and the fit then fails on a singular component; the mixtures are fitted on these.
+MIXED = W_NAMES[:4]
+MEANS = [f"m{i}" for i in range(1, len(MIXED) + 1)]
 PAIR = ["residual_Xs_T48", "residual_Xs_Ps30"]
 
 
@@ -25,12 +30,12 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return tables.embedding_vectors(spark, sf)
 
 
-@query("E1", "", "cluster size", "c1 c2 c3 c4")
+@query("E1", "", "cluster size", " ".join(CENTRES))
 def kmeans_centres(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
     model = contexts.fit_kmeans(df, W_NAMES)
     centres = spark.createDataFrame(
-        [(i, *[float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, c1 double, c2 double, c3 double, c4 double")
+        [(i, *[float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, " + ", ".join(f"{c} double" for c in CENTRES))
     sizes = contexts.assign_kmeans(df.where(F.col("split") == DEV), model, W_NAMES).groupBy(
         F.col("kmeans_context_id").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
     return centres.join(sizes, "cluster", "left")
@@ -39,21 +44,21 @@ def kmeans_centres(spark: SparkSession, sf: str) -> DataFrame:
 @query("E2", "split", "seq kmeans_context_id")
 def kmeans_assignment(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
-    return contexts.assign_kmeans(df, contexts.fit_kmeans(df, W_NAMES, starts=3), W_NAMES)
+    return contexts.assign_kmeans(df, contexts.fit_kmeans(df, W_NAMES), W_NAMES)
 
 
-@query("E3", "", "component", "weight m1 m2 m3 m4")
+@query("E3", "", "component", " ".join(["weight", *MEANS]))
 def mixture_parts(spark: SparkSession, sf: str) -> DataFrame:
-    mix = contexts.Mixture.of(contexts.fit_mixture(_vectors(spark, sf), W_NAMES))
+    mix = contexts.Mixture.of(contexts.fit_mixture(_vectors(spark, sf), MIXED))
     return spark.createDataFrame(
         [(i, w, *m) for i, (w, m) in enumerate(zip(mix.weights, mix.means))],
-        "component int, weight double, m1 double, m2 double, m3 double, m4 double")
+        "component int, weight double, " + ", ".join(f"{m} double" for m in MEANS))
 
 
 @query("E4", "split", "seq gmm_context_id", "context_probability context_confidence")
 def mixture_assignment(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
-    return contexts.assign_mixture(df, contexts.fit_mixture(df, W_NAMES), W_NAMES)
+    return contexts.assign_mixture(df, contexts.fit_mixture(df, MIXED), MIXED)
 
 
 @query("E5", "split", "unit_id cycle seq kmeans_context_id gmm_context_id", "context_probability context_confidence", tables=("li",),

@@ -147,7 +147,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     from fleetpulse.operators.anomaly import classify_severity
 
     rows = classify_severity(tables.events_telemetry(spark, sf, sequenced=False))
-    return serving.chart_points(rows, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts"), points=20)
+    return serving.chart_points(rows, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts", "event_id"), points=20)
 
 
 @query("O16", "facet value", "count", "", tables=("evp", "flast", "flog"),

@@ -183,7 +183,7 @@ def feedback_of(rows: DataFrame) -> DataFrame:
 def feedback_log(spark: SparkSession, sf: str) -> DataFrame:
     from fleetpulse.operators.feedback import number_feedback
 
-    return number_feedback(feedback_records(spark, sf), 0, ["ts", "event_id"], order_buckets("ts"), F.col("ts"))
+    return number_feedback(feedback_records(spark, sf), 0, ["ts", "event_id"], order_buckets("ts", "event_id"), F.col("ts"))
 
 
 def event_thresholds(spark: SparkSession, sf: str) -> DataFrame:

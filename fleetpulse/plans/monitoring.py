@@ -393,9 +393,9 @@ def confidence_labels(spark: SparkSession, sf: str) -> DataFrame:
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
     records = inputs.feedback_records(spark, sf)
-    day = ordering.order_buckets("ts")
-    feedback.store_feedback(spark, path, records.where("cycle < 15"), ["ts", "event_id"], day)
-    return feedback.store_feedback(spark, path, records.where("cycle >= 15"), ["ts", "event_id"], day)
+    bucket = ordering.order_buckets("ts", "event_id")
+    feedback.store_feedback(spark, path, records.where("cycle < 15"), ["ts", "event_id"], bucket)
+    return feedback.store_feedback(spark, path, records.where("cycle >= 15"), ["ts", "event_id"], bucket)
 
 
 @query("N2", "feedback_status", "unit_id cycle context_id", "", sql="SELECT * FROM flast", tables=("flast",))
@@ -449,6 +449,6 @@ def submitted(spark: SparkSession, sf: str) -> DataFrame:
     base = inputs.event_thresholds(spark, sf).where("context_id <> '3'")
     mem, thresholds = feedback.submit_feedback(
         spark, shared_folder(spark), inputs.feedback_records(spark, sf), feedback.alert_memory(memory_rows(spark, sf)), base,
-        ["ts", "event_id"], ordering.order_buckets("ts"))
+        ["ts", "event_id"], ordering.order_buckets("ts", "event_id"))
     totals = mem.agg(F.count(F.lit(1)).alias("memory_rows"), F.count_if(F.col("feedback_status") != "no_feedback").alias("with_feedback"))
     return thresholds.crossJoin(F.broadcast(totals))

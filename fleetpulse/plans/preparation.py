@@ -194,12 +194,15 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
         "total": F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)})
 
 
+D1_ROLLING = each(
+    f"avg({{s}}) OVER {W5} AS {{s}}_rolling_mean_5, coalesce(stddev_samp({{s}}) OVER {W5}, 0.0) AS {{s}}_rolling_std_5, "
+    f"coalesce({{s}} - lag({{s}}) OVER ({W}), 0.0) AS {{s}}_trend")
+
+
 @query("D1", "column_name", "n", "mean", tables=("li",),
-       sql=f"""SELECT column_name, count(*) AS n, avg(v) AS mean FROM (UNPIVOT (SELECT CAST(seq - 1 AS DOUBLE) AS trajectory_index, Xs_T48, Xs_Ps30, Xs_Nf, Xs_Wf,
-       avg(Xs_T48) OVER {W5} AS Xs_T48_rolling_mean_5, coalesce(stddev_samp(Xs_T48) OVER {W5}, 0.0) AS Xs_T48_rolling_std_5,
-       coalesce(Xs_T48 - lag(Xs_T48) OVER ({W}), 0.0) AS Xs_T48_trend FROM li) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name""")
+       sql=f"""SELECT column_name, count(*) AS n, avg(v) AS mean FROM (UNPIVOT (SELECT CAST(seq - 1 AS DOUBLE) AS trajectory_index, Xs_T48, Xs_Ps30, Xs_Nf, Xs_Wf, {D1_ROLLING} FROM li) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name""")
 def scalable(spark: SparkSession, sf: str) -> DataFrame:
-    df = prepare.engineer(tables.lineitem_telemetry(spark, sf), S4, first_sensors=1)
+    df = prepare.engineer(tables.lineitem_telemetry(spark, sf), S4)
     names = channels.scalable_columns(df)
     return df.agg(*[F.count(n).alias(f"{n}__n") for n in names], *[F.avg(n).alias(f"{n}__m") for n in names]).select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"{n}__n").alias("n"), F.col(f"{n}__m").alias("mean")) for n in names])))

@@ -12,6 +12,9 @@ from fleetpulse.functions.exprs import finite_or
 from fleetpulse.operators.ordering import number_rows, order_buckets, require_aligned
 from fleetpulse.settings import DEV, SEQ, TEST
 
+# Fixed value: components of a vector in ``embeddings``.
+EMBEDDING_WIDTH = 64
+
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
@@ -134,7 +137,7 @@ def events_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True) -
     df = events_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
     if not sequenced:
         return df
-    return number_rows(df, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts"))
+    return number_rows(df, ["split", "unit_id"], ["ts", "event_id"], order_buckets("ts", "event_id"))
 
 
 def context_code(c: str) -> Column:
@@ -168,7 +171,7 @@ def lineitem_telemetry(spark: SparkSession, sf_dir: str, sequenced: bool = True)
     if not sequenced:
         return df
     order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "Xs_Ps30"]
-    return number_rows(df, ["split", "unit_id"], order, order_buckets("ts"))
+    return number_rows(df, ["split", "unit_id"], order, order_buckets("ts", "l_orderkey"))
 
 
 def with_operating_conditions(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +184,8 @@ def with_operating_conditions(df: DataFrame, spark: SparkSession, sf_dir: str) -
     return df.join(part, "l_partkey", "left")
 
 
-def embedding_vectors(spark: SparkSession, sf_dir: str, width: int = 4) -> DataFrame:
-    """The ``embeddings`` table with its leading components as operating conditions."""
+def embedding_vectors(spark: SparkSession, sf_dir: str, width: int = EMBEDDING_WIDTH) -> DataFrame:
+    """The ``embeddings`` table with its components as operating conditions."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.when(F.col("vec_id") % 3 == 2, TEST).otherwise(DEV).alias("split"),
         F.col("label").cast("long").alias("unit_id"),

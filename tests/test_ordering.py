@@ -26,9 +26,20 @@ def test_rows_without_order_value_are_numbered_first(spark):
     assert rows(ordering.number_rows(df, ["k"], ["t"], F.floor(F.col("t") / 4)).select("seq", "t"), "seq") == [(1, None), (2, 3), (3, 5)]
 
 
+def test_a_hot_day_and_rows_without_time_are_split(spark):
+    day = F.when(F.col("id") % 3 != 0, F.lit("2024-05-01 00:00:00").cast("timestamp"))
+    df = spark.range(3_000).select(F.lit(1).alias("k"), day.alias("ts"), (F.col("id") * 7 % 3_000).alias("event_id"))
+    buckets = ordering.order_buckets("ts", "event_id")
+    chosen = ordering.pick_bucket(df, buckets, task_rows=300)
+    longest = df.groupBy(F.struct(chosen.alias("b"))).count().agg(F.max("count")).first()[0]
+    assert longest <= 300
+    plain = df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("ts", "event_id")).cast("long"))
+    same(plain, ordering.number_rows(df, ["k"], ["ts", "event_id"], buckets, task_rows=300), keys=("k", "seq"))
+
+
 def test_bucket_choice_is_bounded(trajectories):
     coarse, fine = F.floor(F.col("seq") / 500), F.floor(F.col("seq") / 10)
-    assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=5_000) is None
+    assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=5_000) is coarse
     assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=700) is coarse
     assert ordering.pick_bucket(trajectories, [coarse, fine], task_rows=3) is fine
 
@@ -94,8 +105,8 @@ def test_early_warning_any_scores(spark, scores, block):
 def test_occurrence_join_is_one_to_one(spark):
     left = spark.createDataFrame([("k", 1), ("k", 2), ("k", 3), ("m", 1)], "key string, seq long")
     right = spark.createDataFrame([("k", 5, "x"), ("k", 9, "y")], "key string, seq long, v string")
-    for task_rows in (1, 1_000):
-        out = ordering.occurrence_join(left, right, ["key"], block_rows=2, task_rows=task_rows)
+    for block_rows in (2, 1_000):
+        out = ordering.occurrence_join(left, right, ["key"], block_rows=block_rows)
         assert rows(out.select("key", "seq", "v"), "key", "seq") == [("k", 1, "x"), ("k", 2, "y"), ("k", 3, None), ("m", 1, None)]
 
 
