@@ -15,8 +15,10 @@ need no link of their own.
 
 The members of a larger node are besides cut into random blocks, each compared together with the
 node's anchors, a few members of smallest hash, so that a crowd of near copies hangs together by
-its anchors. Work in a node is thus linear in its members at any size. A node that keeps most of
-its parent's members is such a crowd, and branches no further.
+its anchors. A node that keeps most of its parent's members is a crowd, and branches no further. A
+crowd that hangs together is done, which is linear in its members. Otherwise, as where documents
+share a template, all pairs of its members outside its largest part, and of these with the largest
+part, are compared on their full sets, in cells of two blocks of bounded size.
 
 Results: null and empty texts have the empty set and are linked with nothing. A text of fewer than
 five words has its word sequence as its only shingle. Rows that repeat an id are one document: it
@@ -49,6 +51,10 @@ PLAUSIBLE = 0.67
 SLICE = 4 << 20
 #: Members of a large node that each of its blocks is compared with.
 ANCHORS = 8
+#: Members and shingles of a block of a crowd whose pairs are all compared.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: A shingle of this many members of a cell is counted by a product of matrices.
+COMMON = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -316,7 +322,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """Confirmed links ``a, b`` between classes: enough of them to connect whatever is similar."""
-    members = _nodes(classes, threshold)
+    members, crowds = _nodes(classes, threshold)
+    links = staged(_node_links(docs, members, id_col, text_col, threshold), "links")
+    if crowds.isEmpty():
+        return links
+    return links.unionByName(_crowd_links(docs, crowds, links, id_col, text_col, threshold))
+
+
+def _node_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Confirmed links ``a, b`` that connect whatever is similar in a node of ``members``."""
     proposed = staged(_compare(members), "proposed")
     pairs = staged(proposed.select("a", "b").distinct(), "pairs")
     # whoever has a plausible partner in a node is in its forest, so later rounds need no other sets
@@ -338,15 +352,122 @@ def _class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     return checked.unionByName(staged(_confirmed(fresh, sets, threshold), "checked")).where("linked").select("a", "b")
 
 
-def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
-    """``node, id, signature``: the nodes of all trees whose members are to be compared, large ones in blocks."""
+def _crowd_links(docs: DataFrame, crowds: DataFrame, links: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Links ``a, b`` between the parts of each crowd that ``links`` leave unconnected; ``crowds`` has ``crowd, id``."""
+    parts = components(links)
+    parted = staged(crowds.join(parts, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("part")), "parted")
+    sizes = parted.groupBy("crowd", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("crowd").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    main = staged(main.select("crowd", "main"), "main")
+    if main.isEmpty():
+        return links.limit(0)
+    open_ = staged(parted.join(main, "crowd").select("crowd", "id", "part", (F.col("part") == F.col("main")).alias("inner")), "open")
+    wanted = lookup(staged(open_.select("id").distinct(), "wanted"))
+    sets = staged(_full_sets(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
+    sized = open_.join(sets.select("id", F.size("members").alias("size")), "id")
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES))
+    cuts = sized.groupBy("crowd").pivot("inner", [False, True]).agg(cut).select("crowd", F.col("false").alias("outs"), F.col("true").alias("ins"))
+    placed = open_.join(staged(cuts, "cuts"), "crowd")
+    h = F.xxhash64("id", "crowd")
+    placed = placed.withColumn("block", F.pmod(h, F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))))
+    # every block of the largest part meets every outer block, and the outer blocks meet each other
+    outs, ins = F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), F.sequence(F.lit(0).cast("long"), F.col("ins") - 1)
+
+    def cell(kind: int, i, j, left):
+        return F.struct(F.xxhash64("crowd", F.lit(kind), i, j).alias("node"), left.alias("left"))
+
+    block = F.col("block")
+    whole = F.lit(None).cast("boolean")
+    inner = F.transform(outs, lambda j: cell(0, block, j, F.lit(True)))
+    across = F.transform(ins, lambda i: cell(0, i, block, F.lit(False)))
+    among = F.transform(outs, lambda j: cell(1, F.least(block, j), F.greatest(block, j), F.when(j == block, whole).otherwise(block < j)))
+    cells = placed.select("id", "part", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(across, among))).alias("cell"))
+    cells = cells.select("id", "part", "cell.node", "cell.left").join(sets, "id").select("node", "id", "part", "left", "members")
+    return _by_node(cells, _all_pairs(round(100 * threshold)), "a long, b long").distinct()
+
+
+def _all_pairs(percent: int):
+    """A task that compares each left with each right member of a cell, and gives links that connect its parts."""
+
+    def work(node: int, table: pa.Table):
+        left = table.column("left").to_pylist()
+        a = np.flatnonzero([x is not False for x in left])
+        b = np.flatnonzero([x is not True for x in left])
+        if not len(a) or not len(b):
+            return
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        members = table.column("members").combine_chunks()
+        size = np.diff(members.offsets.to_numpy())
+        both = _shared(members.flatten().to_numpy(), size, a, b)
+        linked = both * 100 >= percent * (size[a][:, None] + size[b][None, :] - both)
+        linked &= (part[a][:, None] != part[b][None, :]) & (both > 0)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        x, y = np.nonzero(linked)
+        pairs = []
+        for i, j in zip(a[x].tolist(), b[y].tolist(), strict=True):
+            p, q = find(int(part[i])), find(int(part[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                pairs.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        if pairs:
+            yield [int(p[0]) for p in pairs], [int(p[1]) for p in pairs]
+
+    return work
+
+
+def _shared(flat: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each member in ``a`` has in common with each in ``b``."""
+    _, code, uses = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(a), len(b)), np.int64)
+    row, column = np.full(len(size), -1), np.full(len(size), -1)
+    row[a], column[b] = np.arange(len(a)), np.arange(len(b))
+    # common shingles by matrices, some thousands at a time
+    common = np.flatnonzero(uses >= COMMON)
+    place = np.full(len(uses), -1)
+    place[common] = np.arange(len(common))
+    for at in range(0, len(common), 2048):
+        k = place[code] - at
+        here = (k >= 0) & (k < 2048) & (place[code] >= 0)
+        has = np.zeros((len(size), min(2048, len(common) - at)), np.float32)
+        has[owner[here], k[here]] = 1
+        out += np.rint(has[a] @ has[b].T).astype(np.int64)
+    # of the others all pairs of owners
+    rest = np.flatnonzero((uses[code] > 1) & (uses[code] < COMMON))
+    rest = rest[np.argsort(code[rest], kind="stable")]
+    c, o = code[rest], owner[rest]
+    for step in range(1, COMMON):
+        near = c[:-step] == c[step:]
+        if not near.any():
+            break
+        x, y = o[:-step][near], o[step:][near]
+        for i, j in ((x, y), (y, x)):
+            ok = (row[i] >= 0) & (column[j] >= 0)
+            out += np.bincount(row[i][ok] * len(b) + column[j][ok], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``node, id, signature``: the nodes of all trees whose members are to be compared, large ones in blocks; and ``crowd, id``.
+
+    A crowd is a large node that branches no further, together with those that have the same member of smallest
+    hash: trees often give nearly the same crowd.
+    """
     signatures = classes.select("id", "signature")
     level = _roots(classes, trees_needed(threshold))
-    shared = []
-    for _ in range(LEVELS):
+    shared, ends = [], []
+    for depth in range(LEVELS):
         counts = level.groupBy("node").count().where("count > 1")
         shared.append(staged(level.join(counts, "node"), "level"))
-        large = shared[-1].where((F.col("count") > SMALL) & (F.col("count") <= CROWD * F.col("above")))
+        branches = (F.col("count") <= CROWD * F.col("above")) & F.lit(depth < LEVELS - 1)
+        ends.append(shared[-1].where((F.col("count") > SMALL) & ~branches).select("node", "id"))
+        large = shared[-1].where((F.col("count") > SMALL) & branches)
         if large.isEmpty():
             break
         level = _branch(large.join(signatures, "id"))
@@ -358,7 +479,13 @@ def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
     # trees often give the same node: each set of members is compared once
     named = nodes.groupBy("node").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("what"), F.count("*").alias("n"))
     once = named.groupBy("what", "n").agg(F.min("node").alias("node")).select("node")
-    return staged(nodes.join(once, "node", "left_semi").join(signatures, "id").select("node", "id", "signature"), "nodes")
+    crowds = ends[0]
+    for more in ends[1:]:
+        crowds = crowds.unionByName(more)
+    crowds = staged(crowds, "ends")
+    alike = crowds.groupBy("node").agg(F.min_by("id", F.xxhash64("id")).alias("crowd"))
+    crowds = staged(crowds.join(alike, "node").select("crowd", "id").distinct(), "crowds")
+    return staged(nodes.join(once, "node", "left_semi").join(signatures, "id").select("node", "id", "signature"), "nodes"), crowds
 
 
 def _blocks(large: DataFrame) -> DataFrame:

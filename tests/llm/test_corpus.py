@@ -240,6 +240,23 @@ def test_near_copies(spark, monkeypatch, small):
     assert near_dedup.keep_one(docs).count() == len(set(want.values()))
 
 
+def test_near_copies_among_documents_of_one_template(spark):
+    """Thousands of documents share most shingles and are not linked; the copies planted among them are."""
+    rng = np.random.default_rng(8)
+    template = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join([*template, *(f"w{rng.integers(1e9)}" for _ in range(18))])) for i in range(3000)]
+    want = {i: i for i in range(3000)}
+    for k in range(300):
+        i, words = 3000 + k, rows[7 * k][1].split()
+        rows.append((i, " ".join([*words[:-9], *(f"c{rng.integers(1e9)}" for _ in range(9))])))
+        want[i] = 7 * k
+    sets = {d: shingles(t) for d, t in rows}
+    assert all(len(sets[3000 + k] & sets[7 * k]) >= 0.75 * len(sets[3000 + k] | sets[7 * k]) for k in range(300))
+    assert len(sets[1] & sets[2]) < 0.72 * len(sets[1] | sets[2])
+    found = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in found} == want
+
+
 def test_near_copies_of_odd_rows(texts, empty):
     assert near_dedup.near_components(texts).count() == texts.count()
     assert near_dedup.keep_one(texts).columns == texts.columns
