@@ -240,6 +240,14 @@ def test_near_copies(spark, monkeypatch, small):
     assert near_dedup.keep_one(docs).count() == len(set(want.values()))
 
 
+def test_a_small_language_keeps_its_words(spark):
+    """One hundredth of all words: the vocabulary is cut by the language's own total."""
+    rows = [(i, "big", 1, " ".join(f"b{k % 20}" for k in range(99))) for i in range(100)] + [(100 + i, "small", 1, " ".join(f"s{k}" for k in range(10))) for i in range(10)]
+    model, _ = quality.train(spark.createDataFrame(rows, "id long, lang string, role int, text string"), share=1 / 100)
+    assert set(model.words["small"]) == {f"s{k}".encode() for k in range(10)}
+    assert len(model.words["big"]) == 20
+
+
 def test_near_copies_among_documents_of_one_template(spark):
     """Thousands of documents share most shingles and are not linked; the copies planted among them are."""
     rng = np.random.default_rng(8)
