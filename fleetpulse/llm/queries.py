@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.deploy import ship
-from fleetpulse.llm import ann, byte_bpe, exact_dedup, language, mixing, near_dedup, quality, records, tokens, warc
+from fleetpulse.llm import (
+    ann, byte_bpe, conversations, exact_dedup, language, mixing, near_dedup, quality, records, repeats, simplex, sql, tokens, warc,
+)
+from fleetpulse.llm.staging import staged
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +75,29 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.report(conversations.damage(rows), rows)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = simplex.cluster(table(spark, sf_dir, "embeddings"))
+    found = staged(found, "clusters")
+    long = lambda c: F.least(c, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
+    sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()
+    hashes = simplex.fingerprints(centroids)
+    told = spark.createDataFrame([(r["cluster"], r["total"], hashes[r["cluster"]]) for r in sums], "cluster int, total decimal(38,0), centroid_sha256 string")
+    every = F.lit(sum(r["total"] for r in sums)).cast("decimal(38,0)")
+    return found.join(F.broadcast(told), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", long(F.col("total")).alias("cluster_inertia"), long(every).alias("inertia"), "centroid_sha256"
+    )
+
+
 WARC_SQL = r"""
 WITH p AS (
   SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
@@ -131,4 +157,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": Query(op8_near_dedup, NEAR_SQL),
     "op9_byte_bpe": Query(op9_byte_bpe),
     "op10_token_records": Query(op10_token_records),
+    "op11_suffix_dedup": Query(op11_suffix_dedup, sql.SUFFIX),
+    "op12_conversation_repair": Query(op12_conversation_repair, sql.conversations()),
+    "op13_centroid_clustering": Query(op13_centroid_clustering, sql.clustering(simplex.WIDTH, simplex.CLUSTERS, simplex.ROUNDS, simplex.SCALE)),
 }
