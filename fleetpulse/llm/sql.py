@@ -8,10 +8,10 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), n AS (SELECT *, length(h) // 2 AS n FROM d),
 cut AS (  -- a substring is found by counting from the start, so long texts are cut first
-  SELECT r, doc_id, at, least(n - 49 - at, 500) AS m, substring(h, 2 * at + 1, 1098) AS h FROM (
-    SELECT r, doc_id, h, n, unnest(range(0, n - 49, 500)) AS at FROM n WHERE n >= 50 AND doc_id IS NOT NULL)
+  SELECT r, doc_id, base, least(n - 49 - base, 500) AS m, substring(h, 2 * base + 1, 1098) AS h FROM (
+    SELECT r, doc_id, h, n, unnest(range(0, n - 49, 500)) AS base FROM n WHERE n >= 50 AND doc_id IS NOT NULL)
 ),
-g AS (SELECT r, doc_id, at + i AS p, substring(h, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, at, h, unnest(range(m)) AS i FROM cut)),
+g AS (SELECT r, doc_id, base + i AS p, substring(h, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, base, h, unnest(range(m)) AS i FROM cut)),
 least_of AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS b FROM g JOIN least_of USING (s) WHERE m < doc_id),
 runs AS (SELECT r, p, sum(CASE WHEN b IS NULL OR p > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
