@@ -1,4 +1,4 @@
-"""Operating contexts: k-means, Gaussian mixture and drift."""
+"""Operating contexts: k-means, mixtures of known parts and drift; ``mixtures`` fits them."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from fleetpulse.functions.exprs import finite_or, unit_clip
+from fleetpulse.functions.exprs import finite_or
 from fleetpulse.functions.linear import squared_norm
 from fleetpulse.functions.quantiles import quantile_values
 from fleetpulse.operators.ordering import occurrence_join
@@ -57,34 +56,6 @@ def assign_kmeans(df: DataFrame, model: KMeansModel, features: Sequence[str]) ->
     return model.transform(_vectors(df, features)).drop("_features")
 
 
-def fit_mixture(
-    df: DataFrame,
-    features: Sequence[str],
-    k: int = CLUSTERS,
-    max_iter: int = MAX_ITERATIONS,
-    seed: int = SEED,
-    fit_split: str = DEV,
-) -> GaussianMixtureModel:
-    rows = _vectors(df.where(F.col("split") == fit_split), features).select("_features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return GaussianMixture(k=k, maxIter=max_iter, seed=seed, featuresCol="_features",
-                               predictionCol="gmm_context_id", probabilityCol="_probability").fit(rows)
-    finally:
-        rows.unpersist()
-
-
-def assign_mixture(df: DataFrame, model: GaussianMixtureModel, features: Sequence[str]) -> DataFrame:
-    """Most likely component, its probability, and the clipped confidence."""
-    out = model.transform(_vectors(df, features))
-    top = F.array_max(vector_to_array("_probability"))
-    return out.withColumn("context_probability", top).withColumn("context_confidence", unit_clip("context_probability")).drop("_features", "_probability")
-
-
-def context_table(df: DataFrame, kmeans: KMeansModel, mixture: GaussianMixtureModel, features: Sequence[str]) -> DataFrame:
-    """Both context ids of every row on one lineage, so no join is needed."""
-    return assign_mixture(assign_kmeans(df, kmeans, features), mixture, features)
-
-
 def merge_contexts(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("split", "unit_id", "cycle"), **kw: object) -> DataFrame:
     """Context ids of two separately stored tables by key and occurrence; gaps are -1 and 0."""
     out = occurrence_join(left, right, keys, **kw)
@@ -101,15 +72,6 @@ class Mixture:
     means: list[list[float]]
     covariances: list[list[list[float]]]
 
-    @staticmethod
-    def of(model: GaussianMixtureModel) -> "Mixture":
-        parts = model.gaussiansDF.collect()
-        return Mixture(
-            [float(w) for w in model.weights],
-            [p["mean"].toArray().tolist() for p in parts],
-            [p["cov"].toArray().tolist() for p in parts],
-        )
-
 
 def mixture_by_group(df: DataFrame, features: Sequence[str], group: str, fit_split: str = DEV) -> Mixture:
     """Mixture with one component per known group: its share, mean and covariance."""

@@ -8,9 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -19,16 +16,16 @@ from fleetpulse.functions.exprs import finite_or
 from fleetpulse.functions.linear import squared_norm
 from fleetpulse.functions.quantiles import quantile_values
 from fleetpulse.operators.anomaly import min_max_score, min_max_scores
-from fleetpulse.operators.ordering import uniform_sample
 from fleetpulse.operators.prepare import Standardizer, fit_standardizer, sequences
-from fleetpulse.settings import DEV, SEQ, SEQUENCE_ROWS, TRAJECTORY
+from fleetpulse.streaming.storage import stored
+from fleetpulse.settings import BLOCK_ROWS, DEV, LOOKUP_ROWS, SEQ, SEQUENCE_ROWS, TRAJECTORY
 
 SEED = 42
 TREES = 200
-# Rows per tree by default, as in the original isolation forest paper. A tree is grown in one
-# task, on at most all rows of the sample.
+# Rows per tree by default, as in the original isolation forest paper; any number can be asked for.
 TREE_ROWS = 256
-TRAIN_ROWS = 65_536
+# Rows of a tree's node that one task may grow on; larger nodes are split by aggregations.
+NODE_ROWS = 1 << 16
 PERCENTILE = 0.99
 PRECISION_RIDGE = 1e-6
 EULER_GAMMA = 0.5772156649015329
@@ -53,83 +50,124 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple[int, int, float, int, int, float]]:
-    """Nodes of one tree: id, feature (-1 at a leaf), cut, left, right, path length."""
-    nodes: list[tuple[int, int, float, int, int, float]] = []
-    todo = [(0, np.arange(len(x)), 0)]
-    used = 1
+def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int, root: int = 1) -> list[tuple[int, int, float, int, int, float, int]]:
+    """Nodes below ``root``: id, feature (-1 at a leaf), cut, left, right, path length, rows.
+
+    The root of a tree is 1 and the children of n are 2n and 2n + 1, so a node's depth follows from its id.
+    """
+    nodes: list[tuple[int, int, float, int, int, float, int]] = []
+    todo = [(root, np.arange(len(x)))]
     while todo:
-        node, rows, depth = todo.pop()
-        part = x[rows]
+        node, rows = todo.pop()
+        part, depth = x[rows], node.bit_length() - 1
         lo, hi = part.min(axis=0), part.max(axis=0)
         split_on = np.flatnonzero(hi > lo)
         if depth >= max_depth or len(rows) <= 1 or len(split_on) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, float(depth + expected_path(len(rows)))))
+            nodes.append((node, -1, 0.0, -1, -1, float(depth + expected_path(len(rows))), len(rows)))
             continue
         f = int(rng.choice(split_on))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        if cut <= lo[f]:
-            cut = float(np.nextafter(lo[f], hi[f]))
+        cut = random_cut(rng, lo[f], hi[f])
         left = part[:, f] < cut
-        nodes.append((node, f, cut, used, used + 1, 0.0))
-        todo += [(used, rows[left], depth + 1), (used + 1, rows[~left], depth + 1)]
-        used += 2
+        nodes.append((node, f, cut, 2 * node, 2 * node + 1, 0.0, len(rows)))
+        todo += [(2 * node, rows[left]), (2 * node + 1, rows[~left])]
     return nodes
 
 
+def random_cut(rng: np.random.Generator, low: float, high: float) -> float:
+    """A cut between two values that leaves rows on both sides."""
+    cut = float(rng.uniform(low, high))
+    return cut if cut > low else float(np.nextafter(low, high))
+
+
 @dataclass(frozen=True)
 class IsolationForest:
-    """Standardisation and node arrays, one row per tree."""
+    """Standardisation and the trees as arrays: feature, cut, left, right, path."""
 
     features: list[str]
     scaler: Standardizer
-    feature: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    path: np.ndarray
+    trees: list[tuple[np.ndarray, ...]]
     tree_rows: int
-    sample_rows: int
+    fit_rows: int
+
+
+ISOLATION_NODES = "tree_id int, node_id long, feature int, cut double, left_id long, right_id long, path double, rows long"
 
 
 def isolation_trees(
-    sample: DataFrame,
+    rows: DataFrame,
     features: Sequence[str],
     trees: int = TREES,
-    tree_rows: int = TREE_ROWS,
+    tree_rows: int | None = TREE_ROWS,
     keys: Sequence[str] = ROW_KEYS,
     seed: int = SEED,
-    sample_rows: int | None = None,
+    fit_rows: int | None = None,
+    node_rows: int = NODE_ROWS,
 ) -> DataFrame:
-    """Node table of the forest, one task group per tree.
+    """Node table of the forest, each tree grown on its own draw from all rows.
 
-    Every tree draws its own rows by hash. A hash cut leaves little more than
-    ``tree_rows`` rows per tree before they are ranked.
+    A node of more than ``node_rows`` rows is split by one aggregation, which gives the lowest and
+    highest value of every feature of all such nodes of all trees, and its rows move on to its
+    children; the split follows from tree, node and seed. Smaller nodes are finished in one task
+    each. A draw of up to ``node_rows`` rows has exactly that many; a larger one as many in the mean.
     """
-    n = sample.count() if sample_rows is None else sample_rows
-    share = min(1.0, tree_rows / max(n, 1) + 8.0 * math.sqrt(tree_rows) / max(n, 1))
+    n = rows.count() if fit_rows is None else fit_rows
+    wanted = rows_per_tree(tree_rows, n)
+    share = min(1.0, wanted / max(n, 1))
+    exact = wanted < n and wanted <= node_rows
     drawn = (
-        sample.select(*keys, *features)
+        rows.select(*keys, F.array(*features).alias("_x"))
         .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_hash", F.xxhash64(*keys, "tree_id", F.lit(seed)))
     )
-    if share < 1.0:
-        drawn = drawn.where(F.col("_hash") < F.lit(int(-(2 ** 63) + share * 2 ** 64)))
-    w = Window.partitionBy("tree_id").orderBy("_hash", *keys)
-    drawn = drawn.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= tree_rows)
-    depth = max(1, math.ceil(math.log2(max(min(tree_rows, n), 2))))
-    names = list(features)
+    if wanted < n:
+        # a hash cut leaves little more than the wanted rows of each tree, which are ranked
+        limit = min(1.0, share + (8.0 * math.sqrt(wanted) / max(n, 1) if exact else 0.0))
+        if limit < 1.0:
+            drawn = drawn.where(F.col("_hash") < F.lit(int(-(2 ** 63) + limit * 2 ** 64)))
+    if exact:
+        w = Window.partitionBy("tree_id").orderBy("_hash", *keys)
+        drawn = drawn.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= wanted)
+    depth = max(1, math.ceil(math.log2(max(wanted, 2))))
+    drawn = drawn.select("tree_id", F.lit(1).cast("long").alias("node_id"), "_hash", "_x")
+    spark, upper = rows.sparkSession, []
+    large = wanted > node_rows
+    while large:
+        drawn = stored(drawn)
+        bounds = drawn.groupBy("tree_id", "node_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.array(*[F.min(F.col("_x")[i]) for i in range(len(features))]).alias("lo"),
+            F.array(*[F.max(F.col("_x")[i]) for i in range(len(features))]).alias("hi")).where(F.col("rows") > node_rows).collect()
+        splits = [s for s in (_isolation_split(r, seed, depth) for r in bounds) if s]
+        if not splits:
+            break
+        upper += splits
+        table = spark.createDataFrame([(t, k, f, c) for t, k, f, c, *_ in splits], "tree_id int, node_id long, _f int, _cut double")
+        # as many rows as nodes of more than node_rows rows
+        moved = drawn.join(F.broadcast(table) if len(splits) <= LOOKUP_ROWS else table, ["tree_id", "node_id"], "left")
+        right = (F.get("_x", F.col("_f")) >= F.col("_cut")).cast("long")
+        drawn = moved.select("tree_id", F.when(F.col("_f").isNull(), F.col("node_id")).otherwise(2 * F.col("node_id") + right).alias("node_id"), "_hash", "_x")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        tree = int(pdf["tree_id"].iloc[0])
-        nodes = grow_tree(pdf[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), depth)
-        out = pd.DataFrame(nodes, columns=["node_id", "feature", "cut", "left_id", "right_id", "path"])
+        # rows are put in an order of their own, so that the tree doesn't depend on how they arrive
+        pdf = pdf.assign(_text=pdf["_x"].map(lambda v: v.tobytes())).sort_values(["_hash", "_text"])
+        tree, root = int(pdf["tree_id"].iloc[0]), int(pdf["node_id"].iloc[0])
+        nodes = grow_tree(np.stack(pdf["_x"].to_numpy()), np.random.default_rng([seed, tree, root]), depth, root)
+        out = pd.DataFrame(nodes, columns=["node_id", "feature", "cut", "left_id", "right_id", "path", "rows"])
         out.insert(0, "tree_id", tree)
         return out
 
-    return drawn.groupBy("tree_id").applyInPandas(
-        grow, "tree_id int, node_id int, feature int, cut double, left_id int, right_id int, path double")
+    lower = drawn.groupBy("tree_id", "node_id").applyInPandas(grow, ISOLATION_NODES)
+    return lower.unionByName(spark.createDataFrame([(*s[:4], 2 * s[1], 2 * s[1] + 1, 0.0, s[4]) for s in upper], ISOLATION_NODES)) if upper else lower
+
+
+def _isolation_split(node, seed: int, depth: int) -> tuple[int, int, int, float, int] | None:
+    """Tree, node, feature, cut and rows of a node's split; none where its rows are equal or it is deep enough."""
+    lo, hi = np.array(node["lo"]), np.array(node["hi"])
+    open_ = np.flatnonzero(hi > lo)
+    if not len(open_) or int(node["node_id"]).bit_length() - 1 >= depth:
+        return None
+    rng = np.random.default_rng([seed, node["tree_id"], node["node_id"]])
+    f = int(rng.choice(open_))
+    return node["tree_id"], node["node_id"], f, random_cut(rng, lo[f], hi[f]), node["rows"]
 
 
 def fit_isolation_forest(
@@ -137,44 +175,40 @@ def fit_isolation_forest(
     features: Sequence[str],
     trees: int = TREES,
     max_samples: int | None = TREE_ROWS,
-    train_rows: int = TRAIN_ROWS,
     keys: Sequence[str] = ROW_KEYS,
     seed: int = SEED,
     fit_split: str = DEV,
+    node_rows: int = NODE_ROWS,
 ) -> IsolationForest:
-    """Grow trees on a standardised uniform sample of the fit split.
+    """Grow trees on draws of ``max_samples`` rows (``None``: all) from all standardised rows of the fit split.
 
     The node table is collected: at most ``trees * (2 * rows per tree)`` small rows.
     """
     dev = df.where(F.col("split") == fit_split)
     scaler = fit_standardizer(dev, features, None)
-    clean = dev.select(*keys, *[finite_or(f, 0.0).alias(f) for f in features])
-    sample = scaler.transform(uniform_sample(clean, keys, train_rows, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = scaler.transform(dev.select(*keys, *[finite_or(f, 0.0).alias(f) for f in features])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = sample.count()
+        n = clean.count()
         if n == 0:
             raise ValueError("no rows in the fit split")
-        per_tree = rows_per_tree(max_samples, n)
-        nodes = isolation_trees(sample, features, trees, per_tree, keys, seed, n).toPandas()
+        nodes = isolation_trees(clean, features, trees, max_samples, keys, seed, n, node_rows).toPandas()
     finally:
-        sample.unpersist()
-    width = int(nodes["node_id"].max()) + 1
+        clean.unpersist()
+    return IsolationForest(list(features), scaler, [_tree_arrays(g) for _, g in nodes.groupby("tree_id")], rows_per_tree(max_samples, n), n)
 
-    def table(column: str, fill: float, kind: type) -> np.ndarray:
-        out = np.full((trees, width), fill, dtype=kind)
-        out[nodes["tree_id"], nodes["node_id"]] = nodes[column]
-        return out
 
-    return IsolationForest(
-        list(features), scaler, table("feature", -1, int), table("cut", 0.0, float),
-        table("left_id", 0, int), table("right_id", 0, int), table("path", 0.0, float), per_tree, n)
+def _tree_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    nodes = nodes.sort_values("node_id")
+    ids = nodes["node_id"].to_numpy()
+    children = (np.searchsorted(ids, nodes[c]) for c in ("left_id", "right_id"))
+    return nodes["feature"].to_numpy(), nodes["cut"].to_numpy(), *children, nodes["path"].to_numpy()
 
 
 def forest_path(model: IsolationForest, x: np.ndarray) -> np.ndarray:
     """Mean path length of each row over all trees."""
     total = np.zeros(len(x))
     at = np.arange(len(x))
-    for feature, cut, left, right, path in zip(model.feature, model.cut, model.left, model.right, model.path):
+    for feature, cut, left, right, path in model.trees:
         node = np.zeros(len(x), dtype=int)
         while True:
             f = feature[node]
@@ -184,7 +218,7 @@ def forest_path(model: IsolationForest, x: np.ndarray) -> np.ndarray:
             low = x[at, np.maximum(f, 0)] < cut[node]
             node = np.where(inner, np.where(low, left[node], right[node]), node)
         total += path[node]
-    return total / len(model.feature)
+    return total / len(model.trees)
 
 
 def isolation_raw_scores(df: DataFrame, model: IsolationForest) -> DataFrame:
@@ -344,6 +378,53 @@ class SequenceModel:
     directions: np.ndarray
 
 
+def lagged_moments(df: DataFrame, columns: Sequence[str], size: int, keys: Sequence[str] = TRAJECTORY, seq: str = SEQ, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum of products and sum of all trailing windows of ``size`` rows, as flat vectors with the oldest row first, and their number.
+
+    No window is stored. A block of a trajectory, with the rows it borrows from the one before, is a
+    matrix; entry (i, j) of a window's product is a product of the block's rows i and j places on, so
+    each pair of places is one product of two views of it. Blocks add up in their task.
+    """
+    p = len(columns)
+    wide = size * p
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        x = np.stack(pdf["_v"].to_numpy()) if len(pdf) else np.zeros((0, p))
+        n = len(x) - size + 1
+        total, sums = np.zeros((wide, wide)), np.zeros(wide)
+        for i in range(size if n > 0 else 0):
+            sums[i * p : (i + 1) * p] = x[i : i + n].sum(axis=0)
+            for j in range(i, size):
+                part = x[i : i + n].T @ x[j : j + n]
+                total[i * p : (i + 1) * p, j * p : (j + 1) * p] = part
+                total[j * p : (j + 1) * p, i * p : (i + 1) * p] = part.T
+        return pd.DataFrame([(max(n, 0), sums.tobytes(), total.tobytes())], columns=["n", "sums", "products"])
+
+    number = F.floor((F.col(seq) - 1) / F.lit(block_rows))
+    rows = df.select(*keys, F.col(seq).alias("_at"), number.alias("_block"), F.array(*[finite_or(c, 0.0) for c in columns]).alias("_v"))
+    # the last rows of a block are the first ones of the next
+    tail = F.col("_at") > (F.col("_block") + 1) * block_rows - (size - 1)
+    borrowed = rows.where(tail).withColumn("_block", F.col("_block") + 1)
+    parts = rows.unionByName(borrowed).groupBy(*keys, "_block").applyInPandas(block, "n long, sums binary, products binary")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, total = 0, np.zeros(wide), np.zeros((wide, wide))
+        for pdf in batches:
+            n += int(pdf["n"].sum())
+            for a, b in zip(pdf["sums"], pdf["products"], strict=True):
+                sums, total = sums + np.frombuffer(a), total + np.frombuffer(b).reshape(wide, wide)
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": np.concatenate([i.ravel(), np.arange(wide), [-1]]), "j": np.concatenate([j.ravel(), np.full(wide, -1), [-1]]),
+                            "v": np.concatenate([total.ravel(), sums, [float(n)]])})
+
+    cells = parts.mapInPandas(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    total, sums = np.zeros((wide, wide)), np.zeros(wide)
+    inner, edge = cells[cells["j"] >= 0], cells[(cells["j"] < 0) & (cells["i"] >= 0)]
+    total[inner["i"], inner["j"]], sums[edge["i"]] = inner["v"], edge["v"]
+    return total, sums, int(round(float(cells.loc[cells["i"] < 0, "v"].sum())))
+
+
 def fit_sequence_model(
     df: DataFrame,
     features: Sequence[str],
@@ -352,18 +433,20 @@ def fit_sequence_model(
     fit_split: str = DEV,
     **kw: object,
 ) -> SequenceModel:
-    """Linear autoencoder of standardised trailing windows: their leading directions."""
+    """Linear autoencoder of standardised trailing windows: their leading directions, from lagged products.
+
+    Without a full window there is no direction. A direction's largest entry is positive.
+    """
     dev = df.where(F.col("split") == fit_split)
     scaler = fit_standardizer(dev, features, None)
-    windows = sequences(scaler.transform(dev), features, size, **kw)
-    vectors = windows.select(array_to_vector("sequence").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        width = size * len(features)
-        mean = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-        model = PCA(k=min(k, width), inputCol="v", outputCol="_p").fit(vectors)
-        return SequenceModel(list(features), scaler, size, mean, model.pc.toArray())
-    finally:
-        vectors.unpersist()
+    total, sums, n = lagged_moments(scaler.transform(dev), features, size, **kw)
+    width = size * len(features)
+    mean = sums / max(n, 1)
+    cov = total / max(n, 1) - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    lead = vectors[:, np.argsort(-values, kind="stable")[: min(k, width)]] if n else np.zeros((width, 1))
+    lead = lead * np.where(lead[np.abs(lead).argmax(axis=0), np.arange(lead.shape[1])] < 0, -1.0, 1.0)
+    return SequenceModel(list(features), scaler, size, mean, lead)
 
 
 def sequence_errors(df: DataFrame, model: SequenceModel, **kw: object) -> DataFrame:

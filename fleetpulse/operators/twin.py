@@ -1,4 +1,4 @@
-"""Sensor prediction from operating conditions: members, blend and comparison."""
+"""Sensor prediction from operating conditions: the polynomial member, blend and comparison; ``trees`` has the others."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -17,47 +17,11 @@ from fleetpulse.functions.channels import twin_columns
 from fleetpulse.functions.exprs import finite_or, safe_corr
 from fleetpulse.settings import DEV, SEQ
 
-SEED = 42
 ALL_SENSORS = "ALL_RAW_XS"
 TARGET_TYPE = "raw_X_s_only"
 HOLDOUT = 10
 
 
-@dataclass(frozen=True)
-class ForestSettings:
-    trees: int = 120
-    depth: int = 18
-    min_rows: int = 2
-
-
-@dataclass(frozen=True)
-class BoostSettings:
-    rounds: int = 180
-    depth: int = 5
-    step: float = 0.05
-    subsample: float = 0.85
-    columns: float = 0.85
-    min_rows: int = 1
-
-
-# Leaf-wise growth is not available, so the second boosted member grows deeper trees
-# with a larger smallest leaf.
-DEEP_BOOST = BoostSettings(depth=8, min_rows=20)
-
-
-def forest(target: str, s: ForestSettings = ForestSettings()) -> Estimator:
-    return RandomForestRegressor(
-        numTrees=s.trees, maxDepth=s.depth, minInstancesPerNode=s.min_rows, featureSubsetStrategy="all",
-        seed=SEED, featuresCol="_features", labelCol=target, maxMemoryInMB=1024)
-
-
-def boosted(target: str, s: BoostSettings = BoostSettings()) -> Estimator:
-    return GBTRegressor(
-        maxIter=s.rounds, maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample,
-        featureSubsetStrategy=str(s.columns), minInstancesPerNode=s.min_rows, seed=SEED,
-        featuresCol="_features", labelCol=target, maxMemoryInMB=1024)
-
-
 def polynomial(target: str, degree: int = 2) -> Estimator:
     """Least squares on all products of inputs up to a degree."""
     return Pipeline(stages=[
@@ -89,15 +53,6 @@ class Twin:
             out = out.drop("_poly")
         return out.drop("_features")
 
-    def importances(self, name: str) -> DataFrame:
-        """Mean feature importance over sensors, largest first."""
-        total = [0.0] * len(self.features)
-        for model in self.models.values():
-            for i, v in enumerate(model.featureImportances.toArray()):
-                total[i] += float(v) / len(self.models)
-        rows = sorted(((name, f, v) for f, v in zip(self.features, total)), key=lambda r: (-r[2], r[1]))
-        return SparkSession.active().createDataFrame(rows, "model string, feature string, importance double")
-
 
 def fit_twin(
     df: DataFrame,

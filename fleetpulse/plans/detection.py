@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import channels
-from fleetpulse.operators import anomaly, contexts, detectors, prepare, residuals, twin
+from fleetpulse.operators import anomaly, contexts, detectors, mixtures, prepare, residuals, trees, twin
 from fleetpulse.operators.ordering import uniform_sample
 from fleetpulse.plans import inputs
 from fleetpulse.plans.registry import query
-from fleetpulse.plans.sql import W, W5, alert, each
+from fleetpulse.plans.sql import DIRECTIONS, W, W5, alert, each, sequence_errors
 from fleetpulse.settings import DEV
 from fleetpulse.sources import tables
 
@@ -19,10 +18,7 @@ S4 = inputs.SENSORS
 MEMBERS = inputs.MEMBERS
 W_NAMES = [f"W_{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
 CENTRES = [f"c{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
-# Full covariances of all 64 components have 12,870 parameters, more than the small tables have rows,
-# and the fit then fails on a singular component; the mixtures are fitted on these.
-MIXED = W_NAMES[:4]
-MEANS = [f"m{i}" for i in range(1, len(MIXED) + 1)]
+MEANS = [f"m{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
 PAIR = ["residual_Xs_T48", "residual_Xs_Ps30"]
 
 
@@ -49,16 +45,16 @@ def kmeans_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("E3", "", "component", " ".join(["weight", *MEANS]))
 def mixture_parts(spark: SparkSession, sf: str) -> DataFrame:
-    mix = contexts.Mixture.of(contexts.fit_mixture(_vectors(spark, sf), MIXED))
+    mix, _ = mixtures.fit_mixture(_vectors(spark, sf), W_NAMES)
     return spark.createDataFrame(
         [(i, w, *m) for i, (w, m) in enumerate(zip(mix.weights, mix.means))],
         "component int, weight double, " + ", ".join(f"{m} double" for m in MEANS))
 
 
-@query("E4", "split", "seq gmm_context_id", "context_probability context_confidence")
+@query("E4", "split", "seq gmm_context_id", "context_probability context_confidence gmm_log_likelihood")
 def mixture_assignment(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
-    return contexts.assign_mixture(df, contexts.fit_mixture(df, MIXED), MIXED)
+    return mixtures.assign_mixture(df, mixtures.fit_mixture(df, W_NAMES)[0], W_NAMES)
 
 
 @query("E5", "split", "unit_id cycle seq kmeans_context_id gmm_context_id", "context_probability context_confidence", tables=("li",),
@@ -109,11 +105,7 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- twin
 
 TWIN_FEATURES = ["W_alt", "W_Mach", "gmm_context_id"]
-TARGET = ["Xs_Ps30"]
-# Smaller forests than the defaults, so that a check run ends in seconds.
-SMALL_FOREST = twin.ForestSettings(trees=20, depth=8)
-SMALL_BOOST = twin.BoostSettings(rounds=15)
-SMALL_DEEP = twin.BoostSettings(rounds=10, depth=7, min_rows=20)
+ROW_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
 def _twin_rows(fitted: inputs.FittedLineitem, sequenced: bool = True) -> DataFrame:
@@ -143,30 +135,43 @@ def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({"a": F.col("_a")[0], "b": F.col("_a")[1]})
 
 
-def _predicted(spark: SparkSession, sf: str, prefix: str, make) -> DataFrame:
+def fit_member(fitted: inputs.FittedLineitem, name: str) -> trees.TreeModel:
+    """A tree member in its full size for all sensors."""
+    rows = _twin_rows(fitted, sequenced=False)
+    if name == "rf":
+        return trees.fit_forest(rows, TWIN_FEATURES, S4, keys=ROW_KEYS)
+    return trees.fit_boosted(rows, TWIN_FEATURES, S4, trees.BoostSettings() if name == "xgb" else trees.LEAF_WISE, keys=ROW_KEYS)
+
+
+def _predicted(spark: SparkSession, sf: str, name: str) -> DataFrame:
     fitted = inputs.fit_lineitem(spark, sf)
-    model = twin.fit_twin(_twin_rows(fitted, sequenced=False), prefix, make, TWIN_FEATURES, TARGET)
-    return model.predict(_twin_rows(fitted))
+    return fit_member(fitted, name).predict(_twin_rows(fitted), MEMBERS[name])
+
+
+def _outputs(prefix: str) -> str:
+    return " ".join(f"{s} {prefix}{s}" for s in S4)
 
 
-@query("F3", "split", "unit_id seq", "Xs_Ps30 rf_predicted_Xs_Ps30")
+@query("F3", "split", "unit_id seq", _outputs("rf_predicted_"))
 def forest_member(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(spark, sf, "rf_predicted_", lambda t: twin.forest(t, SMALL_FOREST))
+    return _predicted(spark, sf, "rf")
 
 
-@query("F4", "split", "unit_id seq", "Xs_Ps30 xgb_predicted_Xs_Ps30")
+@query("F4", "split", "unit_id seq", _outputs("xgb_predicted_"))
 def boosted_member(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(spark, sf, "xgb_predicted_", lambda t: twin.boosted(t, SMALL_BOOST))
+    return _predicted(spark, sf, "xgb")
 
 
-@query("F5", "split", "unit_id seq", "Xs_Ps30 lgbm_predicted_Xs_Ps30")
-def deep_boosted_member(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(spark, sf, "lgbm_predicted_", lambda t: twin.boosted(t, SMALL_DEEP))
+@query("F5", "split", "unit_id seq", _outputs("lgbm_predicted_"))
+def leaf_wise_member(spark: SparkSession, sf: str) -> DataFrame:
+    return _predicted(spark, sf, "lgbm")
 
 
-@query("F6", "split", "unit_id seq", "Xs_Ps30 lin_predicted_Xs_Ps30")
+@query("F6", "split", "unit_id seq", _outputs("lin_predicted_"))
 def polynomial_member(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(spark, sf, "lin_predicted_", twin.polynomial)
+    fitted = inputs.fit_lineitem(spark, sf)
+    model = twin.fit_twin(_twin_rows(fitted, sequenced=False), "lin_predicted_", twin.polynomial, TWIN_FEATURES, S4)
+    return model.predict(_twin_rows(fitted))
 
 
 @query("F7", "split is_validation", "unit_id n", tables=("ev",),
@@ -210,9 +215,10 @@ def comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("F11", "model feature", "", "importance")
 def importances(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _twin_rows(inputs.fit_lineitem(spark, sf), sequenced=False)
-    fitted = twin.fit_twin(rows, "rf_predicted_", lambda t: twin.forest(t, SMALL_FOREST), TWIN_FEATURES, TARGET)
-    return fitted.importances("random_forest")
+    fitted = inputs.fit_lineitem(spark, sf)
+    names = {"rf": "random_forest", "xgb": "xgboost", "lgbm": "lightgbm"}
+    parts = [fit_member(fitted, m).importances(label) for m, label in names.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 AUDIT_GAPS = " UNION ALL ".join(
@@ -331,24 +337,19 @@ def training_sample(spark: SparkSession, sf: str) -> DataFrame:
     return uniform_sample(inputs.events(spark, sf).where(F.col("split") == DEV), ["split", "unit_id", "seq"], 500)
 
 
-DETECTOR_FEATURES = ["residual_Xs_T48", "residual_Xs_Ps30", "resfeat_residual_Xs_T48_rolling_mean_5", "resfeat_residual_Xs_T48_rolling_std_5"]
-
-
-def _forest(rows: DataFrame) -> detectors.IsolationForest:
-    return detectors.fit_isolation_forest(rows, DETECTOR_FEATURES)
+DETECTOR_FEATURES = [f"residual_{s}" for s in S4] + FEATURES
 
 
-@query("H8", "", "tree_id node_id feature", "cut path")
+@query("H8", "", "tree_id node_id feature rows", "cut path")
 def isolation_trees(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _features(spark, sf).where(F.col("split") == DEV)
-    sample = prepare.standardize(uniform_sample(rows, detectors.ROW_KEYS, detectors.TRAIN_ROWS), DETECTOR_FEATURES)
-    return detectors.isolation_trees(sample, DETECTOR_FEATURES)
+    rows = prepare.standardize(_features(spark, sf).where(F.col("split") == DEV), DETECTOR_FEATURES)
+    return detectors.isolation_trees(rows, DETECTOR_FEATURES)
 
 
 @query("H9", "split", "unit_id seq iforest_anomaly_label", "iforest_raw_score iforest_anomaly_score")
 def isolation_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = _features(spark, sf)
-    return detectors.isolation_scores(rows, _forest(rows))
+    return detectors.isolation_scores(rows, detectors.fit_isolation_forest(rows, DETECTOR_FEATURES))
 
 
 CENTRED = f"""z AS (SELECT split, unit_id, seq, (residual_Xs_T48 - ma)/sa AS a, (residual_Xs_Ps30 - mb)/sb AS b FROM res,
@@ -403,17 +404,13 @@ def sequence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("H15", "split", "unit_id seq sequence_ready lstm_autoencoder_label", "lstm_reconstruction_error lstm_autoencoder_score lstm_threshold", tables=("ev",),
-       sql=f"""WITH z AS (SELECT split, unit_id, seq, (Xs_T48 - m)/s AS z FROM ev, (SELECT avg(Xs_T48) AS m, stddev_pop(Xs_T48) AS s FROM ev WHERE split = 'dev')),
-       e AS (SELECT split, unit_id, seq, CASE WHEN seq >= 20 THEN 1 ELSE 0 END AS ready, CASE WHEN seq >= 20 THEN avg(z*z) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) ELSE 0.0 END AS err FROM z),
-       t AS (SELECT quantile_cont(err, 0.99) AS q FROM e WHERE split = 'dev' AND ready = 1)
+       sql=f"""WITH {sequence_errors('Xs_T48', 'ev')},
+       t AS (SELECT quantile_cont(err, 0.99) AS q FROM se WHERE split = 'dev' AND ready = 1)
        SELECT split, unit_id, seq, ready AS sequence_ready, CASE WHEN ready = 1 AND err >= q THEN 1 ELSE 0 END AS lstm_autoencoder_label,
-       err AS lstm_reconstruction_error, least(err/greatest(q, 1e-12), 1.0) AS lstm_autoencoder_score, q AS lstm_threshold FROM e, t""")
+       err AS lstm_reconstruction_error, least(err/greatest(q, 1e-12), 1.0) AS lstm_autoencoder_score, q AS lstm_threshold FROM se, t""")
 def reconstruction_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = inputs.events(spark, sf)
-    scaler = prepare.fit_standardizer(rows, ["Xs_T48"])
-    # no directions: the error is the mean square of the standardised window
-    model = detectors.SequenceModel(["Xs_T48"], scaler, 20, np.zeros(20), np.zeros((20, 1)))
-    return detectors.sequence_scores(rows, model)
+    return detectors.sequence_scores(rows, detectors.fit_sequence_model(rows, ["Xs_T48"], k=DIRECTIONS))
 
 
 FUSED = "residual_contribution iforest_contribution mahalanobis_contribution lstm_autoencoder_contribution"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from fleetpulse.functions.exprs import safe_corr
-from fleetpulse.operators import anomaly, explain, feedback, health, ordering, reasoning, twin, uncertainty
-from fleetpulse.plans import inputs
+from fleetpulse.operators import anomaly, explain, feedback, health, ordering, reasoning, tree_attribution, twin, uncertainty
+from fleetpulse.plans import detection, inputs
 from fleetpulse.plans.registry import query
 from fleetpulse.plans.sql import fixed, quote
 from fleetpulse.sources import tables
@@ -301,17 +302,25 @@ def row_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """All four members and all sensors; tree members exactly, the polynomial by feature orders, averaged over sensors."""
     fitted = inputs.fit_lineitem(spark, sf)
-    features, target = ["W_alt", "W_Mach", "gmm_context_id"], "Xs_Ps30"
-    rows = tables.with_operating_conditions(fitted.scaled(), spark, sf)
+    features = detection.TWIN_FEATURES
     train = tables.with_operating_conditions(fitted.scaled(sequenced=False), spark, sf)
-    sample = explain.explanation_sample(rows)
-    out = None
-    for name, make in (("random_forest", lambda t: twin.forest(t, twin.ForestSettings(trees=20, depth=8))), ("polynomial", twin.polynomial)):
-        model = twin.fit_twin(train, "p_", make, features, [target])
-        part = explain.permutation_attribution(
-            lambda d, m=model: m.predict(d).withColumnRenamed(f"p_{target}", "prediction"), sample, features, name)
-        out = part if out is None else out.unionByName(part)
+    sample = explain.explanation_sample(tables.with_operating_conditions(fitted.scaled(), spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    model = twin.fit_twin(train, "p_", twin.polynomial, features, inputs.SENSORS)
+    parts = [
+        explain.permutation_attribution(
+            lambda d, t=t: twin.Twin("p_", features, {t: model.models[t]}).predict(d).withColumnRenamed(f"p_{t}", "prediction"), sample, features, "polynomial",
+            targets=len(inputs.SENSORS))
+        for t in inputs.SENSORS
+    ]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    out = every.groupBy("model", "feature", "available_target_count", "sample_size", "explanation_type").agg(
+        F.avg("mean_abs_shap").alias("mean_abs_shap"), F.sum("targets_explained").cast("int").alias("targets_explained"))
+    for member, name in {"rf": "random_forest", "xgb": "xgboost", "lgbm": "lightgbm"}.items():
+        out = out.unionByName(tree_attribution.tree_attribution(detection.fit_member(fitted, member), sample, name))
     return out
 
 

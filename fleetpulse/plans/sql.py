@@ -221,3 +221,46 @@ def with_tables(body: str, *names: str) -> str:
     if not order:
         return body
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+
+
+#: Principal directions of the registered sequence models.
+DIRECTIONS = 2
+
+
+def sequence_errors(value: str, table: str, size: int = 20, squarings: int = 30) -> str:
+    """Tables up to ``se``: the reconstruction error of trailing windows of one standardised column.
+
+    A leading direction is what repeated squaring of the covariance, scaled to a trace of 1, leaves;
+    it is taken out of the covariance before the next one.
+    """
+    square = (
+        "list_transform(m, lambda a: list_transform(range(1, {n} + 1), lambda j: list_sum(list_transform(range(1, {n} + 1), lambda k: a[k] * m[k][j]))))"
+    ).format(n=size)
+    trace = f"list_sum(list_transform(range(1, {size} + 1), lambda i: m[i][i]))"
+    steps = [f"""sz AS (SELECT split, unit_id, seq, ({value} - m)/s AS z FROM {table}, (SELECT avg({value}) AS m, stddev_pop({value}) AS s FROM {table} WHERE split = 'dev')),
+ sw AS (SELECT split, unit_id, seq, CASE WHEN seq >= {size} THEN list(z) OVER ({W} ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW) END AS x FROM sz),
+ sl AS (SELECT unit_id, seq, j, x[j] AS v FROM (SELECT unit_id, seq, x, unnest(range(1, {size} + 1)) AS j FROM sw WHERE split = 'dev' AND x IS NOT NULL)),
+ sm AS (SELECT list(u ORDER BY j) AS mu FROM (SELECT j, avg(v) AS u FROM sl GROUP BY j)),
+ sd AS (SELECT list_transform(range(1, {size} + 1), lambda j: x[j] - mu[j]) AS d FROM sw, sm WHERE split = 'dev' AND x IS NOT NULL),
+ sc AS (SELECT i, list(c ORDER BY j) AS r FROM (SELECT i, j, avg(d[i] * d[j]) AS c FROM sd, range(1, {size} + 1) a(i), range(1, {size} + 1) b(j) GROUP BY i, j) GROUP BY i),
+ sp0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM sc)"""]
+    for q in range(DIRECTIONS):
+        before = f"sp{q}"
+        for k in range(squarings):
+            steps.append(f"sq{q}_{k} AS MATERIALIZED (SELECT list_transform(m, lambda a: list_transform(a, lambda v: v / {trace})) AS m FROM (SELECT {square} AS m FROM {before}))")
+            before = f"sq{q}_{k}"
+        steps.append(
+            f"sb{q} AS MATERIALIZED (SELECT list_transform(range(1, {size} + 1), lambda i: m[i][t] / sqrt(m[t][t])) AS u FROM (SELECT m, list_position(g, list_max(g)) AS t FROM "
+            f"(SELECT m, list_transform(range(1, {size} + 1), lambda i: m[i][i]) AS g FROM {before})))")
+        steps.append(f"sv{q} AS MATERIALIZED (SELECT list_transform(u, lambda v: v / sqrt(list_sum(list_transform(u, lambda w: w * w)))) AS u FROM sb{q})")
+        # C - uu'C
+        steps.append(
+            f"sp{q + 1} AS MATERIALIZED (SELECT list_transform(range(1, {size} + 1), lambda i: list_transform(range(1, {size} + 1), lambda j: m[i][j] - u[i] * "
+            f"list_sum(list_transform(range(1, {size} + 1), lambda k: u[k] * m[k][j])))) AS m FROM sp{q}, sv{q})")
+    dots = " - ".join(f"power(list_sum(list_transform(range(1, {size} + 1), lambda j: d[j] * sv{q}.u[j])), 2)" for q in range(DIRECTIONS))
+    steps.append(
+        f"sx AS (SELECT split, unit_id, seq, CASE WHEN x IS NOT NULL THEN list_transform(range(1, {size} + 1), lambda j: x[j] - mu[j]) END AS d FROM sw, sm)")
+    steps.append(
+        f"se AS (SELECT split, unit_id, seq, CASE WHEN d IS NULL THEN 0 ELSE 1 END AS ready, "
+        f"CASE WHEN d IS NULL THEN 0.0 ELSE (list_sum(list_transform(d, lambda v: v * v)) - {dots}) / {size} END AS err FROM sx, {', '.join(f'sv{q}' for q in range(DIRECTIONS))})")
+    return ",\n ".join(steps)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.linear import squared_norm
 from fleetpulse.functions.quantiles import exact_quantiles, quantile_values
-from fleetpulse.operators import contexts, detectors, evaluation, explain, residuals, twin
+from fleetpulse.operators import contexts, detectors, evaluation, explain, mixtures, residuals, trees, twin
 
 
 @pytest.mark.parametrize("n", [1, 2, 19, 501, 4_000])
@@ -78,7 +78,7 @@ def test_trees_use_the_rows_that_are_asked_for(planted):
     df, _ = planted
     names = [f"residual_Xs_{i}" for i in range(5)]
     model = detectors.fit_isolation_forest(df, names, trees=3, max_samples=None)
-    assert model.tree_rows == model.sample_rows > detectors.TREE_ROWS
+    assert model.tree_rows == model.fit_rows > detectors.TREE_ROWS
 
 
 def test_shrunk_covariance_and_distance(planted):
@@ -132,12 +132,12 @@ def test_contexts_recover_planted_clusters(spark):
     pdf = pd.DataFrame({"split": np.where(np.arange(600) % 4 == 0, "test", "dev"), "seq": range(600), "W_a": x[:, 0], "W_b": x[:, 1], "own": own})
     df = spark.createDataFrame(pdf)
     names = ["W_a", "W_b"]
-    km, gm = contexts.fit_kmeans(df, names, k=3, starts=2), contexts.fit_mixture(df, names, k=3, max_iter=50)
-    out = contexts.context_table(df, km, gm, names)
+    km, gm = contexts.fit_kmeans(df, names, k=3, starts=2), mixtures.fit_mixture(df, names, k=3, max_iter=50)
+    mix, _ = gm
+    out = mixtures.context_table(df, km, mix, names)
     got = out.toPandas()
     assert got.groupby("own")["kmeans_context_id"].nunique().max() == 1 and got["kmeans_context_id"].nunique() == 3
     assert got["context_confidence"].between(0, 1).all()
-    mix = contexts.Mixture.of(gm)
     ll = contexts.log_likelihood(df, names, mix).orderBy("seq").toPandas()["gmm_log_likelihood"]
     dens = sum(
         w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c)))
@@ -179,14 +179,10 @@ def line_rows(spark):
 
 def test_members_learn_and_compare(line_rows):
     features, targets = ["W_a", "W_b", "W_c"], ["Xs_T48"]
-    makers = {
-        "rf": lambda t: twin.forest(t, twin.ForestSettings(trees=10, depth=6)),
-        "xgb": lambda t: twin.boosted(t, twin.BoostSettings(rounds=20, step=0.3)),
-        "lin": twin.polynomial,
-    }
-    df, prefixes = line_rows, {m: f"{m}_predicted_" for m in makers}
-    for m, make in makers.items():
-        df = twin.fit_twin(line_rows, prefixes[m], make, features, targets).predict(df)
+    prefixes = {m: f"{m}_predicted_" for m in ("rf", "xgb", "lin")}
+    df = twin.fit_twin(line_rows, prefixes["lin"], twin.polynomial, features, targets).predict(line_rows)
+    df = trees.fit_forest(line_rows, features, targets, trees.ForestSettings(trees=10, depth=8)).predict(df, prefixes["rf"])
+    df = trees.fit_boosted(line_rows, features, targets, trees.BoostSettings(rounds=20, step=0.3)).predict(df, prefixes["xgb"])
     table = {r["model"]: r for r in twin.compare_models(df, targets, prefixes).where("split = 'test' and sensor = 'Xs_T48'").collect()}
     assert table["lin"]["r2"] > 0.999 and table["rf"]["r2"] > 0.8 and table["xgb"]["r2"] > 0.8
     weights = {r["model"]: r["weight"] for r in twin.blend_weights(df, targets, prefixes).collect()}
