@@ -65,16 +65,40 @@ def test_a_repeated_batch_changes_nothing(spark, parts):
     before = spark.createDataFrame(got.toPandas(), got.schema)
     last = spark.read.parquet(parts).where("t > 500")
     job.step(last, 3)
+    job.step(last, 3)
     same(job.result(spark), before)
 
 
-def test_late_rows_are_kept_aside(spark, parts):
+@pytest.mark.parametrize("operator, tail, keep", [
+    (anomaly.early_warning, 5, None),
+    (lambda d: health.raw_trends(health.health_index(d)), 9, None),
+    (lambda d: reasoning.recurrence(d, lookback=6), 1, tails.recent_cycles(6)),
+])
+def test_rows_in_any_order_of_arrival(spark, trajectories, tmp_path, operator, tail, keep):
+    """Five batches: a trajectory is silent in some, and rows come up to three batches late."""
+    late = F.when(F.col("seq") % 11 == 0, F.col("seq") % 4).otherwise(0)
+    silent = F.when((F.col("unit_id") == 2) & (F.col("seq") > 5), 2).otherwise(0)
+    rows = base(trajectories).withColumn("part", F.least(F.floor(F.col("seq") / 250) + late + silent, F.lit(4)))
+    schema = rows.drop("seq", "part").schema
+    for k in range(5):
+        rows.where(F.col("part") == k).drop("seq", "part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = tails.read_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    job = tails.TailStream(operator, ORDER, F.floor(F.col("t") / 50), tail, shared_folder(spark), keep=keep, snapshot=2)
+    same(job.run(stream), operator(base(trajectories)))
+    assert spark.read.option("basePath", job.output).parquet(job.output).select("batch").distinct().count() == 5
+    # the tails of a batch are those of its own trajectories, but for every second one
+    state = spark.read.option("basePath", f"{job.folder}/state").parquet(f"{job.folder}/state")
+    units = {r.batch: r.n for r in state.groupBy("batch").agg(F.count_distinct("split", "unit_id").alias("n")).collect()}
+    assert units[2] == 3 and units[4] == 3
+
+
+def test_a_late_row_runs_only_what_follows_it(spark, parts, trajectories):
     job, got = run(spark, parts, health.health_index, 4)
-    before = got.count()
-    old = spark.read.parquet(parts).where("t = 2")
-    job.step(old, 4)
-    assert job.result(spark).count() == before
-    assert spark.read.parquet(f"{job.folder}/late").where("batch = 4").count() == old.count()
+    n = got.count()
+    job.step(spark.read.parquet(parts).where("unit_id = 1 and t = 880").withColumn("t", F.col("t").cast("long")).withColumn("id", F.lit(1).cast("long")), 4)
+    again = spark.read.parquet(f"{job.output}/batch=4")
+    assert again.where("unit_id <> 1").count() == 0 and again.count() == 900 - 880 + 2 and job.result(spark).count() == n + 1
+    assert job.result(spark).where("unit_id = 1").agg(F.max("seq"), F.count_distinct("seq")).first() == (901, 901)
 
 
 def test_row_wise_scoring(spark, parts, trajectories):
