@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ MEMORY_COLUMNS = (
     "root_cause_pattern", "top_sensor_1", "top_sensor_2", "top_sensor_3", "feedback_status",
 )
 NO_FEEDBACK = "no_feedback"
-STORED = "stored"
+STORED, USED = "stored", "used_for_threshold_adaptation"
+# Smallest threshold, and how far a level is lifted above one that passed it.
 FLOOR = 1e-9
 REPAIR = 1.05
 LEVELS = ("watch", "warning", "critical")
@@ -49,17 +52,49 @@ def last_feedback_id(log: DataFrame) -> int:
     return int(log.agg(F.max(F.col("feedback_id").cast("long"))).first()[0] or 0)
 
 
-def store_feedback(spark: SparkSession, path: str, records: DataFrame, order: Sequence[str], bucket: Column | Sequence[Column]) -> DataFrame:
-    """Append checked records to the log at ``path`` and return the whole log."""
-    check_labels(records)
+def stored_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log at ``path`` with its folder as ``batch``, or None if nothing is there yet."""
     try:
-        last = last_feedback_id(spark.read.parquet(path))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.option("basePath", path).parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        last = 0
-    number_feedback(records, last, order, bucket).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        return None
+
+
+def store_feedback(
+    spark: SparkSession, path: str, records: DataFrame, order: Sequence[str], bucket: Column | Sequence[Column], batch: str | None = None,
+) -> DataFrame:
+    """Add checked records to the log at ``path`` as one folder and return the whole log.
+
+    The folder is named by ``batch``; storing a batch again replaces it and keeps its ids. Ids go on
+    after the largest of the other batches. Where two writers took the same ids at once, the one of
+    the larger name sees it after writing and numbers its rows again.
+    """
+    check_labels(records)
+    batch = batch or uuid.uuid4().hex
+    place = f"{path}/batch={batch}"
+    log = stored_log(spark, path)
+    own = log.where(F.col("batch") == batch).agg(F.min("feedback_id")).first()[0] if log is not None else None
+    last = own - 1 if own is not None else 0 if log is None else last_feedback_id(log)
+    number_feedback(records, last, order, bucket).write.mode("overwrite").parquet(place)
+    while True:
+        log = stored_log(spark, path)
+        ranges = {r["batch"]: (r["a"], r["b"]) for r in log.groupBy("batch").agg(F.min("feedback_id").alias("a"), F.max("feedback_id").alias("b")).collect()}
+        if batch not in ranges:
+            break  # no records
+        a, b = ranges.pop(batch)
+        if not any(name < batch and x <= b and y >= a for name, (x, y) in ranges.items()):
+            break
+        last = max(y for _, y in ranges.values())
+        number_feedback(records, last, order, bucket).write.mode("overwrite").parquet(place)
+    return log.drop("batch")
+
+
+def mark_used(log: DataFrame, last_id: Column | int | None = None) -> DataFrame:
+    """The log after an adaptation: the rows up to ``last_id`` (all by default) are marked as used."""
+    used = F.lit(True) if last_id is None else F.col("feedback_id") <= last_id
+    return log.withColumn("feedback_status", F.when(used, F.lit(USED)).otherwise(F.col("feedback_status")))
 
 
 def latest_feedback(log: DataFrame, order: Sequence[str] = ("feedback_id",), value: str = "feedback_label") -> DataFrame:
@@ -122,27 +157,26 @@ def step_factors(step: float = FEEDBACK_STEP) -> dict[str, float]:
     }
 
 
-def adapt_thresholds(
-    thresholds: DataFrame,
-    log: DataFrame,
-    order: str = "feedback_id",
-    step: float = FEEDBACK_STEP,
-    block_rows: int = 65_536,
-) -> DataFrame:
-    """Thresholds after replaying all feedback, always from the base thresholds.
-
-    Each label multiplies all three levels by one factor and holds them above a floor, so
-    a replay is a running product with a lower bound:
-    ``x * P`` or ``floor * P / min(prefix product)``, whichever is larger. Products are
-    summed as logarithms per context and block of the log, then over blocks. Levels out of
-    order are repaired after the first feedback; a common factor keeps the order later.
-    """
+def known_thresholds(thresholds: DataFrame) -> DataFrame:
     known = small_table(thresholds)[0]
     if known.where(F.col("context_id") == GLOBAL).isEmpty():
         raise ValueError("global thresholds are missing")
-    factors = step_factors(step)
+    return known
+
+
+def replay_state(
+    known: DataFrame, log: DataFrame, order: str = "feedback_id", step: float = FEEDBACK_STEP, block_rows: int = 65_536,
+) -> DataFrame:
+    """What a stretch of the log does to the thresholds of each context: ``context_id, total, low, first, used, last``.
+
+    Each label multiplies all three levels by one factor and holds them above a floor, so a replay is
+    a running product with a lower bound. ``total`` is the logarithm of the product, ``low`` that of
+    the smallest prefix, ``first`` the first factor, ``used`` the number of rows, ``last`` the largest
+    place in the log. States of stretches that follow each other combine (``combined``). A stretch is
+    cut into blocks of ``order``, whose states are combined as well.
+    """
     factor: Column | None = None
-    for label, f in factors.items():
+    for label, f in step_factors(step).items():
         cond = F.col("feedback_label") == label
         factor = F.when(cond, F.lit(f)) if factor is None else factor.when(cond, F.lit(f))
     asked = F.coalesce(F.col("context_id").cast("int"), F.lit(-1)).cast("string")
@@ -158,26 +192,38 @@ def adapt_thresholds(
     blocks = (
         used.withColumn("_log", F.sum(F.ln("_factor")).over(run))
         .groupBy("context_id", "_block")
-        .agg(F.max_by("_log", "_order").alias("_sum"), F.min("_log").alias("_low"),
-             F.min_by("_factor", "_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.max_by("_log", "_order").alias("total"), F.min("_log").alias("low"),
+             F.min_by("_factor", "_order").alias("first"), F.count(F.lit(1)).alias("used"), F.max("_order").alias("last"))
     )
-    before = Window.partitionBy("context_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    moves = (
-        blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    return combined(blocks, "_block")
+
+
+def combined(states: DataFrame, order: str) -> DataFrame:
+    """One state per context from the states of its stretches, in the order of ``order``."""
+    before = Window.partitionBy("context_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        states.withColumn("_before", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
         .groupBy("context_id")
-        .agg(F.sum("_sum").alias("_total"), F.min(F.col("_before") + F.col("_low")).alias("_lowest"),
-             F.min_by("_first", "_block").alias("_first"), F.sum("_n").alias("_used"))
+        .agg(F.sum("total").alias("total"), F.min(F.col("_before") + F.col("low")).alias("low"),
+             F.min_by("first", order).alias("first"), F.sum("used").alias("used"), F.max("last").alias("last"))
     )
-    out = known.join(moves, "context_id", "left").withColumns({
+
+
+def apply_state(known: DataFrame, state: DataFrame) -> DataFrame:
+    """The base thresholds after a replay: ``x * P`` or ``floor * P / min(prefix product)``, whichever is larger.
+
+    Levels out of order are repaired after the first feedback; a common factor keeps the order later.
+    """
+    out = known.join(state.select("context_id", *[F.col(c).alias(f"_{c}") for c in ("total", "low", "first", "used")]), "context_id", "left").withColumns({
         "_first": F.coalesce("_first", F.lit(1.0)), "_total": F.coalesce("_total", F.lit(0.0)),
-        "_lowest": F.coalesce("_lowest", F.lit(0.0)), "_used": F.coalesce("_used", F.lit(0)),
+        "_low": F.coalesce("_low", F.lit(0.0)), "_used": F.coalesce("_used", F.lit(0)),
     })
     touched = F.col("_used") > 0
     out = out.withColumns({f"_{x}": F.greatest(F.col(x) * F.col("_first"), F.lit(FLOOR)) for x in LEVELS})
     out = out.withColumn("_warning", F.when(F.col("_watch") > F.col("_warning"), F.col("_watch") * REPAIR).otherwise(F.col("_warning")))
     out = out.withColumn("_critical", F.when(F.col("_warning") > F.col("_critical"), F.col("_warning") * REPAIR).otherwise(F.col("_critical")))
     rest = F.exp(F.col("_total") - F.ln("_first"))
-    held = F.lit(FLOOR) * F.exp(F.col("_total") - F.col("_lowest"))
+    held = F.lit(FLOOR) * F.exp(F.col("_total") - F.col("_low"))
     return out.select(
         "context_id",
         *[F.when(touched, F.greatest(F.col(f"_{x}") * rest, held)).otherwise(F.col(x)).alias(x) for x in LEVELS],
@@ -185,6 +231,14 @@ def adapt_thresholds(
     )
 
 
+def adapt_thresholds(
+    thresholds: DataFrame, log: DataFrame, order: str = "feedback_id", step: float = FEEDBACK_STEP, block_rows: int = 65_536,
+) -> DataFrame:
+    """Thresholds after replaying all feedback, always from the base thresholds."""
+    known = known_thresholds(thresholds)
+    return apply_state(known, replay_state(known, log, order, step, block_rows))
+
+
 def submit_feedback(
     spark: SparkSession,
     log_path: str,
@@ -193,7 +247,7 @@ def submit_feedback(
     thresholds: DataFrame,
     order: Sequence[str],
     bucket: Column | Sequence[Column],
-) -> tuple[DataFrame, DataFrame]:
-    """Store feedback, then refresh the alert memory and adapt the thresholds."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Store feedback, refresh the alert memory, adapt the thresholds; returns both and the log with its used rows marked."""
     log = store_feedback(spark, log_path, records, order, bucket)
-    return refresh_memory(memory, latest_feedback(log)), adapt_thresholds(thresholds, log)
+    return refresh_memory(memory, latest_feedback(log)), adapt_thresholds(thresholds, log), mark_used(log)

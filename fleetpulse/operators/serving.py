@@ -198,9 +198,11 @@ def fleet_summary(df: DataFrame) -> DataFrame:
 
 
 def fleet_anomalies(memory: DataFrame, order: Sequence[str], limit: int = 500) -> DataFrame:
-    """First alerts of the fleet in a stated order."""
+    """First alerts of the fleet in a stated order, with their number in all and whether some are left out."""
     bound = max(1, int(limit))
-    return memory.orderBy(*order).limit(bound)
+    total = memory.agg(F.count(F.lit(1)).alias("total_matching_records"))
+    first = memory.orderBy(*order).limit(bound).crossJoin(F.broadcast(total))
+    return first.withColumn("truncated", F.col("total_matching_records") > bound).orderBy(*order)
 
 
 def feedback_history(log: DataFrame, limit: int = 500) -> DataFrame:

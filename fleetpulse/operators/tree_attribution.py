@@ -102,7 +102,7 @@ def tree_contributions(model: TreeModel, sample: DataFrame, keys: Sequence[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, mean = np.zeros((len(x), width, outputs)), np.zeros(outputs)
-        for pdf in batches:
+        for pdf in _whole_trees(batches):
             for _, g in pdf.groupby(["tree", "output"]):
                 values, base = tree_values(shared.value, _compiled(g.sort_values("node")), outputs)
                 total, mean = total + values, mean + base
@@ -111,7 +111,7 @@ def tree_contributions(model: TreeModel, sample: DataFrame, keys: Sequence[str]
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = model.nodes.repartition(parts, "tree", "output").sortWithinPartitions("tree", "output", "node")
-    added = _whole_trees(dealt).mapInPandas(run, "r int, f int, t int, v double, m double").groupBy("r", "f", "t").agg(
+    added = dealt.mapInPandas(run, "r int, f int, t int, v double, m double").groupBy("r", "f", "t").agg(
         (F.sum("v") * F.lit(model.scale)).alias("contribution"), (F.sum("m") * F.lit(model.scale)).alias("m"))
     names, targets, base = (F.array(*map(F.lit, v)) for v in (model.features, model.targets, [float(b) for b in model.base]))
     numbered = spark.createDataFrame(rows[list(keys)].assign(r=np.arange(len(rows))), StructType([*sample.select(*keys).schema, StructField("r", IntegerType())]))
@@ -119,22 +119,18 @@ def tree_contributions(model: TreeModel, sample: DataFrame, keys: Sequence[str]
         *keys, targets[F.col("t")].alias("target"), names[F.col("f")].alias("feature"), "contribution", (F.col("m") + base[F.col("t")]).alias("expected"))
 
 
-def _whole_trees(nodes: DataFrame) -> DataFrame:
-    """One row batch per partition's trees: a tree's nodes are never in two batches."""
-    kinds = nodes.schema
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+def _whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted nodes cut between trees only."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf):
             last = (pdf["tree"] == pdf["tree"].iloc[-1]) & (pdf["output"] == pdf["output"].iloc[-1])
             if not last.all():
                 yield pdf[~last]
             rest = pdf[last]
-        if rest is not None and len(rest):
-            yield rest
-
-    return nodes.mapInPandas(gather, kinds)
+    if rest is not None and len(rest):
+        yield rest
 
 
 def tree_attribution(model: TreeModel, sample: DataFrame, name: str, keys: Sequence[str] = (*TRAJECTORY, SEQ)) -> DataFrame:

@@ -112,16 +112,23 @@ def _memory(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.alert_memory(memory_rows(spark, sf), feedback.latest_feedback(inputs.feedback_log(spark, sf)))
 
 
-@query("O11", "split alert_level root_cause_pattern feedback_status", "unit_id cycle context_id", "final_anomaly_score", tables=("evp", "flast"),
-       sql=f"SELECT * FROM ({MEMORY}) ORDER BY {', '.join(MEMORY_ORDER)} LIMIT 500")
+@query("O11", "split alert_level root_cause_pattern feedback_status truncated", "unit_id cycle context_id total_matching_records", "final_anomaly_score", tables=("evp", "flast"),
+       sql=f"SELECT *, count(*) OVER () AS total_matching_records, count(*) OVER () > 500 AS truncated FROM ({MEMORY}) ORDER BY {', '.join(MEMORY_ORDER)} LIMIT 500")
 def fleet_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return serving.fleet_anomalies(_memory(spark, sf), MEMORY_ORDER)
 
 
-@query("O12", "feedback_label feedback_truncated", "feedback_id unit_id cycle context_id feedback_total_records", "", tables=("flog",),
-       sql="SELECT *, (SELECT count(*) FROM flog) AS feedback_total_records, (SELECT count(*) FROM flog) > 500 AS feedback_truncated FROM flog ORDER BY feedback_id DESC LIMIT 500")
+@query("O12", "kind alert_level feedback_label feedback_status feedback_truncated", "feedback_id unit_id cycle context_id feedback_total_records", "", tables=("flog", "evp", "flast"),
+       sql=f"""SELECT * FROM (SELECT 'feedback' AS kind, alert_level, feedback_label, CASE WHEN cycle < 15 THEN 'used_for_threshold_adaptation' ELSE 'stored' END AS feedback_status,
+       (SELECT count(*) FROM flog) > 500 AS feedback_truncated, feedback_id, unit_id, cycle, context_id, (SELECT count(*) FROM flog) AS feedback_total_records FROM flog ORDER BY feedback_id DESC LIMIT 500)
+       UNION ALL SELECT * FROM (SELECT 'recent_alert', alert_level, NULL, feedback_status, NULL, NULL, unit_id, cycle, context_id, NULL FROM ({MEMORY}) ORDER BY {', '.join(MEMORY_ORDER)} LIMIT 100)""")
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.feedback_history(inputs.feedback_log(spark, sf))
+    # thresholds were adapted after day 15
+    log = inputs.feedback_log(spark, sf)
+    last = log.where("cycle < 15").agg(F.max("feedback_id")).first()[0]
+    told = serving.feedback_history(feedback.mark_used(log, last or 0)).withColumn("kind", F.lit("feedback"))
+    alerts = serving.recent_alerts(_memory(spark, sf), MEMORY_ORDER).withColumn("kind", F.lit("recent_alert"))
+    return told.unionByName(alerts, allowMissingColumns=True)
 
 
 SEARCHED = """SELECT * FROM sv WHERE alert_level = 'Warning' AND (contains(CAST(unit_id AS VARCHAR), 'xs_p') OR contains(CAST(cycle AS VARCHAR), 'xs_p') OR contains(lower(alert_level), 'xs_p')

@@ -452,12 +452,13 @@ def adapted(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.adapt_thresholds(base, inputs.feedback_log(spark, sf))
 
 
-@query("N6", "context_id", "feedback_records_used memory_rows with_feedback", "watch warning critical", tables=("ethr", "flog", "evp", "flast"),
-       sql=f"""SELECT a.*, mm.* FROM ({adapted_sql()}) a, (SELECT count(*) AS memory_rows, count(*) FILTER (feedback_status <> 'no_feedback') AS with_feedback FROM ({MEMORY_SQL.format(cond='true')})) mm""")
+@query("N6", "context_id", "feedback_records_used memory_rows with_feedback log_rows used_rows", "watch warning critical", tables=("ethr", "flog", "evp", "flast"),
+       sql=f"""SELECT a.*, mm.*, l.n AS log_rows, l.n AS used_rows FROM ({adapted_sql()}) a, (SELECT count(*) AS n FROM flog) l, (SELECT count(*) AS memory_rows, count(*) FILTER (feedback_status <> 'no_feedback') AS with_feedback FROM ({MEMORY_SQL.format(cond='true')})) mm""")
 def submitted(spark: SparkSession, sf: str) -> DataFrame:
     base = inputs.event_thresholds(spark, sf).where("context_id <> '3'")
-    mem, thresholds = feedback.submit_feedback(
+    mem, thresholds, log = feedback.submit_feedback(
         spark, shared_folder(spark), inputs.feedback_records(spark, sf), feedback.alert_memory(memory_rows(spark, sf)), base,
         ["ts", "event_id"], ordering.order_buckets("ts", "event_id"))
     totals = mem.agg(F.count(F.lit(1)).alias("memory_rows"), F.count_if(F.col("feedback_status") != "no_feedback").alias("with_feedback"))
-    return thresholds.crossJoin(F.broadcast(totals))
+    marks = log.agg(F.count(F.lit(1)).alias("log_rows"), F.count_if(F.col("feedback_status") == feedback.USED).alias("used_rows"))
+    return thresholds.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(marks))

@@ -68,3 +68,41 @@ def test_store_appends_and_numbers(spark, tmp_path):
     assert [(r["feedback_id"], r["cycle"], r["feedback_status"]) for r in log.orderBy("feedback_id").collect()] == [(1, 3, "stored"), (2, 1, "stored")]
     with pytest.raises(ValueError):
         feedback.store_feedback(spark, path, record(2, "nonsense"), ["t"], F.col("t"))
+
+
+def test_states_of_stretches_combine(spark):
+    """A replay in one go, and in stretches whose states are combined one after the other."""
+    rnd = random.Random(9)
+    base = {"global": (1e-8, 0.5, 0.9), "0": (1.0, 2.0, 3.0), "1": (0.9, 0.2, 0.4)}
+    t = spark.createDataFrame([(k, *map(float, v)) for k, v in base.items()], "context_id string, watch double, warning double, critical double")
+    log = [(i + 1, rnd.choice([0, 1, 5, None]), rnd.choice(LABELS)) for i in range(300)]
+    df = spark.createDataFrame(log, "feedback_id long, context_id int, feedback_label string")
+    state = None
+    for lo, hi in ((0, 1), (1, 1), (1, 120), (120, 300)):  # the second one is empty
+        part = feedback.replay_state(t, df.where((F.col("feedback_id") > lo) & (F.col("feedback_id") <= hi)), block_rows=16).withColumn("at", F.lit(1))
+        both = part if state is None else state.withColumn("at", F.lit(0)).unionByName(part)
+        state = spark.createDataFrame(feedback.combined(both, "at").collect(), feedback.combined(both, "at").schema)
+    want = {r["context_id"]: tuple(r)[1:] for r in feedback.adapt_thresholds(t, df).collect()}
+    got = {r["context_id"]: tuple(r)[1:] for r in feedback.apply_state(t, state).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert state.agg(F.max("last")).first()[0] == 300
+
+
+def test_batches_keep_their_ids_and_writers_don_t_share_them(spark, tmp_path):
+    def records(*cycles):
+        return spark.createDataFrame([(c, 1, c, 0, "Watch", 0.5, "p", "accepted_alert") for c in cycles],
+                                     "t int, unit_id long, cycle int, context_id int, alert_level string, final_anomaly_score double, root_cause_pattern string, feedback_label string")
+
+    path = str(tmp_path / "log")
+    feedback.store_feedback(spark, path, records(1, 2), ["t"], F.col("t"), "b")
+    feedback.store_feedback(spark, path, records(3), ["t"], F.col("t"), "c")
+    again = feedback.store_feedback(spark, path, records(1, 2), ["t"], F.col("t"), "b")
+    assert sorted((r["feedback_id"], r["cycle"]) for r in again.collect()) == [(1, 1), (2, 2), (3, 3)]
+    # another writer took the ids 4 and 5 at the same time and stored them under a smaller name
+    feedback.number_feedback(records(8, 9), 3, ["t"], F.col("t")).write.parquet(f"{path}/batch=a")
+    feedback.number_feedback(records(5, 6), 3, ["t"], F.col("t")).write.parquet(f"{path}/batch=d")
+    log = feedback.store_feedback(spark, path, records(5, 6), ["t"], F.col("t"), "d")
+    ids = sorted((r["feedback_id"], r["cycle"]) for r in log.collect())
+    assert ids == [(1, 1), (2, 2), (3, 3), (4, 8), (5, 9), (6, 5), (7, 6)]
+    assert {r["feedback_status"] for r in feedback.mark_used(log, 3).where("feedback_id > 3").collect()} == {"stored"}
+    assert {r["feedback_status"] for r in feedback.mark_used(log).collect()} == {feedback.USED}
