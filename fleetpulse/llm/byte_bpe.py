@@ -27,9 +27,9 @@ from fleetpulse.llm.vocabularies import pattern, place
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Entries of the memories of a Python worker: chunks, and pairs of tokens.
-MEMORY, PAIRS = 250_000, 1 << 18
+MEMORY, PAIRS = 60_000, 1 << 16
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,6 +210,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+            del ids, bounds
+            chunks.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
