@@ -13,13 +13,13 @@ from fleetpulse.plans.registry import query
 from fleetpulse.plans.sql import DIRECTIONS, W, W5, alert, each, sequence_errors
 from fleetpulse.settings import DEV
 from fleetpulse.sources import tables
+from fleetpulse.streaming.storage import stored
 
 S4 = inputs.SENSORS
 MEMBERS = inputs.MEMBERS
 W_NAMES = [f"W_{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
 CENTRES = [f"c{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
 MEANS = [f"m{i}" for i in range(1, tables.EMBEDDING_WIDTH + 1)]
-PAIR = ["residual_Xs_T48", "residual_Xs_Ps30"]
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,39 +352,60 @@ def isolation_scores(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.isolation_scores(rows, detectors.fit_isolation_forest(rows, DETECTOR_FEATURES))
 
 
-CENTRED = f"""z AS (SELECT split, unit_id, seq, (residual_Xs_T48 - ma)/sa AS a, (residual_Xs_Ps30 - mb)/sb AS b FROM res,
- (SELECT avg(residual_Xs_T48) AS ma, stddev_pop(residual_Xs_T48) AS sa, avg(residual_Xs_Ps30) AS mb, stddev_pop(residual_Xs_Ps30) AS sb FROM res WHERE split = 'dev')),
-mu AS (SELECT avg(a) AS ua, avg(b) AS ub FROM z WHERE split = 'dev'),
-mo AS (SELECT avg((a-ua)*(a-ua)) AS aa, avg((a-ua)*(b-ub)) AS ab, avg((b-ub)*(b-ub)) AS bb, avg(power((a-ua)*(a-ua) + (b-ub)*(b-ub), 2)) AS f4, count(*) AS n FROM z, mu WHERE split = 'dev'),
-lw0 AS (SELECT *, (aa + bb)/2 AS m, aa*aa + 2*ab*ab + bb*bb AS fro FROM mo),
-lw1 AS (SELECT *, (fro - 2*m*(aa + bb) + 2*m*m)/2 AS delta, (f4 - fro)/(2*n) AS beta0 FROM lw0),
-lw AS (SELECT *, CASE WHEN delta <= 0 OR beta0 <= 0 THEN 0.0 ELSE least(beta0, delta)/delta END AS sh FROM lw1),
-cv AS (SELECT (1-sh)*aa + sh*m AS caa, (1-sh)*ab AS cab, (1-sh)*bb + sh*m AS cbb, sh FROM lw),
-pr AS (SELECT cbb/(caa*cbb - cab*cab) + 1e-6 AS paa, -cab/(caa*cbb - cab*cab) AS pab, caa/(caa*cbb - cab*cab) + 1e-6 AS pbb FROM cv),
-d AS (SELECT split, unit_id, seq, sqrt(greatest((a-ua)*(a-ua)*paa + 2*(a-ua)*(b-ub)*pab + (b-ub)*(b-ub)*pbb, 0.0)) AS mahalanobis_distance FROM z, mu, pr)"""
+N = len(DETECTOR_FEATURES)
+EACH = f"range(1, {N} + 1)"
+_NAMES = "[" + ", ".join(f"'{n}'" for n in DETECTOR_FEATURES) + "]"
+
+
+def _newton(rounds: int = 60) -> str:
+    """Tables ``nv0`` to ``nv<rounds>``: X (2I - AX) from the transpose over its norms tends to the inverse of ``cv``."""
+    product = f"list_transform({{x}}, lambda r: list_transform({EACH}, lambda j: list_sum(list_transform({EACH}, lambda k: r[k] * {{y}}[k][j]))))"
+    norm = "list_max(list_transform(a, lambda r: list_sum(list_transform(r, lambda v: abs(v)))))"
+    steps = [f"nv0 AS MATERIALIZED (SELECT a, list_transform(a, lambda r: list_transform(r, lambda v: v / ({norm} * {norm}))) AS x FROM cv)"]
+    for k in range(rounds):
+        steps.append(
+            f"nv{k + 1} AS MATERIALIZED (SELECT a, {product.format(x='x', y='y')} AS x FROM (SELECT a, x, list_transform({EACH}, lambda i: list_transform({EACH}, "
+            f"lambda j: (CASE WHEN i = j THEN 2.0 ELSE 0.0 END) - p[i][j])) AS y FROM (SELECT a, x, {product.format(x='a', y='x')} AS p FROM nv{k})))")
+    return ",\n".join(steps)
+
+
+SHRUNK = f"""fx AS (SELECT split, unit_id, seq, [{', '.join(DETECTOR_FEATURES)}] AS x FROM (SELECT split, unit_id, seq, {each('residual_{s}')}, {FEATURE_SQL} FROM res)),
+st AS (SELECT list(m ORDER BY j) AS m, list(CASE WHEN s = 0 THEN 1.0 ELSE s END ORDER BY j) AS s FROM (
+ SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT j, x[j] AS v FROM (SELECT x, unnest({EACH}) AS j FROM fx WHERE split = 'dev')) GROUP BY j)),
+z AS (SELECT split, unit_id, seq, list_transform({EACH}, lambda j: (x[j] - m[j]) / s[j]) AS z FROM fx, st),
+mu AS (SELECT list(m ORDER BY j) AS u FROM (SELECT j, avg(v) AS m FROM (SELECT j, z[j] AS v FROM (SELECT z, unnest({EACH}) AS j FROM z WHERE split = 'dev')) GROUP BY j)),
+c AS (SELECT split, unit_id, seq, list_transform({EACH}, lambda j: z[j] - u[j]) AS d FROM z, mu),
+mo AS (SELECT avg(power(list_sum(list_transform(d, lambda v: v * v)), 2)) AS f4, count(*) AS n FROM c WHERE split = 'dev'),
+co AS (SELECT i, j, avg(d[i] * d[j]) AS v FROM (SELECT d, i, unnest({EACH}) AS j FROM (SELECT d, unnest({EACH}) AS i FROM c WHERE split = 'dev')) GROUP BY i, j),
+lw0 AS (SELECT sum(v) FILTER (i = j) AS tr, sum(v * v) AS fro FROM co),
+lw1 AS (SELECT tr / {N} AS m, (fro - 2 * tr / {N} * tr + {N} * power(tr / {N}, 2)) / {N} AS delta, (f4 - fro) / ({N} * n) AS beta0 FROM lw0, mo),
+lw AS (SELECT m, CASE WHEN delta <= 0 OR beta0 <= 0 THEN 0.0 ELSE least(beta0, delta) / delta END AS sh FROM lw1),
+cw AS (SELECT i, j, (1 - sh) * v + CASE WHEN i = j THEN sh * m ELSE 0.0 END AS v, sh FROM co, lw),
+cv AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS r FROM cw GROUP BY i))"""
+DISTANCES = f"""{SHRUNK}, {_newton()},
+pr AS (SELECT list_transform({EACH}, lambda i: list_transform({EACH}, lambda j: x[i][j] + CASE WHEN i = j THEN 1e-6 ELSE 0.0 END)) AS p FROM nv60),
+d AS (SELECT split, unit_id, seq, sqrt(greatest(list_sum(list_transform({EACH}, lambda i: d[i] * list_sum(list_transform({EACH}, lambda j: p[i][j] * d[j])))), 0.0)) AS mahalanobis_distance FROM c, pr)"""
 
 
 @query("H10", "first_feature second_feature", "", "covariance shrinkage", tables=("res",),
-       sql=f"""WITH {CENTRED} SELECT '{PAIR[0]}' AS first_feature, '{PAIR[0]}' AS second_feature, caa AS covariance, sh AS shrinkage FROM cv
-       UNION ALL SELECT '{PAIR[0]}', '{PAIR[1]}', cab, sh FROM cv UNION ALL SELECT '{PAIR[1]}', '{PAIR[0]}', cab, sh FROM cv UNION ALL SELECT '{PAIR[1]}', '{PAIR[1]}', cbb, sh FROM cv""")
+       sql=f"WITH {SHRUNK} SELECT {_NAMES}[i] AS first_feature, {_NAMES}[j] AS second_feature, v AS covariance, sh AS shrinkage FROM cw")
 def shrunk_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.covariance_table(detectors.fit_distance(inputs.fit_lineitem(spark, sf).residuals(sequenced=False), PAIR), spark)
+    return detectors.covariance_table(detectors.fit_distance(stored(_features(spark, sf)), DETECTOR_FEATURES), spark)
 
 
-@query("H11", "split", "unit_id seq", "mahalanobis_distance", sql=f"WITH {CENTRED} SELECT * FROM d", tables=("res",))
+@query("H11", "split", "unit_id seq", "mahalanobis_distance", sql=f"WITH {DISTANCES} SELECT * FROM d", tables=("res",))
 def row_distances(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = inputs.fit_lineitem(spark, sf)
-    return detectors.distances(fitted.residuals(), detectors.fit_distance(fitted.residuals(sequenced=False), PAIR))
+    rows = stored(_features(spark, sf))
+    return detectors.distances(rows, detectors.fit_distance(rows, DETECTOR_FEATURES))
 
 
 @query("H12", "split", "unit_id seq mahalanobis_anomaly_label", "mahalanobis_score mahalanobis_threshold", tables=("res",),
-       sql=f"""WITH {CENTRED}, t AS (SELECT quantile_cont(mahalanobis_distance, 0.99) AS q FROM d WHERE split = 'dev'), r AS (SELECT min(mahalanobis_distance) AS lo, max(mahalanobis_distance) AS hi FROM d)
+       sql=f"""WITH {DISTANCES}, t AS (SELECT quantile_cont(mahalanobis_distance, 0.99) AS q FROM d WHERE split = 'dev'), r AS (SELECT min(mahalanobis_distance) AS lo, max(mahalanobis_distance) AS hi FROM d)
        SELECT split, unit_id, seq, CASE WHEN mahalanobis_distance >= q THEN 1 ELSE 0 END AS mahalanobis_anomaly_label,
        (mahalanobis_distance - lo)/greatest(hi - lo, 1e-12) AS mahalanobis_score, q AS mahalanobis_threshold FROM d, t, r""")
 def distance_scores(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = inputs.fit_lineitem(spark, sf)
-    rows = fitted.residuals(sequenced=False)
-    return detectors.distance_scores(fitted.residuals(), detectors.fit_distance(rows, PAIR), fit_rows=rows)
+    rows = stored(_features(spark, sf))
+    return detectors.distance_scores(rows, detectors.fit_distance(rows, DETECTOR_FEATURES))
 
 
 @query("H13", "split", "unit_id seq sequence_ready", "lstm_reconstruction_error")
