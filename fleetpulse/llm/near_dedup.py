@@ -45,8 +45,9 @@ WORDS = 5
 TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-4
 #: Levels of a tree at most; a node with more than this share of its parent's members branches no further.
 LEVELS, CROWD = 24, 0.6
-#: Candidates need this share of equal tokens: three standard deviations below the threshold.
-PLAUSIBLE = 0.67
+#: Candidates need this share of equal short tokens of four bits, of which a sixteenth are equal by chance. A pair at the
+#: threshold has 0.766 of them in the mean, three standard deviations above.
+PLAUSIBLE = 0.68
 #: Bytes of text whose words a task holds at once; a word's arrays take some twenty times its bytes.
 SLICE = 4 << 20
 #: Members of a large node that each of its blocks is compared with.
@@ -107,8 +108,14 @@ def signature(members: np.ndarray) -> bytes:
     return _mixed(least).astype(np.uint16).tobytes()
 
 
+def shortened(tokens: bytes) -> bytes:
+    """Four bits of each token, which is what members of a node are compared by."""
+    low = (np.frombuffer(tokens, np.uint16) & 15).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes()
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, digest, signature`` of every row; the digest names the set."""
+    """``id, n_shingles, digest, signature, short`` of every row; the digest names the set."""
     sized_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +125,14 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sizes.append(len(members))
                 digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None)
                 signatures.append(signature(members) if len(members) else None)
+            short = [shortened(x) if x is not None else None for x in signatures]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                ["id", "n_shingles", "digest", "signature"],
+                [part.column("id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, signatures, short))],
+                ["id", "n_shingles", "digest", "signature", "short"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, signature binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, signature binary, short binary")
 
 
 def trees_needed(threshold: float) -> int:
@@ -136,6 +144,12 @@ def _tokens(column: pa.Array | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, TOKENS)
 
 
+def _shorts(column: pa.Array | list) -> np.ndarray:
+    """The short tokens of rows, one a byte."""
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(-1, TOKENS // 2)
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), TOKENS)
+
+
 def _branch(rows: DataFrame) -> DataFrame:
     """``id, node, count, signature`` to the children: one row for each position that its node has chosen."""
 
@@ -230,11 +244,11 @@ def _record(columns: list[list], schema: str) -> pa.RecordBatch:
 
 
 def _compare(members: DataFrame) -> DataFrame:
-    """``node, a, b``: a spanning forest of candidate links in every node; ``members`` has ``node, id, signature``."""
+    """``node, a, b``: a spanning forest of candidate links in every node; ``members`` has ``node, id, short``."""
 
     def work(node: int, table: pa.Table):
         ids = table.column("id").to_numpy()
-        tokens = _tokens(table.column("signature").to_pylist())
+        tokens = _shorts(table.column("short").to_pylist())
         if len(ids) == 2:
             edges = [(0, 1)] if (tokens[0] == tokens[1]).mean() >= PLAUSIBLE else []
         else:
@@ -249,13 +263,13 @@ def _compare(members: DataFrame) -> DataFrame:
 def _propose(members: DataFrame, tested: DataFrame) -> DataFrame:
     """``node, a, b``: all untested candidates between the unconnected parts of the nodes.
 
-    ``members`` has ``node, id, part, signature, nodes``; ``tested`` has ``node, a, b``: what failed in these nodes
+    ``members`` has ``node, id, part, short, nodes``; ``tested`` has ``node, a, b``: what failed in these nodes
     before. A pair that meets in several nodes is proposed by the one of smallest number.
     """
-    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), "part", "signature", "nodes")
+    rows = members.select("node", "id", F.lit(None).cast("long").alias("b"), "part", "short", "nodes")
     tests = tested.select(
         "node", F.col("a").alias("id"), "b", F.lit(None).cast("long").alias("part"),
-        F.lit(None).cast("binary").alias("signature"), F.lit(None).cast("array<long>").alias("nodes"),
+        F.lit(None).cast("binary").alias("short"), F.lit(None).cast("array<long>").alias("nodes"),
     )
 
     def work(node: int, table: pa.Table):
@@ -263,7 +277,7 @@ def _propose(members: DataFrame, tested: DataFrame) -> DataFrame:
         tests = table.filter(table.column("b").is_valid())
         ids, part = own.column("id").to_numpy(), own.column("part").to_numpy()
         a, b = np.searchsorted(ids, tests.column("id").to_numpy()), np.searchsorted(ids, tests.column("b").to_numpy())
-        alike = _alike(_tokens(own.column("signature").to_pylist()))
+        alike = _alike(_shorts(own.column("short").to_pylist()))
         alike[part[:, None] == part[None, :]] = -1
         alike[a, b] = alike[b, a] = -1
         meets = [set(n) for n in own.column("nodes").to_pylist()]
@@ -307,7 +321,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, n_shingles, component_id, kept`` of every row of ``docs``."""
     rows = staged(sketches(docs, id_col, text_col), "sketches")
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("signature").alias("signature")
+        F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("short").alias("short")
     )
     # a class whose ids are all null has nothing to link
     classes = staged(classes.where("id is not null"), "classes")
@@ -342,7 +356,7 @@ def _node_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
         return checked.where("linked").select("a", "b")
     nodes = members.join(failed.select("node").distinct(), "node", "left_semi")
     parts = components(checked.where("linked").select("a", "b"))
-    parted = nodes.join(parts, "id", "left").select("node", "id", F.coalesce("component", "id").alias("part"), "signature")
+    parted = nodes.join(parts, "id", "left").select("node", "id", F.coalesce("component", "id").alias("part"), "short")
     divided = parted.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("node")
     # written, because joins of a table with what is derived from it are easily confused
     open_ = staged(parted.join(divided, "node", "left_semi"), "open")
@@ -454,7 +468,7 @@ def _shared(flat: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``node, id, signature``: the nodes of all trees whose members are to be compared, large ones in blocks; and ``crowd, id``.
+    """``node, id, short``: the nodes of all trees whose members are to be compared, large ones in blocks; and ``crowd, id``.
 
     A crowd is a large node that branches no further, together with those that have the same member of smallest
     hash: trees often give nearly the same crowd.
@@ -485,7 +499,7 @@ def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     crowds = staged(crowds, "ends")
     alike = crowds.groupBy("node").agg(F.min_by("id", F.xxhash64("id")).alias("crowd"))
     crowds = staged(crowds.join(alike, "node").select("crowd", "id").distinct(), "crowds")
-    return staged(nodes.join(once, "node", "left_semi").join(signatures, "id").select("node", "id", "signature"), "nodes"), crowds
+    return staged(nodes.join(once, "node", "left_semi").join(classes.select("id", "short"), "id").select("node", "id", "short"), "nodes"), crowds
 
 
 def _blocks(large: DataFrame) -> DataFrame:
