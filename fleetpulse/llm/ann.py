@@ -4,7 +4,10 @@ Vectors get one more component that gives them all the same length, so that the
 product is the smallest distance. A tree of balanced k-means splits over a bounded sample gives
 the centroids. Every vector goes to the list of its nearest centroid and, if it lies near a
 boundary, also to the lists of others that are hardly farther. A query walks a graph of centroids
-from near ones to nearer ones and searches the lists that are not much farther than the nearest.
+from near ones to nearer ones and searches all lists whose distance, as a ratio to that of the nearest,
+is within a reach. The reach is measured on the table itself: up to ``PILOTS`` queries drawn by hash are
+compared with all rows, and the reach is the one that keeps a share ``TARGET`` of their true neighbours.
+So the number of lists that are searched follows the data and the size of the table; nothing caps it.
 
 Lists are cut into blocks of bounded size by a hash of the vector's id, so a vector that millions
 of rows repeat fills many blocks and no task holds a whole list. Every block gives its best rows
@@ -13,8 +16,9 @@ they are, added in double precision in the order of the components.
 
 Results: vectors that are null or zero, or hold null or non-finite components, take no part, nor
 do those whose length differs from the table's usual one. Ties go to the smaller id. A query with
-fewer candidates gets as many as there are. An empty table gives an empty table. The centroids,
-at most ``CENTROIDS``, are the only thing that every task holds.
+fewer candidates gets as many as there are. An empty table gives an empty table. Rows that repeat an id
+and its vector count once; an id with several vectors is a candidate by each of them. Other columns of
+the tables are not read. What every task holds are the centroids, at most ``CENTROIDS``, and the pilots.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ from fleetpulse.llm.staging import sized_batches, staged
 SAMPLE, PER_LIST, CENTROIDS = 20_000, 400, 4_096
 #: Lists that a vector may lie in, and how much farther than the nearest they may be (ratio of squared distances).
 COPIES, BOUNDARY = 4, 1.15
-#: Lists that a query searches at most, and how much farther than the nearest they may be.
-PROBES, REACH = 48, 1.6
-#: Neighbours of a centroid in the graph, and the width of the walk.
+#: Queries that the reach is measured with, and the share of their true neighbours that it has to keep.
+PILOTS, TARGET = 256, 0.97
+#: Neighbours of a centroid in the graph, and the least width of a query's walk.
 DEGREE, WIDTH = 24, 96
 #: Rows of a block.
 BLOCK = 4_096
@@ -49,8 +53,9 @@ class Graph:
     near: np.ndarray
     entries: np.ndarray
 
-    def walk(self, x: np.ndarray, width: int) -> list[tuple[float, int]]:
-        """About the ``width`` centroids nearest to ``x``, as squared distance and number, nearest first."""
+    def walk(self, x: np.ndarray, width: int, ratio: float = 0.0) -> list[tuple[float, int]]:
+        """About the ``width`` centroids nearest to ``x``, and all met whose squared distance is at most ``ratio``
+        times the least, as squared distance and number, nearest first."""
         import heapq
 
         def far(which: np.ndarray) -> np.ndarray:
@@ -58,26 +63,36 @@ class Graph:
 
         seen = np.zeros(len(self.centres), bool)
         seen[self.entries] = True
-        open_ = [(d, int(c)) for d, c in zip(far(self.entries), self.entries, strict=True)]
-        best = sorted(open_)[:width]
+        open_ = [(d, c) for d, c in zip(far(self.entries).tolist(), self.entries.tolist(), strict=True)]
+        met, least = list(open_), min(open_)[0]
         heapq.heapify(open_)
-        best = [(-d, c) for d, c in best]
+        best = [-d for d, _ in open_]
         heapq.heapify(best)
+        while len(best) > width:
+            heapq.heappop(best)
         while open_:
             d, c = heapq.heappop(open_)
-            if len(best) >= width and d > -best[0][0]:
+            if len(best) >= width and d > max(-best[0], within(ratio, least)):
                 break
             new = self.near[c][~seen[self.near[c]]]
             seen[new] = True
-            for dn, n in zip(far(new), new.tolist(), strict=True):
+            for dn, n in zip(far(new).tolist(), new.tolist(), strict=True):
+                least = min(least, dn)
                 if len(best) < width:
-                    heapq.heappush(best, (-dn, n))
-                elif dn < -best[0][0]:
-                    heapq.heapreplace(best, (-dn, n))
-                else:
+                    heapq.heappush(best, -dn)
+                elif dn < -best[0]:
+                    heapq.heapreplace(best, -dn)
+                elif dn > within(ratio, least):
                     continue
                 heapq.heappush(open_, (dn, n))
-        return sorted((-d, c) for d, c in best)
+                met.append((dn, n))
+        edge = max(-best[0], within(ratio, least))
+        return sorted(x for x in met if x[0] <= edge)
+
+
+def within(ratio: float, least: float) -> float:
+    """The largest squared distance that a ratio allows; the slack lets a ratio mean something for a vector on a centroid."""
+    return ratio * (least + 1e-9)
 
 
 def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -151,9 +166,12 @@ def _best(query: np.ndarray, own: int | None, ids: np.ndarray, rows: np.ndarray,
 
 
 def neighbours(
-    queries: DataFrame, table: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, reach: float = REACH
+    queries: DataFrame, table: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query the k rows of ``table`` found nearest, without the row of its own id."""
+    """``query_id, rank, vec_id, score``: for each query the k rows of ``table`` found nearest, without the row of its own id.
+
+    ``target`` is the share of true neighbours that the searched lists have to hold, measured on pilot queries.
+    """
     spark = table.sparkSession
     sized_batches(spark)
     v = F.col(vector_col).cast("array<double>")
@@ -170,11 +188,12 @@ def neighbours(
     longest = shape["longest"]
     shared = spark.sparkContext.broadcast(graph)
 
-    lists = rows.mapInArrow(_to_lists(shared, longest, COPIES, BOUNDARY, 8 * COPIES), "list int, id long, v array<double>")
+    lists = rows.mapInArrow(_to_lists(shared, longest, BOUNDARY, 8 * COPIES, COPIES), "list int, id long, v array<double>")
     lists = staged(lists.withColumn("hash", F.xxhash64("id")), "lists")
     blocks = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     stored = lists.join(blocks, "list").withColumn("block", F.pmod("hash", F.col("blocks")).cast("int"))
-    probing = asked.mapInArrow(_to_lists(shared, longest, probes, reach, WIDTH), "list int, id long, v array<double>")
+    reach = _reach(asked, rows, lists, graph, longest, k, target)
+    probing = asked.mapInArrow(_to_lists(shared, longest, reach, WIDTH), "list int, id long, v array<double>")
     probing = probing.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["list", "block", "kind", "id", "v"]
     both = stored.withColumn("kind", F.lit(0)).select(*names).unionByName(probing.withColumn("kind", F.lit(1)).select(*names))
@@ -192,8 +211,10 @@ def neighbours(
                 if keys[begin] != place:
                     place, ids, parts, have = keys[begin], [], [], None
                 if kinds[begin] == 0:
-                    ids.append(doc[begin:end])
-                    parts.append(matrix[begin:end])
+                    new = _first_of_repeats(doc[begin:end], matrix[begin:end], ids[-1][-1:] if ids else None, parts[-1][-1:] if ids else None)
+                    if new.any():
+                        ids.append(doc[begin:end][new])
+                        parts.append(matrix[begin:end][new])
                     continue
                 if not ids:
                     continue
@@ -210,7 +231,7 @@ def neighbours(
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     found = (
-        both.repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id")
+        both.repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id", "v")
         .mapInArrow(search, "query_id long, vec_id long, score double").distinct()
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -227,16 +248,72 @@ def _fitted(rows: DataFrame, n: int, longest: float) -> Graph:
     return fit_graph(_lifted(np.unique(np.stack([np.asarray(x, float) for x in drawn]), axis=0), longest), lists)
 
 
-def _to_lists(shared, longest: float, most: int, ratio: float, width: int):
-    """A task that sends vectors to the lists of their nearest centroids, up to ``most`` within the distance ratio."""
+def _first_of_repeats(ids: np.ndarray, rows: np.ndarray, last_id: np.ndarray | None, last_row: np.ndarray | None) -> np.ndarray:
+    """Which of the sorted rows differ from the one before them, in id or vector."""
+    new = np.ones(len(ids), bool)
+    same = np.flatnonzero(ids[1:] == ids[:-1]) + 1
+    new[same] = (rows[same] != rows[same - 1]).any(axis=1)
+    if last_id is not None and ids[0] == last_id[0]:
+        new[0] = (rows[0] != last_row[0]).any()
+    return new
+
+
+def _reach(asked: DataFrame, rows: DataFrame, lists: DataFrame, graph: Graph, longest: float, k: int, target: float) -> float:
+    """The ratio of squared distances within which lists hold ``target`` of the pilots' true neighbours.
+
+    The pilots are distinct vectors. Every task gives its own k best rows per pilot, so what is merged
+    grows with the tasks, not with the rows.
+    """
+    drawn = asked.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(4 * PILOTS).toPandas()
+    if drawn.empty:
+        return 1.0
+    x = np.stack([np.asarray(v, float) for v in drawn["v"]])
+    pick = np.sort(np.unique(x, axis=0, return_index=True)[1])[:PILOTS]
+    x, own = x[pick], drawn["id"].to_numpy()[pick]
+    pilots = rows.sparkSession.sparkContext.broadcast((x, own))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, own = pilots.value
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+        for b in batches:
+            matrix, ids = _matrix(b.column("v")), b.column("id").to_numpy()
+            for at in range(0, len(ids), BLOCK):
+                part, names = matrix[at : at + BLOCK], ids[at : at + BLOCK]
+                for q, products in enumerate(x @ part.T):
+                    found, score = _best(x[q], own[q], names, part, products, k)
+                    found, score = np.concatenate([best[q][0], found]), np.concatenate([best[q][1], score])
+                    _, first = np.unique(np.column_stack([found, score]), axis=0, return_index=True)
+                    order = first[np.lexsort((found[first], -score[first]))][:k]
+                    best[q] = found[order], score[order]
+        which = np.repeat(np.arange(len(own)), [len(f) for f, _ in best])
+        columns = [which.astype(np.int32), np.concatenate([f for f, _ in best]), np.concatenate([s for _, s in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pilot", "id", "score"])
+
+    near = rows.mapInArrow(compare, "pilot int, id long, score double").distinct()
+    rank = F.row_number().over(Window.partitionBy("pilot").orderBy(F.desc("score"), "id"))
+    truth = near.withColumn("rank", rank).where(F.col("rank") <= k).select("pilot", "id").distinct()
+    # at most PILOTS * k rows, each in at most COPIES lists for every vector of its id
+    held = lists.select("id", "list").join(F.broadcast(truth), "id").select("pilot", "id", "list").distinct().toPandas()
+    pilots.unpersist()
+    if held.empty:
+        return 1.0
+    lifted = _lifted(x, longest)
+    far = (lifted**2).sum(axis=1)[:, None] - 2 * lifted @ graph.centres.T + (graph.centres**2).sum(axis=1)[None, :]
+    least = np.maximum(far.min(axis=1), 0)
+    held["ratio"] = np.maximum(far[held["pilot"], held["list"]], 0) / (least[held["pilot"]] + 1e-9)
+    return float(np.quantile(held.groupby(["pilot", "id"])["ratio"].min(), target, method="higher")) * (1 + 1e-6)
+
+
+def _to_lists(shared, longest: float, ratio: float, width: int, most: int | None = None):
+    """A task that sends vectors to the lists of their nearest centroids within the distance ratio, at most ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
         for b in batches:
             lists, which = [], []
             for k, x in enumerate(_lifted(_matrix(b.column("v")), longest)):
-                near = graph.walk(x, width)
-                reach = ratio * near[0][0] + 1e-12
+                near = graph.walk(x, width, 0.0 if most else ratio)
+                reach = max(near[0][0], within(ratio, near[0][0]))
                 for d, c in near[:most]:
                     if d <= reach:
                         lists.append(c)

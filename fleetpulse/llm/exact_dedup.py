@@ -7,7 +7,8 @@ Counts are combined before every shuffle, so a group of copies of any size is on
 Results: a null text is an empty text, and all empty texts are copies of each other. Of equal
 texts the smallest id stays; rows that repeat that id stay with it. Null ids are larger than all
 others. An empty table gives an empty table. Columns of the input are kept as they are; the added
-ones are those of ``ADDED`` and replace input columns of the same name.
+ones of :func:`mark_copies` are those of ``ADDED`` and replace input columns of the same name, while
+:func:`keep_one` adds none. Inner names cannot clash, since input columns are numbered meanwhile.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.staging import lookup, staged
+from fleetpulse.llm.staging import lookup, numbered, staged
 
 #: Characters of the text that the second step hashes.
 PREFIX = 128
@@ -40,7 +41,18 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None) -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size`` and ``kept``; ``digest`` names a column for the SHA-256 of every text."""
-    docs = docs.drop(*(c for c in ADDED if c != id_col and c != text_col))
+    added = [*ADDED, *([digest] if digest else [])]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in [a.lower() for a in added] and c not in (id_col, text_col)))
+    names = docs.columns
+    out = _marked(numbered(docs), *(f"c{names.index(c)}" for c in (id_col, text_col)), "__digest" if digest else None)
+    return out.select(
+        *(F.col(f"c{k}").alias(name) for k, name in enumerate(names)), *ADDED,
+        *([F.col("__digest").alias(digest)] if digest else []),
+    )
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, digest: str | None = None) -> DataFrame:
+    """What ``mark_copies`` gives, for columns that :func:`numbered` named."""
     narrow = staged(_keyed(docs.select(id_col, text_col), text_col).select(*_KEYS), "lengths")
     # sent to all tasks where they are few, so that rows of a hot length stay where they are and are combined there
     lengths = lookup(staged(narrow.groupBy("__length").count().where("count > 1").select("__length"), "repeated"))
@@ -74,5 +86,7 @@ def _groups(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> D
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they came with."""
-    return mark_copies(docs, id_col, text_col).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns and values they came with, whatever their names are."""
+    names, plain = docs.columns, numbered(docs)
+    kept = _marked(plain, *(f"c{names.index(c)}" for c in (id_col, text_col))).where("kept")
+    return kept.select(*plain.columns).toDF(*names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import chunks
-from fleetpulse.llm.staging import sized_batches, staged
+from fleetpulse.llm.staging import free_name, sized_batches, staged
 from fleetpulse.llm.vocabularies import place
 
 MODEL = "piece_bpe_32k.model"
@@ -248,22 +248,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", path: str | N
     languages, name = model.languages, uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model.p)
     rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    inner = free_name("__text", rest)
     letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
-    rows = docs.select(*rest, F.when(letter, F.col(text_col).cast("string")).alias("__text"))
+    rows = docs.select(*rest, F.when(letter, F.col(text_col).cast("string")).alias(inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(name)
-        for part in chunks.slices(batches, "__text", 8 << 20):
+        for part in chunks.slices(batches, inner, 8 << 20):
             n, names, score = part.num_rows, np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
             if languages:
-                cut = chunks.cut(part.column("__text"))
+                cut = chunks.cut(part.column(inner))
                 found = memory.values_of(cut.distinct, lambda new: [row.tobytes() for row in log_likelihoods(path, new, shared.value)])
                 values = np.frombuffer(b"".join(found), np.float64).reshape(-1, len(languages))
                 text = cut.text_of_chunk()
                 total = np.column_stack([np.bincount(text, values[cut.codes, k], n) for k in range(len(languages))])
                 best = total.argmax(axis=1)
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
-                known = np.asarray(pc.is_valid(part.column("__text")))
+                known = np.asarray(pc.is_valid(part.column(inner)))
                 names[known] = np.array(languages, object)[best[known]]
                 score[known] = (odds.max(axis=1) / odds.sum(axis=1))[known]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(names, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import chunks
 from fleetpulse.llm.components import components
-from fleetpulse.llm.staging import lookup, sized_batches, staged
+from fleetpulse.llm.staging import lookup, numbered, sized_batches, staged
 
 WORDS = 5
 TOKENS, SMALL, BRANCHES, MISS = 256, 256, 2, 1e-4
@@ -519,5 +519,6 @@ def _blocks(large: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies, with the columns they came with."""
     found = near_components(docs, id_col, text_col, threshold)
-    gone = lookup(staged(found.where("not kept").select(F.col("id").alias("__gone")).distinct(), "gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = lookup(staged(found.where("not kept").select("id").distinct(), "gone"))
+    names, plain = docs.columns, numbered(docs)
+    return plain.join(gone, F.col(f"c{names.index(id_col)}").cast("long") == F.col("id"), "left_anti").select(*plain.columns).toDF(*names)

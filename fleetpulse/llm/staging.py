@@ -37,6 +37,19 @@ def lookup(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0, c1, ...``, so that none clashes with the names an operator uses inside."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized_batches(spark: SparkSession) -> None:
     """Bound the bytes of the Arrow batches that Python functions get."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

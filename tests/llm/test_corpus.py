@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +303,46 @@ def test_neighbours(spark):
     assert ann.neighbours(table, table.limit(0)).count() == 0
 
 
+def test_neighbours_in_many_lists(spark, monkeypatch):
+    """Vectors without structure in 500 lists: the reach must follow the data; repeated rows must not fill the places."""
+    monkeypatch.setattr(ann, "PER_LIST", 60)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30_000, 48))
+    x *= (1 + 0.1 * rng.normal(size=(len(x), 1))) / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "list": 1, "block": "b"})
+    frame = pd.concat([frame, *[frame[frame["vec_id"] % 100 == 1]] * 30], ignore_index=True)
+    table = spark.createDataFrame(frame).repartition(16)
+    found = ann.neighbours(table.where("vec_id % 100 = 0"), table).toPandas()
+    counts = found.groupby("query_id")["vec_id"].agg(["size", "nunique"])
+    assert len(counts) == 300 and (counts == 20).all(axis=None)
+    hit = 0
+    for q, own in found.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(own["vec_id"]))
+    assert hit / 6000 >= 0.95
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Columns named like those that operators add or use inside come back with their own values."""
+    names = ["kept", "keep_id", "group_size", "__text", "__length", "__prefix", "__full", "__size", "__keep", "__gone", "id", "digest"]
+    long = " ".join(f"word{i}" for i in range(40))
+    docs = [(9, long), (2, long), (3, long + " end"), (4, "other words stand here alone now"), (5, None), (6, "")]
+    table = spark.createDataFrame(
+        [(d, t, *(f"{n}{d}" for n in names)) for d, t in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    )
+    for kept, ids in ((exact_dedup.keep_one(table), {2, 3, 4, 5}), (near_dedup.keep_one(table), {2, 4, 5, 6})):
+        assert kept.columns == table.columns
+        rows = kept.collect()
+        assert {r["doc_id"] for r in rows} == ids
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    marked = exact_dedup.mark_copies(table, digest="__text").collect()
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in marked}[9] == (2, False)
+    assert all(r["__size"] == f"__size{r['doc_id']}" and len(r["__text"]) == 64 for r in marked)
+    predicted = language.predict(table, language.learn(table.withColumn("lang", F.lit("en")))).collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in predicted for n in names)
+
+
 def test_language_forward_sums_all_segmentations():
     path = place(language.MODEL)
     table, n, _ = language.pieces(path)
