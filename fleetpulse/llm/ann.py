@@ -10,8 +10,8 @@ compared with all rows, and the reach is the one that keeps a share ``TARGET`` o
 So the number of lists that are searched follows the data and the size of the table; nothing caps it.
 
 Lists are cut into blocks of bounded size by a hash of the vector's id, so a vector that millions
-of rows repeat fills many blocks and no task holds a whole list. Every block gives its best rows
-per query; the best of all blocks are the answer. Scores are inner products of the vectors as
+of rows repeat fills many blocks and no task holds a whole list. Every block has its best rows
+per query; a task combines those of its blocks, and the best of all tasks are the answer. Scores are inner products of the vectors as
 they are, added in double precision in the order of the components.
 
 Results: vectors that are null or zero, or hold null or non-finite components, take no part, nor
@@ -41,8 +41,8 @@ COPIES, BOUNDARY = 4, 1.15
 PILOTS, TARGET = 256, 0.97
 #: Neighbours of a centroid in the graph, and the least width of a query's walk.
 DEGREE, WIDTH = 24, 96
-#: Rows of a block.
-BLOCK = 4_096
+#: Rows of a block, and queries whose best rows a task holds to combine those of its blocks before they are shuffled.
+BLOCK, HELD = 4_096, 65_536
 
 
 @dataclass
@@ -165,6 +165,22 @@ def _best(query: np.ndarray, own: int | None, ids: np.ndarray, rows: np.ndarray,
     return ids[pick][order], score[order]
 
 
+def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists of ids and scores; what both have counts once."""
+    ids, score = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.lexsort((ids, -score))
+    ids, score = ids[order], score[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+    return ids[new][:k], score[new][:k]
+
+
+def _rows_of(merged: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    which = np.repeat([q for q, _ in merged], [len(found) for found, _ in merged.values()])
+    columns = [which, np.concatenate([f for f, _ in merged.values()]), np.concatenate([s for _, s in merged.values()])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+
 def neighbours(
     queries: DataFrame, table: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET
 ) -> DataFrame:
@@ -199,7 +215,7 @@ def neighbours(
     both = stored.withColumn("kind", F.lit(0)).select(*names).unionByName(probing.withColumn("kind", F.lit(1)).select(*names))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, parts, have = None, [], [], None
+        place, ids, parts, have, merged = None, [], [], None, {}
         for b in batches:
             keys = b.column("list").to_numpy().astype(np.int64) << 32 | b.column("block").to_numpy()
             kinds = b.column("kind").to_numpy()
@@ -220,15 +236,18 @@ def neighbours(
                     continue
                 if have is None:
                     have = np.concatenate(ids), np.concatenate(parts)
-                out = []
                 for at in range(begin, end, 256):
                     some = slice(at, min(at + 256, end))
                     rough = matrix[some] @ have[1].T
                     for q, products in zip(range(some.start, some.stop), rough, strict=True):
                         found, score = _best(matrix[q], doc[q], *have, products, k)
-                        out.append((np.full(len(found), doc[q]), found, score))
-                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+                        asked_by = doc[q], matrix[q].tobytes()
+                        merged[asked_by] = _merge(merged[asked_by], (found, score), k) if asked_by in merged else (found, score)
+                if len(merged) > HELD:
+                    yield _rows_of(merged)
+                    merged = {}
+        if merged:
+            yield _rows_of(merged)
 
     found = (
         both.repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id", "v")
@@ -281,10 +300,7 @@ def _reach(asked: DataFrame, rows: DataFrame, lists: DataFrame, graph: Graph, lo
                 part, names = matrix[at : at + BLOCK], ids[at : at + BLOCK]
                 for q, products in enumerate(x @ part.T):
                     found, score = _best(x[q], own[q], names, part, products, k)
-                    found, score = np.concatenate([best[q][0], found]), np.concatenate([best[q][1], score])
-                    _, first = np.unique(np.column_stack([found, score]), axis=0, return_index=True)
-                    order = first[np.lexsort((found[first], -score[first]))][:k]
-                    best[q] = found[order], score[order]
+                    best[q] = _merge(best[q], (found, score), k)
         which = np.repeat(np.arange(len(own)), [len(f) for f, _ in best])
         columns = [which.astype(np.int32), np.concatenate([f for f, _ in best]), np.concatenate([s for _, s in best])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pilot", "id", "score"])
