@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fleetpulse.functions.exprs import finite_or
-from fleetpulse.operators.trees import TreeModel, _compiled
+from fleetpulse.operators.trees import TreeModel, _compiled, whole_trees
 from fleetpulse.settings import SEQ, TRAJECTORY
 
 #: Leaves that are worked on at once.
@@ -102,7 +102,7 @@ def tree_contributions(model: TreeModel, sample: DataFrame, keys: Sequence[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, mean = np.zeros((len(x), width, outputs)), np.zeros(outputs)
-        for pdf in _whole_trees(batches):
+        for pdf in whole_trees(batches):
             for _, g in pdf.groupby(["tree", "output"]):
                 values, base = tree_values(shared.value, _compiled(g.sort_values("node")), outputs)
                 total, mean = total + values, mean + base
@@ -119,20 +119,6 @@ def tree_contributions(model: TreeModel, sample: DataFrame, keys: Sequence[str]
         *keys, targets[F.col("t")].alias("target"), names[F.col("f")].alias("feature"), "contribution", (F.col("m") + base[F.col("t")]).alias("expected"))
 
 
-def _whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted nodes cut between trees only."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if len(pdf):
-            last = (pdf["tree"] == pdf["tree"].iloc[-1]) & (pdf["output"] == pdf["output"].iloc[-1])
-            if not last.all():
-                yield pdf[~last]
-            rest = pdf[last]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def tree_attribution(model: TreeModel, sample: DataFrame, name: str, keys: Sequence[str] = (*TRAJECTORY, SEQ)) -> DataFrame:
     """Mean absolute contribution of each feature over rows and targets."""
     found = tree_contributions(model, sample, keys)

@@ -14,19 +14,28 @@ their best split, the smaller child's histogram is counted and the larger one's
 ``FIT_ROWS`` rows a target is boosted in one task. Beyond, all targets advance together, and one
 pass over the rows counts the histograms that they ask for.
 
-A model is a table of nodes. Rows are scored with blocks of at most ``BLOCK_NODES`` nodes.
+Rows with equal bins never part. Where the grid of all bins has at most ``CELLS`` cells and fewer than
+there are rows, one pass adds up the rows of every cell for all trees or rounds, and both growers work on
+these sums: no pass per level or split, and no more in a task at any number of rows.
+
+A model is a table of nodes. Rows are scored by their cell of the grid, whose cells are scored once, and
+where the grid is larger with blocks of at most ``BLOCK_NODES`` nodes.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
+import operator
 import pickle
-from collections.abc import Generator, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -37,6 +46,8 @@ SEED = 42
 BINS = 255
 NODE_ROWS, FIT_ROWS = 1 << 18, 1 << 20
 BLOCK_NODES = 2_000_000
+#: Cells of a grid that is worked on by sums, bytes of sums in a task, tasks that share out the rows, and rows added at once.
+CELLS, HELD, SHARES, SLICE_ROWS = 1 << 18, 64 << 20, 8, 1 << 19
 #: Rounds after which the rows' predictions so far are written down when boosting over many tasks.
 KEEP_ROUNDS = 20
 #: Differences of gains, as a share of a node's sum of squares, that may be rounding: such gains are equal.
@@ -98,6 +109,83 @@ def _arrays(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return pdf["key"].to_numpy(np.int64), x, np.stack(pdf["y"].to_numpy()).astype(float)
 
 
+# ---- cells --------------------------------------------------------------------------------------
+
+
+def grid_shape(cuts: list[np.ndarray]) -> tuple[int, ...]:
+    return tuple(len(c) + 1 for c in cuts)
+
+
+def grid_bins(cuts: list[np.ndarray]) -> np.ndarray:
+    """The bins of every cell of the grid."""
+    shape = grid_shape(cuts)
+    return np.stack(np.unravel_index(np.arange(math.prod(shape)), shape), 1).astype(np.uint8)
+
+
+def _cells_of(cols: Sequence[pd.Series], cuts: list[np.ndarray]) -> np.ndarray:
+    return np.ravel_multi_index([np.searchsorted(c, s.to_numpy(float)) for c, s in zip(cuts, cols, strict=True)], grid_shape(cuts))
+
+
+def celled(df: DataFrame, features: Sequence[str], values: Sequence[Column], keys: Sequence[str], cuts: list[np.ndarray]) -> DataFrame:
+    """``key, cell, v0, v1, ...`` of every row: hash, cell of the grid, values."""
+
+    @F.pandas_udf("int")
+    def cell(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cols in batches:
+            yield pd.Series(_cells_of(cols, cuts).astype(np.int32))
+
+    return df.select(
+        F.xxhash64(*keys).alias("key"), cell(*[finite_or(f, 0.0) for f in features]).alias("cell"), *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= SLICE_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def cell_sums(rows: DataFrame, cells: int, rounds: int, weigh: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``round, share, sums``: by cell the weights and the weighted values of every round, over one share of the rows.
+
+    A task holds the sums of as many rounds as fit ``HELD`` bytes; other rounds are other tasks' over the same rows.
+    """
+    values = [c for c in rows.columns if c.startswith("v")]
+    height = 1 + len(values)
+    at_once = max(1, HELD // (8 * height * cells))
+    few = rows.coalesce(SHARES)
+
+    def adder(some: range) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(some), height, cells))
+            for pdf in _slices(batches):
+                key, cell, v = pdf["key"].to_numpy(np.int64), pdf["cell"].to_numpy(), [pdf[c].to_numpy() for c in values]
+                for own, r in zip(total, some, strict=True):
+                    w = weigh(key, r)
+                    at = np.flatnonzero(w)
+                    w, c = w[at], cell[at]
+                    own[0] += np.bincount(c, w, cells)
+                    for i, u in enumerate(v, 1):
+                        own[i] += np.bincount(c, w * u[at], cells)
+            for own, r in zip(total, some, strict=True):
+                yield pd.DataFrame([(r, TaskContext.get().partitionId(), own.tobytes())], columns=["round", "share", "sums"])
+
+        return add
+
+    parts = [few.mapInPandas(adder(range(a, min(a + at_once, rounds))), "round int, share int, sums binary") for a in range(0, rounds, at_once)]
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def _added(pdf: pd.DataFrame, cells: int) -> np.ndarray:
+    """The sums of a round over all shares, always added in the same order."""
+    return sum(np.frombuffer(b, float) for b in pdf.sort_values("share")["sums"]).reshape(-1, cells)
+
+
 def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers in [0, 1) that follow from keys and salt."""
     h = keys.astype(np.int64).view(np.uint64).copy()
@@ -130,9 +218,14 @@ def best_splits(x: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, s
 
     Of equal gains the first feature, then the lowest bin is taken.
     """
+    return split_sums(x, w, w[:, None] * y, w * (y**2).sum(axis=1), slot, slots, min_leaf)
+
+
+def split_sums(x: np.ndarray, w: np.ndarray, wy: np.ndarray, wq: np.ndarray, slot: np.ndarray, slots: int, min_leaf: float) -> tuple[np.ndarray, ...]:
+    """``best_splits`` of rows or cells with their weights, weighted targets and weighted sums of squares."""
     weight = np.bincount(slot, w, slots)
-    sums = np.stack([np.bincount(slot, w * y[:, t], slots) for t in range(y.shape[1])], 1)
-    squares = np.bincount(slot, w * (y**2).sum(axis=1), slots)
+    sums = np.stack([np.bincount(slot, wy[:, t], slots) for t in range(wy.shape[1])], 1)
+    squares = np.bincount(slot, wq, slots)
     base = _score(sums, weight)
     near = np.maximum(squares, 1e-300) * EQUAL_GAIN
     feature, cut, gain = np.full(slots, -1), np.zeros(slots, int), np.zeros(slots)
@@ -144,7 +237,7 @@ def best_splits(x: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, s
         own = key[ends] // (BINS + 1)
         before = np.searchsorted(own, own, "left")  # the first cell of the slot
         cw = np.cumsum(w[order])[ends]
-        cs = np.cumsum((w[:, None] * y)[order], axis=0)[ends]
+        cs = np.cumsum(wy[order], axis=0)[ends]
         first = before - 1
         lw = cw - np.where(first >= 0, cw[first], 0.0)
         ls = cs - np.where(first[:, None] >= 0, cs[first], 0.0)
@@ -160,12 +253,15 @@ def best_splits(x: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, s
     return feature, cut, np.where(feature >= 0, gain, 0.0), weight, sums
 
 
-def grow_levels(x: np.ndarray, y: np.ndarray, w: np.ndarray, node: int, depth: int, s: ForestSettings) -> list[tuple]:
-    """The tree below a node that lies ``depth`` levels down: node, feature, bin, value, weight, gain; children are 2n and 2n + 1."""
+def grow_levels(x: np.ndarray, w: np.ndarray, wy: np.ndarray, wq: np.ndarray, node: int, depth: int, s: ForestSettings) -> list[tuple]:
+    """The tree below a node that lies ``depth`` levels down: node, feature, bin, value, weight, gain; children are 2n and 2n + 1.
+
+    Grown from rows or cells as in ``split_sums``.
+    """
     out: list[tuple] = []
     ids, slot = np.array([node], np.int64), np.zeros(len(x), np.int64)
     while len(ids):
-        feature, cut, gain, weight, sums = best_splits(x, y, w, slot, len(ids), s.min_leaf)
+        feature, cut, gain, weight, sums = split_sums(x, w, wy, wq, slot, len(ids), s.min_leaf)
         if depth >= s.depth:
             feature[:] = -1
         feature[weight < s.min_split] = -1
@@ -175,7 +271,7 @@ def grow_levels(x: np.ndarray, y: np.ndarray, w: np.ndarray, node: int, depth: i
         place = np.full(len(ids), -1)
         place[split] = np.arange(len(split))
         live = place[slot] >= 0
-        x, y, w, slot = x[live], y[live], w[live], slot[live]
+        x, w, wy, wq, slot = x[live], w[live], wy[live], wq[live], slot[live]
         right = x[np.arange(len(x)), feature[slot]] > cut[slot]
         ids = np.stack([2 * ids[split], 2 * ids[split] + 1], 1).ravel()
         slot, depth = 2 * place[slot] + right, depth + 1
@@ -212,7 +308,10 @@ def fit_forest(
     """One forest for all targets, on all rows of the fit split. Rows with equal ``keys`` (all columns by default) are drawn alike."""
     dev = df if fit_split is None else df.where(F.col("split") == fit_split)
     cuts, width, outputs = bin_cuts(dev, features), len(features), len(targets)
-    rows = binned(dev, features, targets, keys or [*features, *targets], cuts).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = keys or [*features, *targets]
+    if nodes := _forest_of_cells(dev, features, targets, keys, cuts, s, seed):
+        return TreeModel(list(features), list(targets), nodes, np.zeros(outputs), 1.0 / s.trees, cuts)
+    rows = binned(dev, features, targets, keys, cuts).persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     n = rows.count()
     if n == 0:
@@ -234,7 +333,33 @@ def fit_forest(
     nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
     nodes.count()
     rows.unpersist()
-    return TreeModel(list(features), list(targets), nodes, np.zeros(outputs), 1.0 / s.trees)
+    return TreeModel(list(features), list(targets), nodes, np.zeros(outputs), 1.0 / s.trees, cuts)
+
+
+def _forest_of_cells(
+    dev: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str], cuts: list[np.ndarray], s: ForestSettings, seed: int,
+) -> DataFrame | None:
+    """The nodes of all trees, each grown from its sums by cell; None if the grid is too large or has more cells than there are rows."""
+    cells = math.prod(grid_shape(cuts))
+    if cells > CELLS:
+        return None
+    y = [finite_or(t, 0.0).cast("double") for t in targets]
+    rows = celled(dev, features, [*y, functools.reduce(operator.add, [v * v for v in y])], keys, cuts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if rows.count() <= cells:
+            return None
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            sums = _added(pdf, cells)
+            at = np.flatnonzero(sums[0])
+            w, wy, wq = sums[0, at], sums[1:-1, at].T, sums[-1, at]
+            return _node_rows(int(pdf["round"].iloc[0]), -1, grow_levels(grid_bins(cuts)[at], w, wy, wq, 1, 0, s) if len(at) else [], cuts)
+
+        nodes = cell_sums(rows, cells, s.trees, lambda key, t: draws(key, t, seed)).groupBy("round").applyInPandas(grow, NODES).persist(StorageLevel.MEMORY_AND_DISK)
+        nodes.count()
+        return nodes
+    finally:
+        rows.unpersist()
 
 
 def _split_nodes(rows: DataFrame, upper: dict, large: set, width: int, outputs: int, s: ForestSettings, seed: int) -> pd.DataFrame:
@@ -308,7 +433,8 @@ def _finish_nodes(rows: DataFrame, upper: dict, leaves: set, width: int, cuts: l
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, w = (np.concatenate(part) for part in zip(*map(pickle.loads, pdf["rows"]), strict=True))
         tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
-        return _node_rows(tree, -1, grow_levels(x, y, w.astype(float), node, node.bit_length() - 1, s), cuts)
+        w = w.astype(float)
+        return _node_rows(tree, -1, grow_levels(x, w, w[:, None] * y, w * (y**2).sum(axis=1), node, node.bit_length() - 1, s), cuts)
 
     return rows.mapInPandas(deal, "tree int, node long, rows binary").groupBy("tree", "node").applyInPandas(finish, NODES)
 
@@ -385,9 +511,26 @@ def _leaf_values(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
     return value[at]
 
 
-def _count(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """By feature and bin: rows and their residuals' sum."""
-    return np.stack([np.stack([np.bincount(x[:, f], minlength=BINS + 1), np.bincount(x[:, f], r, BINS + 1)], 1) for f in range(x.shape[1])])
+def _count(x: np.ndarray, r: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """By feature and bin: rows and their residuals' sum; of cells, ``n`` is how many rows each has."""
+    return np.stack([np.stack([np.bincount(x[:, f], n, BINS + 1), np.bincount(x[:, f], r, BINS + 1)], 1) for f in range(x.shape[1])])
+
+
+def grow_leaf_wise(x: np.ndarray, r: np.ndarray, n: np.ndarray | None, columns: np.ndarray, s: BoostSettings) -> list[tuple]:
+    """One tree on the residuals of rows, or of cells with ``n`` rows each."""
+    members = {tuple((0, BINS) for _ in range(x.shape[1])): np.arange(len(x))}
+    grower = leaf_wise(x.shape[1], columns, s)
+    box = next(grower)
+    try:
+        while True:
+            at = members.get(box)
+            if at is None:
+                # the rows of the smallest box around it that is known
+                around = min((m for b, m in members.items() if all(o[0] <= i[0] and i[1] <= o[1] for o, i in zip(b, box, strict=True))), key=len)
+                at = members[box] = around[_inside(x[around], box)]
+            box = grower.send(_count(x[at], r[at], None if n is None else n[at]))
+    except StopIteration as end:
+        return end.value
 
 
 def boost_rows(key: np.ndarray, x: np.ndarray, y: np.ndarray, base: float, output: int, s: BoostSettings, seed: int) -> list[list[tuple]]:
@@ -395,24 +538,37 @@ def boost_rows(key: np.ndarray, x: np.ndarray, y: np.ndarray, base: float, outpu
     pred, trees = np.full(len(x), base), []
     for k in range(s.rounds):
         taken = np.flatnonzero(uniform(key, seed, k) < s.rows)
-        part, rest = x[taken], (y - pred)[taken]
-        members = {tuple((0, BINS) for _ in range(x.shape[1])): np.arange(len(taken))}
-        grower = leaf_wise(x.shape[1], _columns(x.shape[1], s.columns, seed, k, output), s)
-        box = next(grower)
-        try:
-            while True:
-                at = members.get(box)
-                if at is None:
-                    # the rows of the smallest box around it that is known
-                    around = min((m for b, m in members.items() if all(o[0] <= i[0] and i[1] <= o[1] for o, i in zip(b, box, strict=True))), key=len)
-                    at = members[box] = around[_inside(part[around], box)]
-                box = grower.send(_count(part[at], rest[at]))
-        except StopIteration as end:
-            trees.append(end.value)
+        trees.append(grow_leaf_wise(x[taken], (y - pred)[taken], None, _columns(x.shape[1], s.columns, seed, k, output), s))
         pred = pred + _leaf_values(x, trees[-1])
     return trees
 
 
+def _boost_cells(rows: DataFrame, base: np.ndarray, cuts: list[np.ndarray], s: BoostSettings, seed: int) -> DataFrame:
+    """The nodes of all rounds of all targets, each target grown in a task from its sums by cell, a round after the other."""
+    cells, outputs = math.prod(grid_shape(cuts)), len(base)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = _added(pdf, cells)
+        return pd.DataFrame(
+            [(int(pdf["round"].iloc[0]), t, np.stack([total[0], total[1 + t]]).tobytes()) for t in range(outputs)], columns=["round", "output", "sums"])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, own = grid_bins(cuts), -1
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if r.output != own:
+                    own, pred = r.output, np.full(cells, base[r.output])
+                n, total = np.frombuffer(r.sums, float).reshape(2, cells)
+                at = np.flatnonzero(n)
+                tree = grow_leaf_wise(x[at], (total - n * pred)[at], n[at], _columns(x.shape[1], s.columns, seed, r.round, own), s)
+                pred = pred + _leaf_values(x, tree)
+                yield pd.DataFrame(_boost_nodes(r.round, own, tree, cuts), columns=[c.split()[0] for c in NODES.split(", ")])
+
+    sums = cell_sums(rows, cells, s.rounds, lambda key, k: (uniform(key, seed, k) < s.rows).astype(float))
+    dealt = sums.groupBy("round").applyInPandas(deal, "round int, output int, sums binary")
+    return dealt.repartitionByRange(outputs, "output").sortWithinPartitions("output", "round").mapInPandas(fit, NODES)
+
+
 def _boost_spread(rows: DataFrame, base: np.ndarray, width: int, s: BoostSettings, seed: int) -> list[list[list[tuple]]]:
     """All rounds of all targets over rows in many tasks; the targets' growers advance together."""
     outputs = len(base)
@@ -494,7 +650,18 @@ def fit_boosted(
     """Boosted trees for each target, on all rows of the fit split."""
     dev = df if fit_split is None else df.where(F.col("split") == fit_split)
     cuts, width = bin_cuts(dev, features), len(features)
-    rows = binned(dev, features, targets, keys or [*features, *targets], cuts).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = keys or [*features, *targets]
+    if (cells := math.prod(grid_shape(cuts))) <= CELLS:
+        rows = celled(dev, features, [finite_or(t, 0.0) for t in targets], keys, cuts).persist(StorageLevel.MEMORY_AND_DISK)
+        one = rows.agg(F.count(F.lit(1)), *[F.avg(f"v{t}") for t in range(len(targets))]).first()
+        if one[0] > cells:
+            base = np.array(one[1:], float)
+            nodes = _boost_cells(rows, base, cuts, s, seed).persist(StorageLevel.MEMORY_AND_DISK)
+            nodes.count()
+            rows.unpersist()
+            return TreeModel(list(features), list(targets), nodes, base, 1.0, cuts)
+        rows.unpersist()
+    rows = binned(dev, features, targets, keys, cuts).persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     one = rows.agg(F.count(F.lit(1)), *[F.avg(F.col("y")[t]) for t in range(len(targets))]).first()
     if not one[0]:
@@ -521,7 +688,7 @@ def fit_boosted(
     nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
     nodes.count()
     rows.unpersist()
-    return TreeModel(list(features), list(targets), nodes, base, 1.0)
+    return TreeModel(list(features), list(targets), nodes, base, 1.0, cuts)
 
 
 # ---- models -------------------------------------------------------------------------------------
@@ -529,14 +696,16 @@ def fit_boosted(
 
 @dataclass
 class TreeModel:
-    """Nodes of all trees; a prediction is ``base + scale * sum of leaves``."""
+    """Nodes of all trees; a prediction is ``base + scale * sum of leaves``. All their splits are at ``cuts``, if these are given."""
 
     features: list[str]
     targets: list[str]
     nodes: DataFrame
     base: np.ndarray
     scale: float
+    cuts: list[np.ndarray] | None = None
     _blocks: list[list[tuple]] = field(default_factory=list, repr=False)
+    _grid: np.ndarray | None = field(default=None, repr=False)
 
     def blocks(self) -> list[list[tuple]]:
         """Trees as arrays, in blocks of at most ``BLOCK_NODES`` nodes or one tree: output, feature, cut, left, right, value, cover."""
@@ -556,8 +725,30 @@ class TreeModel:
     def release(self) -> None:
         self.nodes.unpersist()
 
+    def grid_scores(self) -> np.ndarray:
+        """The sum of all trees' leaves for every cell of the grid and every output, trees as tasks."""
+        if self._grid is None:
+            cuts, outputs = self.cuts, len(self.targets)
+            cells = math.prod(grid_shape(cuts))
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                x = np.stack([np.append(c, np.inf)[b] for c, b in zip(cuts, grid_bins(cuts).T, strict=True)], 1)
+                total = np.zeros((cells, outputs))
+                for pdf in whole_trees(batches):
+                    for _, g in pdf.groupby(["tree", "output"]):
+                        total += tree_sums(x, [_compiled(g.sort_values("node"))], outputs)
+                yield pd.DataFrame([(0, TaskContext.get().partitionId(), total.tobytes())], columns=["round", "share", "sums"])
+
+            dealt = self.nodes.repartition(2 * SHARES, "tree", "output").sortWithinPartitions("tree", "output", "node")
+            self._grid = _added(dealt.mapInPandas(run, "round int, share int, sums binary").toPandas(), outputs)
+        return self._grid
+
     def predict(self, df: DataFrame, prefix: str) -> DataFrame:
         """Add ``<prefix><target>`` for every target."""
+        if self.cuts is not None and math.prod(grid_shape(self.cuts)) <= CELLS:
+            score = _cell_scorer(df.sparkSession.sparkContext.broadcast(self.grid_scores()), self.cuts, len(self.targets))
+            out = df.withColumn("_sums", score(*[finite_or(f, 0.0) for f in self.features]))
+            return out.withColumns({f"{prefix}{t}": F.lit(float(b)) + F.lit(self.scale) * F.col("_sums")[f"v{i}"] for i, (t, b) in enumerate(zip(self.targets, self.base, strict=True))}).drop("_sums")
         names = [f"_in_{f}" for f in self.features]
         outputs = len(self.targets)
         out = df.withColumns({n: finite_or(f, 0.0) for n, f in zip(names, self.features, strict=True)})
@@ -586,6 +777,31 @@ def _compiled(g: pd.DataFrame) -> tuple:
     return int(g["output"].iloc[0]), g["feature"].to_numpy(np.int32), g["cut"].to_numpy(float), left.astype(np.int32), right.astype(np.int32), value, g["cover"].to_numpy(float)
 
 
+def whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted nodes cut between trees only."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf):
+            last = (pdf["tree"] == pdf["tree"].iloc[-1]) & (pdf["output"] == pdf["output"].iloc[-1])
+            if not last.all():
+                yield pdf[~last]
+            rest = pdf[last]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _cell_scorer(shared, cuts: list[np.ndarray], outputs: int):
+    names = [f"v{i}" for i in range(outputs)]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            yield pd.DataFrame(shared.value[_cells_of(cols, cuts)], columns=names)
+
+    return score
+
+
 def _scorer(shared, outputs: int):
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -279,3 +279,37 @@ def test_lagged_products_equal_stored_windows(spark, block_rows):
     c = z - z.mean(axis=0)
     want = ((c - c @ lead @ lead.T) ** 2).mean(axis=1)
     assert np.allclose(got[got["sequence_ready"] == 1]["lstm_reconstruction_error"], want)
+
+
+@pytest.fixture(scope="module")
+def coarse(lines):
+    """Inputs of few values: the grid of their bins has fewer cells than there are rows."""
+    return lines.withColumns({f: F.round(F.col(f) * 3) / 3 for f in FEATURES}).cache()
+
+
+def same_nodes(a, b, keys):
+    a, b = (m.nodes.toPandas().sort_values(keys).reset_index(drop=True) for m in (a, b))
+    names = [*keys, "feature", "cut", "left_id", "right_id", "cover"]
+    assert len(a) > 20 and a[names].astype(float).equals(b[names].astype(float)) and np.allclose(np.stack(a["value"]), np.stack(b["value"])) and np.allclose(a["gain"], b["gain"])
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_trees_of_cells_are_those_of_rows(coarse, kind, monkeypatch):
+    s = trees.BoostSettings(rounds=4, depth=None, leaves=7, min_leaf=10, l2=0.5, columns=0.7)
+
+    def fit(df):
+        return trees.fit_forest(df, FEATURES, TARGETS, SMALL_FOREST) if kind == "forest" else trees.fit_boosted(df, FEATURES, TARGETS, s)
+
+    for slow in ("binned", "_boost_spread", "_split_nodes"):  # rows are not worked on one by one
+        monkeypatch.setattr(trees, slow, None)
+    monkeypatch.setattr(trees, "HELD", 1 << 15)  # several tasks share out the trees
+    monkeypatch.setattr(trees, "NODE_ROWS", 200)
+    monkeypatch.setattr(trees, "FIT_ROWS", 100)
+    cells = fit(coarse)
+    got = cells.predict(coarse, "p_").orderBy("seq").toPandas()
+    monkeypatch.undo()
+    monkeypatch.setattr(trees, "CELLS", 0)
+    rows = fit(coarse)
+    same_nodes(cells, rows, ["tree", "output", "node"])
+    want = rows.predict(coarse, "p_").orderBy("seq").toPandas()
+    assert np.allclose(got[["p_Xs_T48", "p_Xs_P2"]], want[["p_Xs_T48", "p_Xs_P2"]])
