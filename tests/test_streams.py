@@ -125,3 +125,19 @@ def test_feedback_stream(spark, tmp_path):
 
 def test_cluster_needs_a_shared_folder(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_named_columns_are_written_and_late_runs_are_noted(spark, parts, trajectories):
+    stream = tails.read_stream(spark, parts, spark.read.parquet(parts).schema, files_per_batch=1)
+    job = tails.TailStream(health.health_index, ORDER, F.floor(F.col("t") / 50), 4, shared_folder(spark), columns=["health_index"])
+    want = health.health_index(base(trajectories)).select("split", "unit_id", *ORDER, "seq", "health_index")
+    same(job.run(stream), want)
+    # rows that come twice, one of them in place of a processed one: the last version of every row stays
+    more = spark.read.parquet(parts).where("unit_id = 1 and t in (300, 700)").withColumn("final_anomaly_score", F.lit(1.0))
+    job.step(more.where("t = 700"), 4)
+    job.step(more.where("t = 300"), 5)
+    job.step(more.where("t = 300"), 5)
+    new = base(trajectories).withColumn("final_anomaly_score", F.when(F.expr("unit_id = 1 and t in (300, 700)"), 1.0).otherwise(F.col("final_anomaly_score")))
+    same(job.result(spark), health.health_index(new).select(*want.columns))
+    notes = spark.read.option("basePath", f"{job.folder}/late").parquet(f"{job.folder}/late").select("batch", "unit_id", "_from.t").orderBy("batch").collect()
+    assert [tuple(r) for r in notes] == [(4, 1, 700), (5, 1, 300)]
