@@ -425,3 +425,23 @@ def test_quality_keeps_clean_text(spark, texts, empty):
     assert quality.keep_good(texts, labels).columns == texts.columns
     assert quality.classify(texts, labels).count() == texts.count()
     assert quality.classify(empty, labels).count() == 0
+
+
+def test_every_rare_word_has_its_own_probability(spark):
+    """Words that are no class of their own differ by their own counts, and all of the class add up to one."""
+    rows = [(i, "en", 1, " ".join([*(f"w{k}" for k in range(20)), "twice" if i < 2 else f"r{i}", *["often"] * (i < 9)])) for i in range(60)]
+    rows += [(900 + k, "en", 0, f"w1 {w} w2") for k, w in enumerate(["r5", "twice", "often", "unseen", "r6"])]
+    docs = spark.createDataFrame(rows, "id long, lang string, role int, text string")
+    model, bigrams, rare = quality.learn(docs, share=1 / 100)
+    counts = {bytes(r["word"]).decode(): r["n"] for r in rare.collect()}
+    assert counts == {"twice": 2, "often": 9} | {f"r{i}": 1 for i in range(2, 60)}
+    found = {r["id"]: -np.log(r["perplexity"]) * 4 for r in quality.perplexities(docs, model, bigrams, rare).collect() if r["id"] >= 900}
+    # the contexts are the same, so only the word's probability within the class differs
+    tokens, d = sum(counts.values()), 58 / (58 + 2)
+    d = min(max(1 - 2 * d * 1 / 58, 0.1), 0.9)
+    unseen = d * len(counts) / tokens / (len(counts) + 1)
+    p = {w: (n - d) / tokens + unseen for w, n in counts.items()}
+    assert np.isclose(sum(p.values()) + unseen, 1)
+    for k, w in enumerate(["r5", "twice", "often"]):
+        assert np.isclose(found[900 + k] - found[903], np.log(p[w] / unseen))
+    assert np.isclose(found[904], found[900])
