@@ -136,3 +136,15 @@ def test_sample_has_exact_size_and_is_stable(spark, trajectories):
     assert a.count() == 50
     same(a, b)
     assert ordering.uniform_sample(trajectories, keys, 10_000).count() == trajectories.count()
+
+
+def test_short_keys_are_numbered_without_buckets(spark, trajectories):
+    """Buckets of short keys would hold a few rows each, and the offsets be a table as long as the rows."""
+    shuffled = trajectories.drop("seq").withColumn("t", F.col("cycle") * 1000 + F.abs(F.xxhash64("Xs_T48")) % 1000)
+    shuffled = shuffled.unionByName(shuffled.limit(3).withColumn("unit_id", F.lit(None).cast("long")))
+    numbered = ordering.number_rows(shuffled, ["split", "unit_id"], ["t", "Xs_T48"], [F.floor(F.col("t") / 900), F.col("t")])
+    assert "Join" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    w = Window.partitionBy("split", "unit_id").orderBy("t", "Xs_T48")
+    plain = shuffled.withColumn("seq", F.when(F.col("unit_id").isNotNull(), F.row_number().over(w)).cast("long"))
+    assert numbered.where("seq is null").count() == 3
+    same(plain.where("seq is not null"), numbered.where("seq is not null"))
