@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ CLUSTERS = 6
 KMEANS_STARTS = 10
 MAX_ITERATIONS = 300
 SEED = 42
+# A start has converged when no centre moves farther.
+MOVED = 1e-4
+
+
+@dataclass(frozen=True)
+class Clusters:
+    """Centres of k-means, one row each."""
+
+    centres: np.ndarray
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  as Spark's model names it
+        return list(self.centres)
 
 
 def _vectors(df: DataFrame, features: Sequence[str], out: str = "_features") -> DataFrame:
@@ -38,22 +51,92 @@ def fit_kmeans(
     max_iter: int = MAX_ITERATIONS,
     seed: int = SEED,
     fit_split: str = DEV,
-) -> KMeansModel:
-    """Best of several seeded starts by within-cluster cost."""
-    rows = _vectors(df.where(F.col("split") == fit_split), features).select("_features").persist(StorageLevel.MEMORY_AND_DISK)
+) -> Clusters:
+    """Best of several seeded starts by within-cluster cost.
+
+    Spark's k-means|| gives each start its first centres. The rounds of all starts are then the same passes: a pass
+    assigns the rows to the centres of every start that has not converged.
+    """
+    dev = df.where(F.col("split") == fit_split)
+    rows = _vectors(dev, features).select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best: KMeansModel | None = None
-        for s in range(starts):
-            model = KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="_features", predictionCol="kmeans_context_id").fit(rows)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
+        first = [np.array(KMeans(k=k, maxIter=0, seed=seed + s, featuresCol="_features").fit(rows).clusterCenters(), float) for s in range(starts)]
     finally:
         rows.unpersist()
+    # distances about a point near the rows lose less to rounding
+    middle = np.mean(np.concatenate(first), axis=0)
+    blocks = _blocks(dev, features, middle).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres, costs, todo = [c - middle for c in first], [math.inf] * starts, list(range(starts))
+        for _ in range(max_iter):
+            moved = []
+            for s, (n, sums, cost) in zip(todo, _round(blocks, [centres[s] for s in todo]), strict=True):
+                # a centre without rows stays
+                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[s])
+                if (((new - centres[s]) ** 2).sum(axis=1) > MOVED ** 2).any():
+                    moved.append(s)
+                centres[s], costs[s] = new, cost
+            todo = moved
+            if not todo:
+                break
+    finally:
+        blocks.unpersist()
+    return Clusters(centres[int(np.argmin(costs))] + middle)
+
+
+def _blocks(df: DataFrame, features: Sequence[str], middle: np.ndarray) -> DataFrame:
+    """The rows as matrices about ``middle``, one per Arrow batch."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"x": [(pdf.to_numpy(dtype=float) - middle).tobytes()]})
+
+    return df.select(*[finite_or(f, 0.0).cast("double").alias(f) for f in features]).mapInPandas(pack, "x binary")
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the smaller number of equal ones, and the squared distance less the row's own square."""
+    gaps = (centres ** 2).sum(axis=1) - 2 * (x @ centres.T)
+    own = gaps.argmin(axis=1)
+    return own, gaps[np.arange(len(x)), own]
+
+
+def _round(blocks: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each start the rows and sums of every centre, and the cost: one pass for all of them."""
+    k, p = centres[0].shape
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [[np.zeros(k), np.zeros((k, p)), 0.0] for _ in centres]
+        for pdf in batches:
+            for b in pdf["x"]:
+                x = np.frombuffer(b).reshape(-1, p)
+                square = float((x * x).sum())
+                for f, c in zip(found, centres, strict=True):
+                    own, gap = nearest(x, c)
+                    f[0] += np.bincount(own, minlength=k)
+                    f[1] += np.eye(k)[own].T @ x
+                    f[2] += square + float(gap.sum())
+        yield pd.DataFrame([(i, n.tobytes(), s.tobytes(), cost) for i, (n, s, cost) in enumerate(found)], columns=["i", "n", "s", "cost"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = (sum(np.frombuffer(b) for b in pdf[c]).tobytes() for c in ("n", "s"))
+        return pd.DataFrame([(pdf["i"].iloc[0], n, s, pdf["cost"].sum())], columns=["i", "n", "s", "cost"])
+
+    kind = "i int, n binary, s binary, cost double"
+    out = sorted(blocks.mapInPandas(add, kind).groupBy("i").applyInPandas(whole, kind).collect())
+    return [(np.frombuffer(r["n"]), np.frombuffer(r["s"]).reshape(k, p), r["cost"]) for r in out]
+
+
+def assign_kmeans(df: DataFrame, model: Clusters, features: Sequence[str]) -> DataFrame:
+    middle = model.centres.mean(axis=0)
+    centres = model.centres - middle
 
+    @F.pandas_udf("int")
+    def assign(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cols in batches:
+            yield pd.Series(nearest(np.column_stack([c.to_numpy(float) for c in cols]) - middle, centres)[0])
 
-def assign_kmeans(df: DataFrame, model: KMeansModel, features: Sequence[str]) -> DataFrame:
-    return model.transform(_vectors(df, features)).drop("_features")
+    return df.withColumn("kmeans_context_id", assign(*[finite_or(f, 0.0) for f in features]))
 
 
 def merge_contexts(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("split", "unit_id", "cycle"), **kw: object) -> DataFrame:

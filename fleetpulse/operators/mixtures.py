@@ -12,14 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from fleetpulse.functions.exprs import finite_or, unit_clip
 from fleetpulse.operators import contexts
-from fleetpulse.operators.contexts import CLUSTERS, MAX_ITERATIONS, SEED, Mixture
+from fleetpulse.operators.contexts import CLUSTERS, MAX_ITERATIONS, SEED, Clusters, Mixture
 from fleetpulse.settings import DEV
 
 RIDGE, TOLERANCE = 1e-6, 1e-3
@@ -137,6 +136,6 @@ def assign_mixture(df: DataFrame, mixture: Mixture, features: Sequence[str]) ->
     return out.withColumn("context_confidence", unit_clip("context_probability"))
 
 
-def context_table(df: DataFrame, kmeans: KMeansModel, mixture: Mixture, features: Sequence[str]) -> DataFrame:
+def context_table(df: DataFrame, kmeans: Clusters, mixture: Mixture, features: Sequence[str]) -> DataFrame:
     """Both context ids of every row on one lineage, so no join is needed."""
     return assign_mixture(contexts.assign_kmeans(df, kmeans, features), mixture, features)
