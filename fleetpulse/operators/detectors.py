@@ -207,20 +207,27 @@ def _tree_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
 def forest_path(model: IsolationForest, x: np.ndarray) -> np.ndarray:
     """Mean path length of each row over all trees."""
     total = np.zeros(len(x))
-    at = np.arange(len(x))
+    width, flat = x.shape[1], np.ascontiguousarray(x).ravel()
+    at = np.arange(len(x)) * width
     for feature, cut, left, right, path in model.trees:
-        node = np.zeros(len(x), dtype=int)
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            low = x[at, np.maximum(f, 0)] < cut[node]
-            node = np.where(inner, np.where(low, left[node], right[node]), node)
+        # a leaf is its own child, so that all rows take as many steps as the tree is deep
+        own = np.arange(len(feature))
+        child = np.stack([np.where(feature < 0, own, left), np.where(feature < 0, own, right)], 1).ravel()
+        f, node = np.maximum(feature, 0), np.zeros(len(x), dtype=int)
+        for _ in range(_steps(feature, left, right)):
+            node = child.take(2 * node + ~(flat.take(at + f.take(node)) < cut.take(node)))
         total += path[node]
     return total / len(model.trees)
 
 
+def _steps(feature: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
+    """Levels of a tree below its root."""
+    level, steps = np.zeros(1, dtype=int), 0
+    while len(level := level[feature[level] >= 0]):
+        level, steps = np.concatenate([left[level], right[level]]), steps + 1
+    return steps
+
+
 def isolation_raw_scores(df: DataFrame, model: IsolationForest) -> DataFrame:
     """Raw score (higher is more anomalous) and label of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -357,9 +364,11 @@ def distance_scores(
 
     ``fit_rows`` are the same rows where they are cheaper to compute, without order.
     """
-    ranked = distances(df if fit_rows is None else fit_rows, model)
+    # every pass of the percentile and the range would compute the distances again
+    found = stored(distances(df, model))
+    ranked = found if fit_rows is None else distances(fit_rows, model)
     (limit,) = quantile_values(ranked.where(F.col("split") == fit_split), "mahalanobis_distance", [percentile])
-    scored = min_max_scores(distances(df, model), {"mahalanobis_distance": "mahalanobis_score"}, ranked)
+    scored = min_max_scores(found, {"mahalanobis_distance": "mahalanobis_score"}, ranked)
     return scored.withColumns({
         "mahalanobis_anomaly_label": (F.col("mahalanobis_distance") >= F.lit(limit)).cast("int"),
         "mahalanobis_threshold": F.lit(limit),
@@ -387,10 +396,10 @@ def lagged_moments(df: DataFrame, columns: Sequence[str], size: int, keys: Seque
     """
     p = len(columns)
     wide = size * p
+    values = [f"_v{i}" for i in range(p)]
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        x = np.stack(pdf["_v"].to_numpy()) if len(pdf) else np.zeros((0, p))
+        x = pdf.sort_values("_at")[values].to_numpy(dtype=float)
         n = len(x) - size + 1
         total, sums = np.zeros((wide, wide)), np.zeros(wide)
         for i in range(size if n > 0 else 0):
@@ -402,7 +411,7 @@ def lagged_moments(df: DataFrame, columns: Sequence[str], size: int, keys: Seque
         return pd.DataFrame([(max(n, 0), sums.tobytes(), total.tobytes())], columns=["n", "sums", "products"])
 
     number = F.floor((F.col(seq) - 1) / F.lit(block_rows))
-    rows = df.select(*keys, F.col(seq).alias("_at"), number.alias("_block"), F.array(*[finite_or(c, 0.0) for c in columns]).alias("_v"))
+    rows = df.select(*keys, F.col(seq).alias("_at"), number.alias("_block"), *[finite_or(c, 0.0).cast("double").alias(v) for c, v in zip(columns, values, strict=True)])
     # the last rows of a block are the first ones of the next
     tail = F.col("_at") > (F.col("_block") + 1) * block_rows - (size - 1)
     borrowed = rows.where(tail).withColumn("_block", F.col("_block") + 1)

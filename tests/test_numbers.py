@@ -207,3 +207,31 @@ def test_validation_reports_a_damaged_value(spark, trajectories):
     bad = good.withColumn("residual_Xs_P2", F.when(F.col("seq") == 5, F.col("residual_Xs_P2") + 1).otherwise(F.col("residual_Xs_P2")))
     failed = {r["check_name"] for r in residuals.validate_residuals(bad, source, sensors).where("status = 'FAILED'").collect()}
     assert {"residual_formula", "abs_residual_formula", "resfeat_trend"} <= failed and "actual_xs_copy" not in failed
+
+
+def test_starts_of_kmeans_share_their_passes(spark):
+    """The centres are those of Spark's k-means run start by start; all starts together take as many passes as the longest."""
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(400, 3)) + 50, columns=["a", "b", "c"]).assign(split="dev")).repartition(3)
+    rows = contexts._vectors(df, ["a", "b", "c"]).cache()
+    found = [KMeans(k=4, maxIter=300, seed=42 + s, featuresCol="_features").fit(rows) for s in range(4)]
+    best = min(found, key=lambda m: m.summary.trainingCost)
+    passes = []
+    plain, contexts._round = contexts._round, lambda blocks, centres: passes.append(len(centres)) or plain(blocks, centres)
+    try:
+        got = contexts.fit_kmeans(df, ["a", "b", "c"], k=4, starts=4)
+    finally:
+        contexts._round = plain
+    assert np.allclose(got.clusterCenters(), best.clusterCenters())
+    assert len(passes) == max(m.summary.numIter for m in found) and sum(passes) == sum(m.summary.numIter for m in found)
+
+
+def test_distances_are_computed_once_for_percentile_and_range(spark):
+    names = [f"x{i}" for i in range(18)]
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(200, 18)), columns=names).assign(split="dev", unit_id=1, seq=range(200)))
+    out = detectors.distance_scores(df, detectors.fit_distance(df, names))
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("mahalanobis_anomaly_label = 1").count() == 2
