@@ -214,7 +214,7 @@ def test_starts_of_kmeans_share_their_passes(spark):
     from pyspark.ml.clustering import KMeans
 
     rng = np.random.default_rng(3)
-    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(400, 3)) + 50, columns=["a", "b", "c"]).assign(split="dev")).repartition(3)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(400, 3)) + 50, columns=["a", "b", "c"]).assign(split="dev")).repartition(3).cache()
     rows = contexts._vectors(df, ["a", "b", "c"]).cache()
     found = [KMeans(k=4, maxIter=300, seed=42 + s, featuresCol="_features").fit(rows) for s in range(4)]
     best = min(found, key=lambda m: m.summary.trainingCost)
