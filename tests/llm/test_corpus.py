@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import ann, byte_bpe, chunks, exact_dedup, language, mixing, near_dedup, quality, records, tokens, warc
+from fleetpulse.llm import ann, byte_bpe, chunks, exact_dedup, language, mixing, near_dedup, quality, records, sharded, tokens, warc
 from fleetpulse.llm.components import components
 from fleetpulse.llm.vocabularies import pattern, place
 
@@ -445,3 +445,31 @@ def test_every_rare_word_has_its_own_probability(spark):
     for k, w in enumerate(["r5", "twice", "often"]):
         assert np.isclose(found[900 + k] - found[903], np.log(p[w] / unseen))
     assert np.isclose(found[904], found[900])
+
+
+@pytest.mark.parametrize("kind", ["numbers", "strings"])
+def test_packed_rows_are_small_and_give_the_sums(kind):
+    """Hashes and the texts that have them go to the shards in little more room than they need, and nothing of them is lost."""
+    draw = np.random.default_rng(3)
+    items = np.unique(np.concatenate([draw.integers(-(2**63), 2**63 - 1, 60_000), draw.integers(0, 2000, 20_000) << 32 | draw.integers(0, 9000, 20_000), [-(2**63), 2**63 - 1]]))
+    text, item = draw.integers(0, 2000, 300_000), (len(items) * draw.random(300_000) ** 2).astype(np.int64)
+    text[item % 1000 == 7] = 5  # one text has some items often, and others have none
+    worth, shards = draw.normal(size=len(items)), 40
+    shard = quality.shard_of(items, shards)
+    carried = pa.RecordBatch.from_arrays([pa.array(np.arange(2001))], ["id"])
+    names = items if kind == "numbers" else [f"chunk {k}" for k in items]
+    number = {f"chunk {k}": i for i, k in enumerate(items)}
+    rows = sharded.frames("0-1", carried, text, item, names, shard, shards).to_pylist()
+
+    def value_of(wanted):
+        at = np.searchsorted(items, wanted) if kind == "numbers" else np.array([number[w] for w in wanted])
+        assert len(at) and (np.asarray(names)[at] == wanted).all()
+        return worth[at]
+
+    pairs, counts = np.unique(text * len(items) + item, return_counts=True)
+    t, i = np.divmod(pairs, len(items))
+    for r in rows[1:]:
+        own = shard[i] == r["shard"]
+        assert (sharded.unpack(sharded.sums_of(r["body"], value_of)) == np.bincount(t[own], (worth[i] * counts)[own], 2001)).all()
+    if kind == "numbers":
+        assert sum(len(r["body"]) for r in rows) < 7 * len(items) + 1.7 * len(pairs)
